@@ -1,8 +1,8 @@
 """Token ids in a bit-plane-shuffled binary format, with a chunk index.
 
 Format: ids are cut into blocks of a fixed number of ids (the last of a chunk may be shorter). A block's ids are
-transposed into bit planes (or byte planes), each compressed with zstandard on its own: high planes of small ids
-are almost all zero and vanish. A chunk holds whole blocks; its payload is::
+transposed into byte planes (or bit planes), each compressed with zstandard on its own: high planes of small ids
+are almost all zero and vanish. Byte planes are the default, as they are smaller and much faster for ids of words. A chunk holds whole blocks; its payload is::
 
     b"BPS1" | mode u8 (1 bit, 8 byte) | planes u8 | 0 u16 | n_ids u32 | n_blocks u32
     then for each block: n u32, the size u32 of each plane, the planes
@@ -62,7 +62,7 @@ def join_planes(planes: list[bytes], n: int, mode: str) -> np.ndarray:
     return packed.view("<u2" if len(planes) <= 16 else "<u4").reshape(-1).astype("<u4")
 
 
-def write_chunk(ids: np.ndarray, mode: str = "bit", block: int = BLOCK_IDS, level: int = 3) -> tuple[bytes, list[dict]]:
+def write_chunk(ids: np.ndarray, mode: str = "byte", block: int = BLOCK_IDS, level: int = 1) -> tuple[bytes, list[dict]]:
     """A chunk's payload and its blocks' index."""
     pack = zstandard.ZstdCompressor(level=level)
     blocks, out, at = [], [], 16
@@ -173,7 +173,7 @@ def shard_of(docs: DataFrame, shards: int):
     return at.cast("int"), len(cuts) + 1
 
 
-def write_tokens(docs: DataFrame, path: str | None = None, *, end_id: int = 1, mode: str = "bit", chunk: int = CHUNK_IDS, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, path: str | None = None, *, end_id: int = 1, mode: str = "byte", chunk: int = CHUNK_IDS, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes documents and writes their ids, each document closed by end_id, in ascending order of the ids.
 
     Null texts count as empty (the end id alone); null ids come first; repeated ids are further documents, in the
@@ -187,16 +187,21 @@ def write_tokens(docs: DataFrame, path: str | None = None, *, end_id: int = 1, m
     return materialize(chunks, "tokens", compression="uncompressed")
 
 
+PARTS_SCHEMA = "shard int, seq long, row long, doc_id long, part int, last boolean, n long, inner long, crc long"
+
+
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
     for batch in batches:
         rows = []
         for c in batch.to_pylist():
             data, done = read_chunk(c["payload"]).astype("<u4").tobytes(), 0
             for d in c["docs"]:
                 piece = data[4 * done : 4 * (done + d["n"])]
-                rows.append({"shard": c["shard"], "row": d["row"], "doc_id": d["doc_id"], "part": d["part"], "last": d["last"], "n": d["n"], "at": c["base"] + done, "crc": zlib.crc32(piece)})
+                rows.append((c["shard"], c["seq"], d["row"], d["doc_id"], d["part"], d["last"], d["n"], done, zlib.crc32(piece)))
                 done += d["n"]
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("shard", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("last", pa.bool_()), ("n", pa.int64()), ("at", pa.int64()), ("crc", pa.int64())]))
+        cols = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 9, types)]
+        yield pa.RecordBatch.from_arrays(cols, ["shard", "seq", "row", "doc_id", "part", "last", "n", "inner", "crc"])
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,13 +236,14 @@ def chunk_bases(chunks: DataFrame) -> DataFrame:
 def read_tokens(chunks: DataFrame) -> DataFrame:
     """One row a document, from the chunks' bytes: doc_id, start (the ids of all documents before it), n_tokens and
     ids_crc32 (of the ids as little-endian unsigned 32-bit integers)."""
-    based = chunks.join(chunk_bases(chunks), ["shard", "seq"])
-    small = int(chunks.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    small = chunks.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     try:
         chunks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-        parts = materialize(based.select("shard", "base", "docs", "payload").mapInArrow(_reader, "shard int, row long, doc_id long, part int, last boolean, n long, at long, crc long"), "parts")
+        parts = materialize(chunks.select("shard", "seq", "docs", "payload").mapInArrow(_reader, PARTS_SCHEMA), "parts")
     finally:
-        chunks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(small))
+        chunks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", small)
+    # only the small rows of the index are joined: payloads stay where they were read
+    parts = parts.join(chunk_bases(chunks), ["shard", "seq"]).withColumn("at", F.col("base") + F.col("inner"))
     whole = F.expr("part = 0 and last")
     one = parts.where(whole).select("doc_id", F.col("at").alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     many = parts.where(~whole).groupBy("shard", "row", "doc_id").agg(F.collect_list(F.struct("part", "n", "at", "crc")).alias("parts"))
