@@ -11,8 +11,10 @@ from veldra.llm.packing import op2_best_fit_packing
 from veldra.llm.piece_bpe import op6_piece_backtracking
 from veldra.llm.simhash import op7_simhash_segments
 from veldra.llm.token_planes import op5_token_planes
+from veldra.llm.topk_search import OP1_SQL, op1_topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_search": op1_topk_search,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_jpeg_media": op4_jpeg_media,
     "op5_token_planes": op5_token_planes,
@@ -21,4 +23,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Only what DuckDB can express over whole tables in reasonable time.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_topk_search": OP1_SQL}
