@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veldra.llm.jpeg import op4_jpeg_media
 from veldra.llm.packing import op2_best_fit_packing
+from veldra.llm.pii import op10_pii_boosting
 from veldra.llm.piece_bpe import op6_piece_backtracking
 from veldra.llm.simhash import op7_simhash_segments
 from veldra.llm.token_planes import op5_token_planes
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_planes": op5_token_planes,
     "op6_piece_backtracking": op6_piece_backtracking,
     "op7_simhash_segments": op7_simhash_segments,
+    "op10_pii_boosting": op10_pii_boosting,
 }
 
 #: Only what DuckDB can express over whole tables in reasonable time.
