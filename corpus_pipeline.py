@@ -1,25 +1,56 @@
-"""The corpus pipeline: documents in, packed sequences out."""
+"""The corpus pipeline: documents in, packed sequences out.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with their columns; the last returns
+the packed pieces. Written and read again as Parquet between stages, each works on all that the one before it kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veldra.llm.packing import pack_documents
+from veldra.llm import packing, pii, quality, simhash, toxicity
+from veldra.llm.common import materialize, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal toxicity model rejects go."""
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality scorer, fitted on weak labels, rejects go."""
+    return quality.good(docs)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: that of the smallest id."""
+    return simhash.deduplicated(docs)
+
+
+def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data become <kind>."""
+    return pii.redact(docs)
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of at most 4096 tokens."""
-    return pack_documents(docs)
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left goes into sequences of at most 4096 tokens."""
+    return packing.pack_documents(docs)
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_poor),
+    ("simhash", drop_copies),
+    ("pii", redact_private),
+    ("packing", pack),
+]
 
-#: No SQL: the stages' models and tokenizer can't be expressed in it.
+#: No SQL: the stages' models and the tokenizer can't be expressed in it.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veldra.llm.common import components, discard, materialize, pick, shuffle_width, table
 
@@ -269,3 +270,126 @@ def simhash_components(docs: DataFrame, *, size: int = 4, bits: int = 4, id_col:
 
 def op7_simhash_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
+
+
+# ---- near copies: fingerprints as a filter, shingles as the check
+
+SIMILAR = 0.8
+WORDS = 5
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted arrays of distinct hashes; texts without words are alike."""
+    if not len(a) and not len(b):
+        return 1.0
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def node_of(words: list[bytes]) -> int:
+    """A digest of a text's words."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words), 1)).view(np.int64))
+
+
+def _with_node(text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = pa.array([node_of(words_of(t.as_py())) for t in batch.column(text)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, node], [*batch.schema.names, "_node"])
+
+    return run
+
+
+def with_node(docs: DataFrame, text: str) -> DataFrame:
+    """All columns and _node, the digest of the text's words."""
+    return docs.mapInArrow(_with_node(text), T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())]))
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A text's words as one digest (node), the SimHash of its distinct word pairs, and its words' number."""
+    for batch in batches:
+        node, fp, n = [], [], []
+        for t in batch.column("text"):
+            w = words_of(t.as_py())
+            node.append(node_of(w))
+            fp.append(majority(hashes(set(shingles(w, 2)))))
+            n.append(len(w))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "node", "fp", "n"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = [np.unique(hashes(set(shingles(words_of(t.as_py()), WORDS)))).astype("<u8").tobytes() for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], ["node", "set"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sa, sb = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
+        keep = [overlap(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= SIMILAR for x, y in zip(sa, sb)]
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
+
+
+def _spanned(frame):
+    """Links of one dense cell: breadth first over what is not yet reached, by the shingles themselves."""
+    import pandas as pd
+
+    sets = [np.frombuffer(s, "<u8") for s in frame["set"]]
+    node, left, a, b = frame["node"].to_numpy(), list(range(len(sets))), [], []
+    while len(left) > 1:
+        queue, left = [left[0]], left[1:]
+        while queue and left:
+            x = queue.pop()
+            hit = [y for y in left if min(len(sets[x]), len(sets[y])) >= SIMILAR * max(len(sets[x]), len(sets[y])) and overlap(sets[x], sets[y]) >= SIMILAR]
+            a += [node[x]] * len(hit)
+            b += [node[y] for y in hit]
+            queue += hit
+            gone = set(hit)
+            left = [y for y in left if y not in gone]
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+
+def near_copies(docs: DataFrame, *, bits: int = 10, groups: int = 8, kept: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, node, root): texts of equal words share a node; nodes whose five-word shingles have a Jaccard
+    similarity of 0.8 or more share a root, through others too.
+
+    Fingerprints of five-word shingles lie 5 to 18 bits apart at that similarity, too far for a grid; those of the
+    distinct word pairs lie within 10. So these, found by the grid, are the candidates, and shingles decide. Texts
+    without words are one node.
+    """
+    docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    signed = materialize(docs.mapInArrow(_signed, "doc_id long, node long, fp long, n long"), "signed")
+    nodes = materialize(signed.where("n > 0").groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least")), "nodes")
+    found = related(nodes.select("node", "fp"), bits=bits, groups=groups, kept=kept, spanning=False)
+    pairs = materialize(found.where(f"kind = {LINK}").select("a", "b").distinct(), "pairs")
+    dense = found.where(f"kind = {DENSE}").select("grid", "cell", F.col("a").alias("node"))
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(dense.select("node")).distinct()
+    # one document of each node that is in a pair; its text alone is read again
+    chosen = nodes.join(wanted, "node", "left_semi").select("node", "least")
+    tagged = with_node(docs, "text")
+    texts = tagged.join(chosen, (tagged._node == chosen.node) & tagged.doc_id.eqNullSafe(chosen.least)).select("node", "text")
+    sets = materialize(texts.mapInArrow(_sets, "node long, set binary").groupBy("node").agg(F.max("set").alias("set")), "sets")
+    sa, sb = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
+    links = pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long")
+    if not dense.isEmpty():
+        more = dense.join(sets, "node").groupBy("grid", "cell").applyInPandas(_spanned, "a long, b long")
+        links = links.unionByName(more)
+    roots = materialize(components(links), "roots").withColumnRenamed("node", "_node")
+    out = signed.join(roots, signed.node == roots._node, "left")
+    return out.select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """The documents, one of each group of near copies: that of the smallest doc_id (nulls last). Rows that repeat
+    it are dropped; all columns stay."""
+    groups = materialize(near_copies(docs, id_col=id_col, text_col=text_col, **kw), "groups")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
+    best = groups.groupBy("root").agg(F.min_by("doc_id", first).alias("_win"), F.min_by("node", first).alias("_own")).select("_win", "_own")
+    names = docs.columns
+    flat = with_node(docs.toDF(*[f"_c{i}" for i in range(len(names))]), f"_c{names.index(text_col)}")
+    key = F.col(f"_c{names.index(id_col)}").cast("long")
+    kept = flat.join(best, (F.col("_node") == F.col("_own")) & key.eqNullSafe(F.col("_win")))
+    cols = [f"_c{i}" for i in range(len(names))]
+    if not groups.groupBy("doc_id", "node").count().where("count > 1").isEmpty():  # rows of the same id and words: the least of them stays
+        kept = kept.groupBy("_own").agg(F.min(F.struct(*cols)).alias("_row")).select("_row.*")
+    return kept.select(*[F.col(c).alias(n) for c, n in zip(cols, names)])
