@@ -63,10 +63,10 @@ _W = "(vec_id % 5) / 4.0::double"
 _WFIT = f"with {O.TOKENS}, {O.long('tokens', 'x', _W)}, {O.basis('x', 'p', squarings=17)}"
 
 
-@query("A04_weighted_pca", f"{_WFIT} select c, i, round(v, 5) as v from p_comps")
+@query("A04_weighted_pca", f"{_WFIT} select c, i, round(v, 6) as v from p_comps")
 def a04(spark, d):
     t = _tokens(spark, d).withColumn("w", F.col("vec_id") % 5 / 4.0)
-    return _comps(spark, pca.top(pca.moments(t, weight="w")[2], 3)).withColumn("v", F.round("v", 5))
+    return _comps(spark, pca.top(pca.moments(t, weight="w")[2], 3))
 
 
 @query("A05_sign", f"""with {O.TOKENS}, {O.long('tokens', 'x')}, m as (select vec_id, i, v, row_number() over (partition by vec_id order by abs(v) desc, i) as n from x)
