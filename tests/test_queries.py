@@ -7,7 +7,9 @@ from veldra import registry
 
 def rows(frame, columns):
     def plain(x):
-        return round(x, 6) + 0.0 if isinstance(x, float) else str(x)
+        if isinstance(x, float):
+            return "null" if x != x else round(x, 6) + 0.0
+        return str(x)
 
     return sorted((tuple(plain(x) for x in r) for r in frame[columns].itertuples(index=False, name=None)), key=str)
 
