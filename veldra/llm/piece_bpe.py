@@ -28,7 +28,7 @@ SPACE = "▁"
 class PieceModel:
     """Encoder and decoder for a byte-pair model file with byte fallback and no normalisation."""
 
-    def __init__(self, path: str, cache_words: int = 500_000, longest: int = 64):
+    def __init__(self, path: str, cache_words: int = 400_000, longest: int = 64):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as pb
 
