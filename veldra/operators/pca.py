@@ -149,7 +149,9 @@ def refit(df: DataFrame, basis: Basis, *, weight: str | None, ident: str = "vec_
     _, mean, scatter = moments(seen, weight="w")
     new = Basis(False, mean, top(scatter, 3), np.zeros(3), np.ones(3))
     z = projected(seen, new)
-    got = np.array([[r["value"] for r in weighted_quantiles(z, f"z{i}", "w", "id", list(spread)).orderBy("q").collect()] for i in range(3)])
+    one = z.select("id", "w", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"z{i}").alias("z")) for i in range(3)])).alias("s")).select("id", "w", "s.*")
+    got = {(r["c"], r["q"]): r["value"] for r in weighted_quantiles(one, "z", "w", "id", list(spread), key="c").collect()}
+    got = np.array([[got[c, q] for q in spread] for c in range(3)])
     return replace(new, l2norm=basis.l2norm, lo=got[:, 0], hi=got[:, 1])
 
 

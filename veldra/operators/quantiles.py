@@ -53,28 +53,29 @@ def order_statistic(df: DataFrame, rank: int, small: int) -> float:
     return float(lo)
 
 
-def weighted_quantiles(df: DataFrame, x: str, w: str, ident: str, qs: list[float]) -> DataFrame:
-    """(q, value): quantiles by weights of zero and more, on the plotting position below / (below + above).
+def weighted_quantiles(df: DataFrame, x: str, w: str, ident: str, qs: list[float], key: str | None = None) -> DataFrame:
+    """(q, value), or (key, q, value) for each of a few keys: quantiles by weights of zero and more, on the plotting
+    position below / (below + above). Rows with a null value or weight don't count; without rows there is no result.
 
     Rows are binned by value; a row's weight below is its bin's, summed from one row for each bin, plus that of the
-    rows before it in the bin. The two rows around each q are then found by plain aggregates.
+    rows before it in the bin. The two rows around each q are then found by plain aggregates, so no window spans a
+    key and nothing is gathered.
     """
-    rows = df.select(F.col(x).cast("double").alias("x"), F.greatest(F.col(w).cast("double"), F.lit(0.0)).alias("w"), F.col(ident).alias("id")).where("x is not null and w is not null")
-    lo, hi, all_w = rows.agg(F.min("x"), F.max("x"), F.sum("w")).first()
-    spark = df.sparkSession
-    if lo is None:
-        return spark.createDataFrame([], "q double, value double")
-    width = (hi - lo) / BINS or 1.0
-    binned = rows.withColumn("b", F.least(F.floor((F.col("x") - lo) / width), F.lit(BINS - 1)))
-    per = binned.groupBy("b").agg(F.sum("w").alias("bw"))
-    first = per.select("b", F.coalesce(F.sum("bw").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("first"))
-    before = Window.partitionBy("b").orderBy("x", "id").rowsBetween(Window.unboundedPreceding, -1)
-    cdf = binned.join(F.broadcast(first), "b").withColumn("below", F.col("first") + F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    cdf = cdf.withColumn("cdf", F.col("below") / F.greatest(F.lit(float(all_w)) - F.col("w"), F.lit(1e-12)))
+    k = F.lit(0) if key is None else F.col(key)
+    rows = df.select(k.alias("k"), F.col(x).cast("double").alias("x"), F.greatest(F.col(w).cast("double"), F.lit(0.0)).alias("w"), F.col(ident).alias("id")).where("x is not null and w is not null")
+    ends = rows.groupBy("k").agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"), F.sum("w").alias("_all"))  # a row for each key
+    place = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("x") - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / BINS))).otherwise(0)
+    binned = rows.join(F.broadcast(ends), "k").withColumn("b", F.least(place, F.lit(BINS - 1))).drop("_lo", "_hi")
+    per = binned.groupBy("k", "b").agg(F.sum("w").alias("bw"))
+    low = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    first = per.select("k", "b", F.coalesce(F.sum("bw").over(low), F.lit(0.0)).alias("first"))  # at most BINS rows a key
+    before = Window.partitionBy("k", "b").orderBy("x", "id").rowsBetween(Window.unboundedPreceding, -1)
+    cdf = binned.withColumn("in_bin", F.coalesce(F.sum("w").over(before), F.lit(0.0))).join(F.broadcast(first), ["k", "b"])
+    cdf = cdf.withColumn("cdf", (F.col("first") + F.col("in_bin")) / F.greatest(F.col("_all") - F.col("w"), F.lit(1e-12)))
     at = F.struct("x", "id", "cdf")
-    ends = [F.min(at).alias("least"), F.max(at).alias("most")]
+    outer = [F.min(at).alias("least"), F.max(at).alias("most")]
     around = [e for i, q in enumerate(qs) for e in (F.max(F.when(F.col("cdf") < q, at)).alias(f"a{i}"), F.min(F.when(F.col("cdf") >= q, at)).alias(f"b{i}"))]
-    got = cdf.agg(*ends, *around)
+    got = cdf.groupBy("k").agg(*outer, *around)
     out = []
     for i, q in enumerate(qs):
         a, b = F.coalesce(f"a{i}", f"b{i}"), F.coalesce(f"b{i}", "most")
@@ -82,4 +83,5 @@ def weighted_quantiles(df: DataFrame, x: str, w: str, ident: str, qs: list[float
         mid = a["x"] + F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)) * (b["x"] - a["x"])
         value = F.when(F.col("most.cdf") <= q, F.col("most.x")).when(F.col("least.cdf") >= q, F.col("least.x")).otherwise(mid)
         out.append(F.struct(F.lit(float(q)).alias("q"), value.alias("value")))
-    return got.select(F.explode(F.array(*out)).alias("r")).select("r.*")
+    each = got.select("k", F.explode(F.array(*out)).alias("r"))
+    return each.select("r.*") if key is None else each.select(F.col("k").alias(key), "r.*")
