@@ -81,9 +81,16 @@ def discard(df: DataFrame) -> None:
         _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
 
 
-def hash_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
-    """At most n rows with the smallest hashes of their key: bounded, and the same at every run."""
-    return df.withColumn("_h", F.xxhash64(key, F.lit(7))).orderBy("_h", key).limit(n).drop("_h")
+def hash_sample(df: DataFrame, key: Column, n: int, total: int | None = None, spare: int = 8) -> DataFrame:
+    """At most n rows with the smallest hashes of their key: bounded, and the same at every run.
+
+    With the number of rows that df is drawn from, hashes are first held to a share of their range in which `spare`
+    times as many rows as wanted are expected, so that tasks don't each give off n rows.
+    """
+    hashed = df.withColumn("_h", F.xxhash64(key, F.lit(7)))
+    if total and total > spare * n:
+        hashed = hashed.where(F.col("_h") < int(spare * n / total * 2**64) - 2**63)
+    return hashed.orderBy("_h", key).limit(n).drop("_h")
 
 
 def shuffle_width(spark: SparkSession) -> int:

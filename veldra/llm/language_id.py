@@ -97,7 +97,7 @@ def identify(docs: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", t
     """
     docs = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     learn = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    ids = hash_sample(learn.select("doc_id"), F.col("doc_id"), sample).distinct()
+    ids = hash_sample(learn.select("doc_id"), F.col("doc_id"), sample, docs.count()).distinct()
     rows = learn.join(F.broadcast(ids), "doc_id", "left_semi").select("text", "lang").limit(2 * sample).collect()
     model = CodeModel.fit([r["text"] for r in rows], [r["lang"] for r in rows])
     sent = docs.sparkSession.sparkContext.broadcast(model)

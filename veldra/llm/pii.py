@@ -217,10 +217,10 @@ def train(docs: DataFrame, sample: int = 4000) -> list[Boosted]:
     """A model for each kind, from at most `sample` documents that have a candidate (those of the smallest hashes)."""
     text = F.col("text")
     gates = "|".join(f"(?:{g})" for _, _, g in GENERATORS)
-    ids = hash_sample(docs.where(text.rlike(gates)).select("doc_id"), F.col("doc_id"), sample)
+    ids = hash_sample(docs.where(text.rlike(gates)).select("doc_id"), F.col("doc_id"), sample, docs.count(), spare=64)
     some = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
     base = F.concat(*[F.transform(v, _of_kind(KINDS.index(k), "s", "e")) for k, v in base_spans(text).items()])
-    rows = some.select("text", base.alias("base"), F.slice(candidate_rows(text), 1, 200).alias("c")).select("text", "base", F.explode("c").alias("x"))
+    rows = some.select("text", base.alias("base"), F.slice(candidate_rows(text), 1, 200).alias("c")).select("text", "base", F.explode_outer("c").alias("x")).where("x is not null")
     x = F.col("x")
     hit = F.exists("base", lambda b: (b["kind"] == x["kind"]) & (b["s"] < x["e"]) & (x["s"] < b["e"]))
     got = rows.select(x["kind"].alias("kind"), hit.alias("y"), F.array(*features(text, x)).alias("f"))

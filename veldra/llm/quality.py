@@ -159,7 +159,7 @@ class QualityModel:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
     """Fits on at most `sample` documents (those of the smallest hashes of their ids); needs no labels."""
-    ids = hash_sample(docs.where("doc_id is not null").select("doc_id"), F.col("doc_id"), sample).distinct()
+    ids = hash_sample(docs.where("doc_id is not null").select("doc_id"), F.col("doc_id"), sample, docs.count()).distinct()
     rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").limit(2 * sample).collect()
     return QualityModel.fit([r["text"] for r in rows])
 

@@ -115,7 +115,7 @@ class OrdinalModel:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
     """Fits on at most `sample` labelled documents (those of the smallest hashes of their ids)."""
     known = pick(labels, doc_id="doc_id", toxic="toxic").where("doc_id is not null and toxic is not null")
-    some = hash_sample(known.select("doc_id"), F.col("doc_id"), sample).distinct()
+    some = hash_sample(known.select("doc_id"), F.col("doc_id"), sample, labels.count()).distinct()
     ids = known.join(F.broadcast(some), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.where("text is not null").join(F.broadcast(ids), "doc_id").select("text", "toxic").limit(2 * sample).collect()
     return OrdinalModel.fit([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
