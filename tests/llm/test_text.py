@@ -139,6 +139,36 @@ def test_near_copies_stay_once(spark):
     assert sorted(kept) == sorted(first.values())
 
 
+def test_near_copies_lose_none(spark):
+    """Every pair at a similarity of 0.8 or more, also after contiguous edits and in short texts, by brute force."""
+    r = random.Random(11)
+    new = lambda n: ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    rows = []
+    for n in [*range(1, 40), *[200] * 400]:
+        w = new(n)
+        rows += [w, w + new(r.randrange(1, n // 4 + 2))]
+    passage = new(60)  # in texts that have little else, and in others
+    rows += [passage + new(k) for k in range(0, 40, 2)] + [new(200) + passage for _ in range(40)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    root = {x["doc_id"]: x["root"] for x in simhash.near_copies(df).collect()}
+    sets = [set(zip(*(w[i:] for i in range(5)))) if len(w) > 5 else {tuple(w)} for w in rows]
+    parent, near = list(range(len(rows))), 0
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if 5 * both >= 4 * (len(a) + len(sets[j]) - both):
+                near += 1
+                parent[top(i)] = top(j)
+    groups = lambda of: sorted(sorted(i for i in range(len(rows)) if of(i) == x) for x in {of(i) for i in range(len(rows))})
+    assert near > 300 and groups(root.get) == groups(top)
+
+
 def test_dense_cells(spark, monkeypatch):
     """A large group of near copies is linked by its shingles within its cells."""
     r = random.Random(5)

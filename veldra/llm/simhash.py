@@ -14,7 +14,7 @@ pairs of chunks. So no cell of m members gives off m * m rows, and none is held
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veldra.llm.common import components, discard, materialize, pick, shuffle_width, table
+from veldra.llm.common import components, discard, hash_sample, materialize, pick, shuffle_width, table
 
 LOW = 0x5555555555555555
 SEGMENTS = 32
@@ -233,9 +233,12 @@ def related(nodes: DataFrame, *, bits: int = 4, groups: int = 7, kept: int = 3,
     masks = grid_masks(groups, kept)
     u = unary(F.col("fp"))
     at = F.posexplode(F.array(*[u.bitwiseAND(F.lit(m)) for m in masks])).alias("grid", "cell")
-    cells = nodes.select("node", "fp", at)
-    finder = Cells(bits, masks, spanning, wide=wide)
-    out = materialize(_dealt(cells).mapInArrow(finder.run, RELATED), "related")
+    return _searched(nodes.select("node", "fp", at), partial(Cells, bits, masks, spanning), wide)
+
+
+def _searched(cells: DataFrame, kind: Callable[..., Cells], wide: int) -> DataFrame:
+    """The close pairs of all cells (grid, cell, node, fp), as a written table of RELATED."""
+    out = materialize(_dealt(cells).mapInArrow(kind(wide=wide).run, RELATED), "related")
     spill = out.where(f"kind = {OVERFLOW}")
     if spill.isEmpty():
         return out
@@ -246,7 +249,7 @@ def related(nodes: DataFrame, *, bits: int = 4, groups: int = 7, kept: int = 3,
     two = mine.select("grid", "cell", "a", "fa", "own", other)
     key = F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))
     two = two.select("grid", key.alias("cell"), F.col("a").alias("node"), F.col("fa").alias("fp"))
-    more = _dealt(two).mapInArrow(Cells(bits, masks, spanning, wide=1 << 62).run, RELATED)
+    more = _dealt(two).mapInArrow(kind(wide=1 << 62).run, RELATED)
     return materialize(out.where(f"kind <> {OVERFLOW}").unionByName(more), "related")
 
 
@@ -286,12 +289,6 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def remixed(h: np.ndarray) -> np.ndarray:
-    """A second hash of what was hashed, from the first."""
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return h ^ (h >> np.uint64(33))
-
-
 def node_of(words: list[bytes]) -> int:
     """A digest of a text's words."""
     return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words), 1)).view(np.int64))
@@ -311,23 +308,87 @@ def with_node(docs: DataFrame, text: str) -> DataFrame:
     return docs.mapInArrow(_with_node(text), T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())]))
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A text's words as one digest (node), two SimHashes of its distinct word pairs, and its words' number."""
+def shingle_set(words: list[bytes]) -> np.ndarray:
+    """The sorted hashes of a text's distinct five-word shingles."""
+    return np.unique(hashes(set(shingles(words, WORDS))))
+
+
+def prefix(own: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The first of a set's hashes, hot ones last: so many that each set with a similarity of 0.8 shares one of them.
+
+    The two sets share at least 4/5 of either, so the hashes before the first shared one are at most the other fifth.
+    """
+    if not len(own):
+        return own
+    common = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own if len(hot) else np.zeros(len(own), bool)
+    return np.r_[own[~common], own[common]][: len(own) - (4 * len(own) + 4) // 5 + 1]
+
+
+class Prefixes(Cells):
+    """Cells of sets that share a hash of their prefixes; fp has a set's size above 32 bits of the hash's place."""
+
+    def __init__(self, small: int = 16, wide: int = 16_384, dense: int = 4):
+        super().__init__(0, [], False, small, wide, dense)
+
+    def close(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether as many hashes can be shared as a similarity of 0.8 needs, if this is the first that is."""
+        up, low = np.uint64(32), np.uint64((1 << 32) - 1)
+        most = np.minimum((a >> up) - (a & low), (b >> up) - (b & low))
+        return np.uint64(9) * most >= np.uint64(4) * ((a >> up) + (b >> up))
+
+
+def _signed(hot):
+    """A text's words as one digest (node), the SimHash of its distinct word pairs, its words' number, the size of
+    its set of shingles and the set's prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, fp, n, size, head = [], [], [], [], []
+            for t in batch.column("text"):
+                w = words_of(t.as_py())
+                own = shingle_set(w)
+                node.append(node_of(w))
+                fp.append(majority(hashes(set(shingles(w, 2)))))
+                n.append(len(w))
+                size.append(len(own))
+                head.append(prefix(own, hot.value).astype("<u8").tobytes())
+            rest = [pa.array(x, pa.int64()) for x in (node, fp, n, size)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *rest, pa.array(head, pa.binary())], ["doc_id", "node", "fp", "n", "size", "head"])
+
+    return run
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each hash of each prefix, in cells of the hash."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            heads = [np.frombuffer(h, "<i8") for h in part.column("head").to_pylist()]
+            many = np.array([len(h) for h in heads])
+            cell = np.concatenate(heads)
+            node, size = (np.repeat(part.column(c).to_numpy(), many) for c in ("node", "size"))
+            place = np.arange(len(cell)) - np.repeat(np.cumsum(many) - many, many)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.zeros(len(cell), np.int32), cell, node, size << 32 | place)], ["grid", "cell", "node", "fp"])
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        node, fp, again, n = [], [], [], []
         for t in batch.column("text"):
-            w = words_of(t.as_py())
-            node.append(node_of(w))
-            h = hashes(set(shingles(w, 2)))
-            fp.append(majority(h))
-            again.append(majority(remixed(h)))
-            n.append(len(w))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(again, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "node", "fp", "fp2", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_set(words_of(t.as_py())).view(np.int64))], ["hash"])
+
+
+def hot_hashes(docs: DataFrame, sample: int = 4000, least: int = 8, most: int = 100_000) -> np.ndarray:
+    """Sorted hashes of the shingles that many of a sample of documents have. They come last in the prefixes' order,
+    which keeps cells small; any order finds the same links."""
+    ids = hash_sample(docs.where("doc_id is not null").select("doc_id"), F.col("doc_id"), sample, docs.count()).distinct()
+    some = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text")
+    often = some.mapInArrow(_hashed, "hash long").groupBy("hash").count().where(F.col("count") >= least).orderBy(F.desc("count"), "hash").limit(most)
+    return np.sort(np.array([r["hash"] for r in often.select("hash").collect()], np.int64).view(np.uint64))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [np.unique(hashes(set(shingles(words_of(t.as_py()), WORDS)))).astype("<u8").tobytes() for t in batch.column("text")]
+        out = [shingle_set(words_of(t.as_py())).astype("<u8").tobytes() for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], ["node", "set"])
 
 
@@ -361,16 +422,18 @@ def near_copies(docs: DataFrame, *, bits: int = 12, groups: int = 8, kept: int =
     """(doc_id, node, root): texts of equal words share a node; nodes whose five-word shingles have a Jaccard
     similarity of 0.8 or more share a root, through others too.
 
-    Fingerprints of five-word shingles lie 5 to 18 bits apart at that similarity, too far for a grid; those of the
-    distinct word pairs lie within 11. So these, found by the grid, are the candidates, and shingles decide. The grid
-    finds over nine in ten of the pairs at 8 bits and all to 6; a second fingerprint of other hashes is searched too, so
-    that a pair must be missed twice to be lost. Texts without words are one node.
+    Fingerprints of five-word shingles lie 5 to 18 bits apart at that similarity, too far for a grid, and those of the
+    distinct word pairs, by which the grid finds candidates here, may lie over 12 bits apart too. So texts whose
+    shingles' prefixes meet are candidates as well, which leaves none out; shingles decide. Texts without words are
+    one node.
     """
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    signed = materialize(docs.mapInArrow(_signed, "doc_id long, node long, fp long, fp2 long, n long"), "signed")
-    nodes = materialize(signed.where("n > 0").groupBy("node").agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("doc_id").alias("least")), "nodes")
+    hot = docs.sparkSession.sparkContext.broadcast(hot_hashes(docs))
+    signed = materialize(docs.mapInArrow(_signed(hot), "doc_id long, node long, fp long, n long, size long, head binary"), "signed")
+    nodes = materialize(signed.where("n > 0").groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least"), F.max("size").alias("size"), F.max("head").alias("head")), "nodes")
     found = related(nodes.select("node", "fp"), bits=bits, groups=groups, kept=kept, spanning=False)
-    again = related(nodes.select("node", F.col("fp2").alias("fp")), bits=bits, groups=groups, kept=kept, spanning=False)
+    heads = nodes.select("node", "size", "head").mapInArrow(_heads, "grid int, cell long, node long, fp long")
+    again = _searched(heads, Prefixes, 16_384)
     found = found.unionByName(again.withColumn("grid", F.col("grid") - 1000))  # cells of its own
     pairs = materialize(found.where(f"kind = {LINK}").select("a", "b").distinct(), "pairs")
     dense = found.where(f"kind = {DENSE}").select("grid", "cell", F.col("a").alias("node"))
@@ -383,8 +446,16 @@ def near_copies(docs: DataFrame, *, bits: int = 12, groups: int = 8, kept: int =
     sa, sb = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     links = pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long")
     if not dense.isEmpty():
-        more = dense.join(sets, "node").groupBy("grid", "cell").applyInPandas(_spanned, "a long, b long")
-        links = links.unionByName(more)
+
+        def spanned(cells: DataFrame) -> DataFrame:
+            return cells.join(sets, "node").groupBy("grid", "cell").applyInPandas(_spanned, "a long, b long")
+
+        # one cell of each node first; then those cells alone whose members these links leave apart
+        one = dense.groupBy("node").agg(F.min(F.struct("grid", "cell")).alias("x")).select("x.*", "node")
+        links = materialize(links.unionByName(spanned(one)), "links")
+        apart = dense.join(materialize(components(links), "roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        apart = apart.groupBy("grid", "cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        links = links.unionByName(spanned(dense.join(apart.select("grid", "cell"), ["grid", "cell"], "left_semi")))
     roots = materialize(components(links), "roots").withColumnRenamed("node", "_node")
     out = signed.join(roots, signed.node == roots._node, "left")
     return out.select("doc_id", "node", F.coalesce("root", "node").alias("root"))
