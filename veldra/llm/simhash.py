@@ -400,21 +400,31 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spanned(frame):
-    """Links of one dense cell: breadth first over what is not yet reached, by the shingles themselves."""
+    """Links of one dense cell: breadth first over what is not yet reached, by the shingles themselves. An index from
+    hashes to sets counts what one set shares with all others at once."""
     import pandas as pd
 
     sets = [np.frombuffer(s, "<u8") for s in frame["set"]]
-    node, left, a, b = frame["node"].to_numpy(), list(range(len(sets))), [], []
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and left:
+    node, size = frame["node"].to_numpy(), np.array([len(s) for s in sets])
+    _, at, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)[np.argsort(at, kind="stable")]
+    start, edge = np.cumsum(many) - many, np.r_[0, np.cumsum(size)]
+    left, a, b = np.ones(len(sets), bool), [], []
+    for first in range(len(sets)):
+        queue = [first] if left[first] else []
+        left[first] = False
+        while queue and left.any():
             x = queue.pop()
-            hit = [y for y in left if min(len(sets[x]), len(sets[y])) >= SIMILAR * max(len(sets[x]), len(sets[y])) and overlap(sets[x], sets[y]) >= SIMILAR]
+            own = at[edge[x] : edge[x + 1]]
+            own = own[many[own] > 1]
+            n = many[own]
+            places = np.repeat(start[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(owner[places], minlength=len(sets))
+            hit = np.flatnonzero(left & (both / (size[x] + size - both) >= SIMILAR))
             a += [node[x]] * len(hit)
-            b += [node[y] for y in hit]
-            queue += hit
-            gone = set(hit)
-            left = [y for y in left if y not in gone]
+            b += node[hit].tolist()
+            queue += hit.tolist()
+            left[hit] = False
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
