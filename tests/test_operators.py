@@ -286,3 +286,20 @@ def test_workspace(spark):
     assert e.runs.count() == 0 and e.sources.count() == 2
     with pytest.raises(NotFound):
         e.delete_source("s9")
+
+
+def test_source_scan_of_any_folder(spark, tmp_path):
+    """All files count, whatever the folder's name; large ones are hashed as a stream."""
+    import hashlib
+
+    from veldra import registry
+    from veldra.sources.tokens import scanned
+
+    folder = tmp_path / "check_x"
+    folder.mkdir()
+    files = {"region.parquet": b"a" * 10, "b 1.parquet": b"b" * 5000, "c.parquet": b"b" * 5000, "d.parquet": b"", "e.parquet": bytes(range(256)) * 100}
+    for n, b in files.items():
+        (folder / n).write_bytes(b)
+    want = sorted((hashlib.sha256(files[n]).hexdigest()[:16], n, "mp4", len(files[n])) for n in ("region.parquet", "b 1.parquet", "e.parquet"))
+    assert sorted(map(tuple, registry.QUERIES["C03_source_scan"](spark, str(folder)).collect())) == want
+    assert sorted(map(tuple, scanned(spark, f"{folder}/*.parquet", large=100).collect())) == want

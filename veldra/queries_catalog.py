@@ -61,9 +61,9 @@ def c02(spark, d):
 
 @query("C03_source_scan")
 def c03(spark, d):
-    from veldra.sources.tokens import sources_of
+    from veldra.sources.tokens import scanned
 
-    return sources_of(spark.read.format("binaryFile").load(f"{d}/*.parquet" if not d.rstrip("/").split("/")[-1].startswith("check_") else f"{d}/region.parquet"))
+    return scanned(spark, f"{d}/*.parquet")
 
 
 @query("C04_completed_runs", f"with {RUNS} select run_id, source_id, model, created from completed")
@@ -265,7 +265,7 @@ def e07(spark, d):
     from pyspark.sql import types as T
 
     schema = table(spark, d, "events").schema
-    raw = spark.readStream.schema(schema).parquet(f"{d}/events.parquet" if d.rstrip("/").split("/")[-1].startswith("check_") else f"{d}/event[s].parquet")
+    raw = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")
     sets = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") != "signup", "running")
     events = raw.select("event_id", "user_id", "ts", sets.alias("sets"))
     name = f"progress_{uuid.uuid4().hex}"

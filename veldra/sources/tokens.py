@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,8 +71,33 @@ def packed_bits(content: Column, n: int) -> Column:
 def sources_of(files: DataFrame) -> DataFrame:
     """Content-addressed sources of binary files: (source_id, name, ext, size); equal bytes once, empty ones never.
     Unknown endings become mp4."""
+    return _sources(files.select("path", "length", F.sha2("content", 256).alias("digest")))
+
+
+def scanned(spark: SparkSession, path: str, large: int = 64 << 20) -> DataFrame:
+    """The sources of all files of a path. Files of more bytes than `large` never become a row's content: the driver's
+    JVM hashes them as a stream, four at a time."""
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= large).select("path", "length", F.sha2("content", 256).alias("digest"))
+    rows = files.where(F.col("length") > large).select("path", "length").collect()
+    with ThreadPool(4) as pool:
+        big = pool.map(lambda r: (r["path"], r["length"], _streamed(spark, r["path"])), rows)
+    return _sources(small.unionByName(spark.createDataFrame(big, "path string, length long, digest string")))
+
+
+def _streamed(spark: SparkSession, path: str) -> str:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
+def _sources(files: DataFrame) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
     known = F.when(ext.isin("mp4", "mov", "webm", "mkv", "avi", "m4v"), ext).otherwise("mp4")
-    rows = files.where("length > 0").select(F.substring(F.sha2("content", 256), 1, 16).alias("source_id"), name.alias("name"), known.alias("ext"), F.col("length").alias("size"))
+    rows = files.where("length > 0").select(F.substring("digest", 1, 16).alias("source_id"), name.alias("name"), known.alias("ext"), F.col("length").alias("size"))
     return rows.groupBy("source_id").agg(F.min_by(F.struct("name", "ext", "size"), "name").alias("s")).select("source_id", "s.*")
