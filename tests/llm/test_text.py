@@ -294,6 +294,16 @@ def test_redaction(spark):
     assert got[1]["spans"] == 5 and pii.redact(df.limit(0), models=NEVER).count() == 0
 
 
+def test_sample_of_a_small_part(spark):
+    """A sample is the same whatever the table's size that its share is worked out from."""
+    from veldra.llm.common import hash_sample
+
+    few = spark.range(300).withColumnRenamed("id", "doc_id")
+    ids = lambda n, *total: [r["doc_id"] for r in hash_sample(few, F.col("doc_id"), n, *total).collect()]
+    for n in (20, 500):
+        assert len(ids(n)) == min(n, 300) and ids(n) == ids(n, 400) == ids(n, 10**9)
+
+
 def test_language_held_out(spark, docs, folder):
     got = language_id.op3_language_codes(spark, folder)
     both = got.join(docs.select("doc_id", "lang", "text"), "doc_id").collect()

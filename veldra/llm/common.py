@@ -85,11 +85,15 @@ def hash_sample(df: DataFrame, key: Column, n: int, total: int | None = None, sp
     """At most n rows with the smallest hashes of their key: bounded, and the same at every run.
 
     With the number of rows that df is drawn from, hashes are first held to a share of their range in which `spare`
-    times as many rows as wanted are expected, so that tasks don't each give off n rows.
+    times as many rows as wanted are expected, so that tasks don't each give off n rows. Where df is so small a part
+    of them that fewer than n rows come back, all hashes are looked at: the sample is the same with and without.
     """
     hashed = df.withColumn("_h", F.xxhash64(key, F.lit(7)))
     if total and total > spare * n:
-        hashed = hashed.where(F.col("_h") < int(spare * n / total * 2**64) - 2**63)
+        share = hashed.where(F.col("_h") < int(spare * n / total * 2**64) - 2**63)
+        rows = share.orderBy("_h", key).limit(n).drop("_h").collect()
+        if len(rows) == n:
+            return df.sparkSession.createDataFrame(rows, df.schema)
     return hashed.orderBy("_h", key).limit(n).drop("_h")
 
 
