@@ -365,6 +365,16 @@ def test_quality_against_labels(spark, docs, folder):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.1
 
 
+def test_shapes_of_all_runs():
+    """Texts without white space differ after their sixth run too."""
+    head = "a1b2c3"
+    assert quality.shape_slots(head + "d") != quality.shape_slots(head + "D!!")
+    slots = set(quality.shape_slots(head * 500 + "$"))
+    assert quality._slot("t$") in slots
+    a, b = quality.surface(head * 50 + "x" * 9)[0], quality.surface(head * 50 + "##--##" * 9)[0]
+    assert np.abs(a - b).max() > 0.01
+
+
 def test_expectation_maximisation_finds_accuracies():
     r = np.random.default_rng(11)
     truth = r.random(4000) < 0.8

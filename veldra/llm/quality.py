@@ -114,7 +114,7 @@ def shape_slots(word: str) -> tuple[int, ...]:
     if got is None:
         if len(_SHAPES) > 300_000:
             _SHAPES.clear()
-        parts = [shape_of(t) for t in _SHAPE.findall(word)][:6]
+        parts = [shape_of(t) for t in _SHAPE.findall(word)]
         got = (_slot("w" + "".join(parts)), *(_slot("t" + p) for p in parts))
         if len(word) <= 64:
             _SHAPES[word] = got
