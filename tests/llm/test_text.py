@@ -286,6 +286,20 @@ def test_boosting_adds_unsigned_phones(spark):
     assert got[180]["n_phone"] == 0 and got[180]["spans"] == "phone:11:25"
 
 
+def test_training_sees_every_kind(spark, monkeypatch):
+    """Neither many e-mails in a document nor one candidate in many documents keeps others out of training."""
+    seen = []
+    monkeypatch.setattr(pii, "fit", lambda x, y: seen.append(x))
+    mails = " ".join(f"user{i}@host{i}.com" for i in range(400))
+    texts = [f"{mails} card 4111 1111 1111 1111 tel 030 1234 5678" for _ in range(3)] + ["mail me at a@b.com"] * 300
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pii.train(df, 400)
+    assert len(seen[2]) == 3 and len(seen[3]) >= 3 and len(seen[0]) == 900
+    seen.clear()
+    pii.train(df, 40)
+    assert len(seen[0]) <= 200 and all(len(x) <= 200 for x in seen)
+
+
 def test_redaction(spark):
     rows = [(1, "mail a.b@c.de or 10.0.0.1!", 5), (2, None, 6), (3, "nothing", 7), (4, "😀 x@y.zz", 8)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans int")

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldra.llm.common import hash_sample, pick, table
+from veldra.llm.common import hash_sample, materialize, pick, table
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -213,21 +213,35 @@ def fit(x: np.ndarray, y: np.ndarray, *, rounds: int = 12, rate: float = 0.4, pr
     return out
 
 
+def _few(found: Column, n: int) -> Column:
+    """At most n candidates of each kind: those of the smallest hashes of their document and place."""
+    out = []
+    for kind in map(F.lit, range(len(KINDS))):
+        mine = F.filter(found, lambda x: x["kind"] == kind)  # noqa: B023
+        order = F.array_sort(F.transform(mine, lambda x: F.struct(F.xxhash64("doc_id", x["kind"], x["s"], x["e"]).alias("h"), x.alias("x"))))
+        out.append(F.transform(F.slice(order, 1, n), lambda y: y["x"]))
+    return F.concat(*out)
+
+
 def train(docs: DataFrame, sample: int = 4000) -> list[Boosted]:
-    """A model for each kind, from at most `sample` documents that have a candidate (those of the smallest hashes)."""
+    """A model for each kind, from at most `sample` documents that have a candidate (those of the smallest hashes).
+
+    Of a document, at most 200 candidates of each kind count, and of all, 5 * sample of each kind: those of the
+    smallest hashes of their places, so that neither frequent contents nor other kinds keep any out.
+    """
     text = F.col("text")
     gates = "|".join(f"(?:{g})" for _, _, g in GENERATORS)
     ids = hash_sample(docs.where(text.rlike(gates)).select("doc_id"), F.col("doc_id"), sample, docs.count(), spare=64)
     some = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
     base = F.concat(*[F.transform(v, _of_kind(KINDS.index(k), "s", "e")) for k, v in base_spans(text).items()])
-    rows = some.select("text", base.alias("base"), F.slice(candidate_rows(text), 1, 200).alias("c")).select("text", "base", F.explode_outer("c").alias("x")).where("x is not null")
+    rows = some.select("doc_id", "text", base.alias("base"), _few(candidate_rows(text), 200).alias("c")).select("doc_id", "text", "base", F.explode("c").alias("x"))
     x = F.col("x")
     hit = F.exists("base", lambda b: (b["kind"] == x["kind"]) & (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    got = rows.select(x["kind"].alias("kind"), hit.alias("y"), F.array(*features(text, x)).alias("f"))
-    got = hash_sample(got, F.to_json(F.struct("kind", "y", "f")), 5 * sample).collect()
+    got = rows.select("doc_id", x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), hit.alias("y"), F.array(*features(text, x)).alias("f"))
+    got = materialize(got, "candidates")
     out = []
     for k in range(len(KINDS)):
-        mine = [r for r in got if r["kind"] == k]
+        mine = hash_sample(got.where(F.col("kind") == k), F.struct("doc_id", "s", "e", "kind"), 5 * sample).collect()
         mx = np.array([r["f"] for r in mine], float).reshape(-1, len(FEATURES))
         out.append(fit(mx, np.array([r["y"] for r in mine], float)))
     return out
