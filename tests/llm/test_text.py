@@ -86,12 +86,12 @@ def test_links_lose_nothing(spark, small, wide, monkeypatch):
             for _ in range(r.randint(0, 2)):
                 x ^= 1 << r.randrange(64)
             k += 1
-    monkeypatch.setattr(simhash.Cells.__init__, "__defaults__", (small, wide, 24))
+    monkeypatch.setattr(simhash.PrintCells.__init__, "__defaults__", (small, wide))
     nodes = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in sorted(set(prints.values()))], "fp long").select(F.col("fp").alias("node"), "fp")
     links = simhash.related(nodes, bits=4, wide=wide)
     sets = Sets()
-    for e in links.where("kind = 0").collect():
-        assert bin((e["fa"] ^ e["fb"]) & (1 << 64) - 1).count("1") <= 4
+    for e in links.collect():  # a node is its fingerprint here
+        assert bin((e["a"] ^ e["b"]) & (1 << 64) - 1).count("1") <= 4
         sets.join(e["a"] & (1 << 64) - 1, e["b"] & (1 << 64) - 1)
     want = brute_components(prints, 4)
     groups = collections.defaultdict(set)
@@ -169,17 +169,51 @@ def test_near_copies_lose_none(spark):
     assert near > 300 and groups(root.get) == groups(top)
 
 
-def test_dense_cells(spark, monkeypatch):
-    """A large group of near copies is linked by its shingles within its cells."""
-    r = random.Random(5)
-    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+def similar_groups(texts):
+    """Groups of texts by brute force: all pairs of their sets of five-word shingles."""
+    sets = []
+    for t in texts:
+        w = simhash.words_of(t)
+        sets.append(set(zip(*(w[i:] for i in range(5)))) if len(w) > 5 else {tuple(w)})
+    near = Sets()
+    for i, a in enumerate(sets):
+        near.find(i)
+        for j in range(i):
+            n = len(a) + len(sets[j])
+            if 9 * min(len(a), len(sets[j])) >= 4 * n and 9 * len(a & sets[j]) >= 4 * n:
+                near.join(i, j)
+    return [near.find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("changed,small,wide", [(1, 4, 16384), (8, 4, 30), (8, 0, 16384), (14, 12, 60)])
+def test_large_cells_lose_none(spark, changed, small, wide):
+    """Large groups of near copies, of which many are only linked through others, or not at all."""
+    r = random.Random(5 + changed)
     rows = []
-    for i in range(120):
-        w = list(words)
-        w[r.randrange(300)] = f"edit{i}"
-        rows.append((i, " ".join(w)))
-    monkeypatch.setattr(simhash.Cells.__init__, "__defaults__", (8, 16384, 4))
-    assert [x["doc_id"] for x in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+    for _ in range(2):
+        words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+        for i in range(90):
+            w = list(words)
+            for _ in range(r.randint(0, changed)):
+                w[r.randrange(300)] = f"edit{r.random()}"
+            rows.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    root = {x["doc_id"]: x["root"] for x in simhash.near_copies(df, small=small, wide=wide).collect()}
+    want, got = collections.defaultdict(set), collections.defaultdict(set)
+    for i, k in enumerate(similar_groups(rows)):
+        want[k].add(i)
+        got[root[i]].add(i)
+    assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
+    assert changed == 1 or len(want) > 2
+
+
+def test_near_copies_of_documents(spark, docs):
+    rows = docs.orderBy("doc_id").collect()
+    want = similar_groups([r["text"] for r in rows])
+    first = {}
+    for r, k in zip(rows, want):
+        first.setdefault(k, r["doc_id"])
+    assert sorted(r["doc_id"] for r in simhash.deduplicated(docs).collect()) == sorted(first.values())
 
 
 def test_deduplicated_odd_rows(spark):
@@ -187,6 +221,8 @@ def test_deduplicated_odd_rows(spark):
     got = simhash.deduplicated(df).collect()
     assert sorted((r["doc_id"] for r in got), key=lambda k: (k is None, k)) == [0, 3, 5, 6, 7, 8, None]
     assert simhash.deduplicated(df).columns == df.columns and simhash.deduplicated(df.limit(0)).count() == 0
+    odd = df.withColumn("of", F.create_map(F.lit("k"), F.col("lang"))).select("*", F.lit("clash").alias("Text"))
+    assert simhash.deduplicated(odd).count() == 7 and simhash.deduplicated(odd).columns == odd.columns
 
 
 def brute_top(vectors, every, k):

@@ -22,23 +22,34 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     Columns are found by exact name first and otherwise without regard to case, so further columns with
     clashing names (``Text`` beside ``text``, or one named as an output column) do no harm.
     """
+    flat = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+    return flat.select(*[F.col(f"_c{place_of(df, name)}").alias(alias) for alias, name in wanted.items()])
+
+
+def place_of(df: DataFrame, name: str) -> int:
+    """The place of a column: that of exactly the name, else the first of the name in another case."""
+    names = df.columns
+    for found in (lambda c: c == name, lambda c: c.lower() == name.lower()):
+        at = next((i for i, c in enumerate(names) if found(c)), None)
+        if at is not None:
+            return at
+    raise ValueError(f"no column {name!r} in {names}")
+
+
+def kept_rows(df: DataFrame, function) -> DataFrame:
+    """df.mapInArrow for a function that only leaves rows out, whatever the columns' names: they may clash."""
     names = df.columns
     flat = df.toDF(*[f"_c{i}" for i in range(len(names))])
-    out = []
-    for alias, name in wanted.items():
-        at = next((i for i, c in enumerate(names) if c == name), None)
-        if at is None:
-            at = next((i for i, c in enumerate(names) if c.lower() == name.lower()), None)
-        if at is None:
-            raise ValueError(f"no column {name!r} in {names}")
-        out.append(F.col(f"_c{at}").alias(alias))
-    return flat.select(*out)
+    return flat.mapInArrow(function, flat.schema).toDF(*names)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and Spark runs in one
+    process, a temporary one; on a cluster it must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="veldra-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -82,7 +93,7 @@ def discard(df: DataFrame) -> None:
 
 
 def hash_sample(df: DataFrame, key: Column, n: int, total: int | None = None, spare: int = 8) -> DataFrame:
-    """At most n rows with the smallest hashes of their key: bounded, and the same at every run.
+    """At most n distinct rows, those of the smallest hashes of their key: bounded, and the same at every run.
 
     With the number of rows that df is drawn from, hashes are first held to a share of their range in which `spare`
     times as many rows as wanted are expected, so that tasks don't each give off n rows. Where df is so small a part
@@ -91,10 +102,10 @@ def hash_sample(df: DataFrame, key: Column, n: int, total: int | None = None, sp
     hashed = df.withColumn("_h", F.xxhash64(key, F.lit(7)))
     if total and total > spare * n:
         share = hashed.where(F.col("_h") < int(spare * n / total * 2**64) - 2**63)
-        rows = share.orderBy("_h", key).limit(n).drop("_h").collect()
+        rows = share.distinct().orderBy("_h", key).limit(n).drop("_h").collect()
         if len(rows) == n:
             return df.sparkSession.createDataFrame(rows, df.schema)
-    return hashed.orderBy("_h", key).limit(n).drop("_h")
+    return hashed.distinct().orderBy("_h", key).limit(n).drop("_h")
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -107,11 +118,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
     Alternates large-star and small-star steps, which converge in about log2 of the longest path. Each round is
     written to the shared folder, so that lineage stays short. Neighbours are reduced by min() before they are
-    joined, so that no group is gathered in one task.
+    joined, so that no group is gathered in one task. Rounds beyond `rounds` are an error: 60 are enough for paths of
+    any length that a table can hold.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = materialize(e, "edges")
+    sign = [F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))]  # of distinct rows
+    last = e.agg(*sign).first()
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -123,11 +137,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         )
         small = small.select("x.*").where("u <> v").distinct()
         nxt = materialize(small, "edges")
-        same = nxt.count() == e.count() and nxt.exceptAll(e).isEmpty()
+        now = nxt.agg(*sign).first()
         discard(e)
         e = nxt
-        if same:
+        if now == last:
             break
+        last = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     stars = e.groupBy("u").agg(F.min("v").alias("root"))

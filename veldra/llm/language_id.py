@@ -92,13 +92,14 @@ def identify(docs: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", t
     """doc_id, held_out, lang_pred, score (0 to 1) and ambiguous, from whole texts.
 
     Learns from at most `sample` documents with text, language and id that are not held out (those of the smallest
-    hashes of their ids). Null texts and texts without letters are `und` with score 0; a null id is not held out.
+    hashes of their ids; of a repeated id the least text). Null texts and texts without letters are `und` with score 0; a null id is not held out.
     Repeated rows each get a row; without anything to learn from, all is `und`; an empty table gives none.
     """
     docs = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     learn = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    ids = hash_sample(learn.select("doc_id"), F.col("doc_id"), sample, docs.count()).distinct()
-    rows = learn.join(F.broadcast(ids), "doc_id", "left_semi").select("text", "lang").limit(2 * sample).collect()
+    ids = hash_sample(learn.select("doc_id"), F.col("doc_id"), sample, docs.count())
+    one = learn.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("x"))
+    rows = one.orderBy("doc_id").select("x.*").collect()  # at most `sample` rows
     model = CodeModel.fit([r["text"] for r in rows], [r["lang"] for r in rows])
     sent = docs.sparkSession.sparkContext.broadcast(model)
     out = docs.select("doc_id", "text").mapInArrow(_predict(sent), "doc_id long, lang_pred string, score double, ambiguous boolean")

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldra.llm.common import hash_sample, materialize, pick, table
+from veldra.llm.common import hash_sample, materialize, pick, place_of, table
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -296,7 +296,7 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", *
     kind of the first. All other columns stay; a null text stays null."""
     names = docs.columns
     flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    at, key = names.index(text_col), names.index(id_col)
+    at, key = place_of(docs, text_col), place_of(docs, id_col)
     work = flat.select(F.col(f"_c{key}").alias("doc_id"), F.col(f"_c{at}").alias("text"), F.struct(*flat.columns).alias("_row"))
     found = find_spans(work, keep=("_row",), **kw)
     t, name = F.col("text"), F.array(*[F.lit(k) for k in KINDS])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldra.llm.common import hash_sample, pick, table
+from veldra.llm.common import hash_sample, kept_rows, pick, place_of, table
 from veldra.llm.linear import logistic
 
 SAMPLE = 4000
@@ -28,6 +28,9 @@ LEAST_WORDS = 16  # a text of fewer words has proportionally less evidence
 _SHAPE = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
+_REPEATED = re.compile(r"(.)\1{3,}")
+
+
 def measures(words: list[str]) -> dict[str, float]:
     """Shares that the labellers look at; zero for a text without words."""
     n = len(words)
@@ -98,7 +101,7 @@ def expectation_maximisation(v: np.ndarray, rounds: int = 60) -> tuple[np.ndarra
 def shape_of(token: str) -> str:
     if token.isalpha():
         return "A" if token.isupper() and len(token) > 1 else "a" if token.islower() else "Aa"
-    return "9" if token.isdigit() else token[:3]
+    return "9" if token.isdigit() else _REPEATED.sub(r"\1\1\1", token)
 
 
 _SHAPES: dict[str, tuple[int, ...]] = {}
@@ -158,9 +161,11 @@ class QualityModel:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
-    """Fits on at most `sample` documents (those of the smallest hashes of their ids); needs no labels."""
-    ids = hash_sample(docs.where("doc_id is not null").select("doc_id"), F.col("doc_id"), sample, docs.count()).distinct()
-    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").limit(2 * sample).collect()
+    """Fits on at most `sample` documents (those of the smallest hashes of their ids; of a repeated id the least
+    text); needs no labels."""
+    ids = hash_sample(docs.where("doc_id is not null").select("doc_id"), F.col("doc_id"), sample, docs.count())
+    some = docs.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = some.orderBy("doc_id").select("text").collect()  # at most `sample` rows
     return QualityModel.fit([r["text"] for r in rows])
 
 
@@ -186,7 +191,7 @@ def rate(docs: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_
     return docs.mapInArrow(_score(sent), "doc_id long, score double, keep boolean")
 
 
-def _filtered(sent, text: str):
+def _filtered(sent, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
@@ -197,8 +202,8 @@ def _filtered(sent, text: str):
 
 def good(docs: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are not rejected, with all their columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), sample))
-    return docs.mapInArrow(_filtered(sent, text_col), docs.schema)
+    sent = docs.sparkSession.sparkContext.broadcast(train(pick(docs, doc_id=id_col, text=text_col), sample))
+    return kept_rows(docs, _filtered(sent, place_of(docs, text_col)))
 
 
 def op9_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

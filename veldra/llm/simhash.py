@@ -7,9 +7,12 @@ groups of segments: within a distance of d, at least `groups - d` of the groups
 fingerprints that close share a cell of one of the grids over `kept` groups whenever `groups - d >= kept`. Within a
 cell, pairs are first bounded by their Manhattan distance and then checked exactly.
 
-Rows of equal fingerprints (or texts) are one node before any cell is built. A cell gives off the pairs that it is
-the first to see, or a spanning tree of them where a cell is large; cells beyond `wide` members are dealt out as
-pairs of chunks. So no cell of m members gives off m * m rows, and none is held by one task whole.
+Rows of equal fingerprints (or texts) are one node before any cell is built. A cell of up to `small` members gives off
+the pairs that it is the first to see, a larger one a spanning forest of its pairs, of less rows than members; cells
+beyond `wide` members are dealt out as pairs of chunks, so no task holds more than two chunks.
+
+Near copies by five-word shingles (the pipeline's stage) take the links of their fingerprints as candidates, and, as
+fingerprints can't promise a similarity, complete them by the prefixes of their shingle sets, which lose none.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veldra.llm.common import components, discard, hash_sample, materialize, pick, shuffle_width, table
+from veldra.llm.common import components, hash_sample, materialize, pick, place_of, shuffle_width, table
 
 LOW = 0x5555555555555555
 SEGMENTS = 32
@@ -99,158 +102,190 @@ def _unary(x: np.ndarray) -> np.ndarray:
     return (x | up) & low | (x & up & low) << np.uint64(1)
 
 
-RELATED = "kind int, grid int, cell long, a long, b long, fa long, fb long"
-_NAMES = ["kind", "grid", "cell", "a", "b", "fa", "fb"]
-LINK, DENSE, OVERFLOW = 0, 1, 2
+LINKS = "kind int, grid long, cell long, a long, b long"
+LINK, OPEN = 0, 1
+
+
+def _shape(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the cells begin in sorted columns (grid, cell, ...), and their sizes."""
+    grid, cell = cols[:2]
+    edge = np.flatnonzero(np.r_[True, (grid[1:] != grid[:-1]) | (cell[1:] != cell[:-1])])
+    return edge, np.diff(np.r_[edge, len(grid)])
 
 
 class Cells:
-    """Finds the close pairs of sorted cells, batch by batch."""
+    """Finds pairs in sorted cells (grid, cell, node, ...), batch by batch, and gives off rows of LINKS.
 
-    def __init__(self, bits: int, masks: list[int], spanning: bool, small: int = 48, wide: int = 16_384, dense: int = 24):
-        self.bits, self.spanning, self.small, self.wide, self.dense = bits, spanning, small, wide, dense
-        self.masks = np.array(masks, np.int64).view(np.uint64)
+    Of cells beyond `wide` members, the members are given off (OPEN) as soon as they are seen.
+    """
 
-    def close(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Manhattan distance of the embeddings first, as a bound, then the fingerprints' own."""
-        near = np.bitwise_count(_unary(a) ^ _unary(b)) <= self.bits
-        near &= np.bitwise_count(a ^ b) <= self.bits
-        return near
+    columns = ("grid", "cell", "node", "fp")
 
-    def first(self, grid: int | np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether no grid before this one has both in a cell."""
-        differ = _unary(a) ^ _unary(b)
-        out = np.ones(len(a), bool)
-        for k, m in enumerate(self.masks):
-            out &= (differ & m != 0) | (k >= grid)
-        return out
+    def __init__(self, small: int = 48, wide: int = 16_384):
+        self.small, self.wide = small, wide
 
-    def tree(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A spanning forest of the close pairs of one cell: breadth first over what is not yet reached."""
-        left, a, b = np.arange(len(fp)), [], []
-        while len(left) > 1:
-            queue, left = [left[0]], left[1:]
-            while queue and len(left):
-                x = queue.pop()
-                hit = self.close(fp[left], fp[x])
-                got = left[hit]
-                a.append(np.full(len(got), x))
-                b.append(got)
-                queue += got.tolist()
-                left = left[~hit]
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
-
-    def pairs(self, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """All close pairs of one cell; None if they are more than `most`."""
-        a, b, n = [], [], 0
-        for i in range(0, len(fp), 256):
-            x, y = np.nonzero(self.close(fp[i : i + 256, None], fp[None, i:]))
-            keep = x < y
-            a.append(x[keep] + i)
-            b.append(y[keep] + i)
-            n += len(a[-1])
-            if n > most:
-                return None
-        return np.concatenate(a), np.concatenate(b)
-
-    def rows(self, kind, grid, cell, node, fp, a, b):
-        n = len(a)
-        return [np.full(n, kind, np.int32), np.full(n, grid, np.int32), np.full(n, cell, np.int64), node[a], node[b], fp[a].view(np.int64), fp[b].view(np.int64)]
-
-    def of(self, grid: np.ndarray, cell: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[list[np.ndarray]]:
-        """Rows of RELATED for whole cells, which lie one behind the other."""
-        if not len(grid):
-            return
-        edge = np.flatnonzero(np.r_[True, (grid[1:] != grid[:-1]) | (cell[1:] != cell[:-1])])
-        size = np.diff(np.r_[edge, len(grid)])
+    def of(self, cols: list[np.ndarray]) -> Iterator[tuple]:
+        """Rows (kind, grid, cell, a, b) for whole cells, which lie one behind the other."""
+        raise NotImplementedError
+
+    def near(self, cols: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
+
+    def neighbours(self, cols: list[np.ndarray]) -> Iterator[tuple]:
+        """All near pairs of the cells of up to `small` members."""
+        edge, size = _shape(cols)
         home = np.repeat(np.arange(len(edge)), size)
         for d in range(1, min(self.small, int(size.max()))):
             i = np.flatnonzero(home[d:] == home[:-d])
             i = i[size[home[i]] <= self.small]
-            i = i[self.close(fp[i], fp[i + d])]
-            i = i[self.first(grid[i], fp[i], fp[i + d])]
+            i = i[self.near(cols, i, i + d)]
             if len(i):
-                yield [np.full(len(i), LINK, np.int32), grid[i].astype(np.int32), cell[i], node[i], node[i + d], fp[i].view(np.int64), fp[i + d].view(np.int64)]
-        for k in np.flatnonzero(size > self.small):
-            s = slice(edge[k], edge[k] + size[k])
-            own, f = node[s], fp[s]
-            if self.spanning:
-                a, b = self.tree(f)
-                if len(a):
-                    yield self.rows(LINK, grid[edge[k]], cell[edge[k]], own, f, a, b)
-            elif (got := self.pairs(f, self.dense * len(f))) is not None:
-                ok = self.first(grid[edge[k]], f[got[0]], f[got[1]])
-                yield self.rows(LINK, grid[edge[k]], cell[edge[k]], own, f, got[0][ok], got[1][ok])
-            else:
-                m = np.arange(len(f))
-                yield self.rows(DENSE, grid[edge[k]], cell[edge[k]], own, f, m, m)
+                yield LINK, cols[0][i], cols[1][i], cols[2][i], cols[2][i + d]
+
+    def whole(self, cols: list[np.ndarray], k: int) -> tuple:
+        grid, cell, node = (c[:k] for c in cols[:3])
+        return OPEN, grid, cell, node, node
 
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows):
-            return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], _NAMES)
+        def out(kind, *rows):
+            types = (np.int64,) * 4
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows[0]), kind, np.int32)), *[pa.array(r.astype(t)) for r, t in zip(rows, types)]], ["kind", "grid", "cell", "a", "b"])
 
         held, over = None, None
         for batch in batches:
-            cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("grid", "cell", "node", "fp")]
+            cols = [_numbers(batch.column(n)) for n in self.columns]
             if held is not None:
-                cols = [np.r_[h, c] for h, c in zip(held, cols)]
+                cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
             if not len(cols[0]):
                 continue
-            grid, cell, node, fp = cols
-            last = (grid[-1], cell[-1])
-            cut = int(np.flatnonzero((grid != last[0]) | (cell != last[1]))[-1]) + 1 if ((grid != last[0]) | (cell != last[1])).any() else 0
-            if cut and over is not None:  # the rest of a cell that has overflowed
-                n = int(np.flatnonzero((grid != over[0]) | (cell != over[1]))[0])
+            if over is not None:  # the rest of a cell that has overflowed
+                ends = np.flatnonzero((cols[0] != over[0]) | (cols[1] != over[1]))
+                n = int(ends[0]) if len(ends) else len(cols[0])
                 if n:
-                    m = np.arange(n)
-                    yield out(self.rows(OVERFLOW, over[0], over[1], node[:n], fp[:n].view(np.uint64), m, m))
-                over, lo = None, n
-            else:
-                lo = 0
-            for rows in self.of(grid[lo:cut], cell[lo:cut], node[lo:cut], fp[lo:cut].view(np.uint64)):
-                yield out(rows)
+                    yield out(*self.whole(cols, n))
+                cols = [c[n:] for c in cols]
+                if not len(cols[0]):
+                    held = cols
+                    continue
+                over = None
+            last = (cols[0][-1], cols[1][-1])
+            before = np.flatnonzero((cols[0] != last[0]) | (cols[1] != last[1]))
+            cut = int(before[-1]) + 1 if len(before) else 0
+            if cut:
+                for rows in self.of([c[:cut] for c in cols]):
+                    yield out(*rows)
             held = [c[cut:] for c in cols]
-            if over is not None or len(held[0]) > self.wide:
-                m = np.arange(len(held[0]))
-                yield out(self.rows(OVERFLOW, last[0], last[1], held[2], held[3].view(np.uint64), m, m))
+            if len(held[0]) > self.wide:
+                yield out(*self.whole(held, len(held[0])))
                 over, held = last, [c[:0] for c in held]
         if held is not None and len(held[0]):
-            for rows in self.of(held[0], held[1], held[2], held[3].view(np.uint64)):
-                yield out(rows)
+            for rows in self.of(held):
+                yield out(*rows)
+
+
+def _numbers(col: pa.Array) -> np.ndarray:
+    """A column as an array; one of sketches as an array of rows of words."""
+    if pa.types.is_binary(col.type):
+        return np.frombuffer(b"".join(col.to_pylist()), "<u8").reshape(len(col), -1)
+    return col.to_numpy(zero_copy_only=False)
+
+
+def forest(order: np.ndarray, near: Callable, comp: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the near pairs of one cell: breadth first over what is not yet reached, in a given order.
+
+    near(x, left) tells which of `left` are near x. Members of equal `comp` count as reached by each other.
+    """
+    left, a, b = order, [], []
+    while len(left):
+        if comp is None:
+            queue, left = [left[0]], left[1:]
+        else:
+            mine = comp[left] == comp[left[0]]
+            queue, left = left[mine].tolist(), left[~mine]
+        while queue and len(left):
+            x = queue.pop()
+            hit = near(x, left)
+            got = left[hit]
+            if not len(got):
+                continue
+            if comp is None:
+                left, queue = left[~hit], queue + got.tolist()
+            else:
+                found, at = np.unique(comp[got], return_index=True)
+                got, more = got[at], np.isin(comp[left], found)
+                queue, left = queue + left[more].tolist(), left[~more]
+            a.append(np.full(len(got), x))
+            b.append(got)
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+
+
+class PrintCells(Cells):
+    """Cells of the grids: fp is the fingerprint."""
+
+    def __init__(self, bits: int, masks: list[int], small: int = 48, wide: int = 16_384):
+        super().__init__(small, wide)
+        self.bits, self.masks = bits, np.array(masks, np.int64).view(np.uint64)
+
+    def close(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Manhattan distance of the embeddings first, as a bound, then the fingerprints' own."""
+        near = np.bitwise_count(_unary(a) ^ _unary(b)) <= self.bits
+        near &= np.bitwise_count(a ^ b) <= self.bits
+        return near
 
+    def near(self, cols, i, j):
+        """Close pairs that no grid before this one has in a cell."""
+        fp = cols[3].view(np.uint64)
+        ok = self.close(fp[i], fp[j])
+        at = np.flatnonzero(ok)
+        differ = _unary(fp[i[at]]) ^ _unary(fp[j[at]])
+        for k, m in enumerate(self.masks):
+            ok[at] &= (differ & m != 0) | (k >= cols[0][i[at]])
+        return ok
 
-def _dealt(cells: DataFrame) -> DataFrame:
-    return cells.repartition(2 * shuffle_width(cells.sparkSession), "grid", "cell").sortWithinPartitions("grid", "cell", "node")
+    def of(self, cols):
+        yield from self.neighbours(cols)
+        edge, size = _shape(cols)
+        for k in np.flatnonzero(size > self.small):
+            s = slice(edge[k], edge[k] + size[k])
+            fp, node = cols[3][s].view(np.uint64), cols[2][s]
+            a, b = forest(np.arange(len(fp)), lambda x, left: self.close(fp[left], fp[x]))  # noqa: B023
+            yield LINK, cols[0][s][a], cols[1][s][a], node[a], node[b]
 
 
-def related(nodes: DataFrame, *, bits: int = 4, groups: int = 7, kept: int = 3, spanning: bool = True, wide: int = 16_384) -> DataFrame:
-    """Pairs of (node, fp) rows whose fingerprints differ in at most `bits` bits, as a written table of RELATED.
+def _dealt(cells: DataFrame, *by: str) -> DataFrame:
+    return cells.repartition(2 * shuffle_width(cells.sparkSession), *(by or ("grid", "cell"))).sortWithinPartitions("grid", "cell", "node")
 
-    With `groups - bits >= kept` no link is lost; else pairs that share no cell are (a fingerprint as a filter, see
-    near_copies). With `spanning`, a large cell gives a spanning forest of its links, else all of them, or, where
-    they are more than its members can carry, its members as DENSE rows, to be linked by near_copies' own check.
+
+def chunked(members: DataFrame, wide: int) -> DataFrame:
+    """Members (grid, cell, ...) of cells: those of cells beyond `wide` in chunks of half as many, of which every two
+    are a cell. A member of a cell of m members is given off about 2 m / wide times."""
+    per = members.groupBy("grid", "cell").agg(F.ceil(F.count("*") / F.lit(wide // 2)).alias("chunks")).where("chunks > 2")
+    all_ = members.join(per, ["grid", "cell"], "left").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda x: x != F.col("own"))
+    two = all_.withColumn("other", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(others)))
+    key = F.when(F.col("chunks").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")))
+    return two.withColumn("cell", key).drop("chunks", "own", "other")
+
+
+def related(nodes: DataFrame, *, bits: int = 4, groups: int = 7, kept: int = 3, wide: int = 16_384) -> DataFrame:
+    """(a, b): pairs of (node, fp) rows whose fingerprints differ in at most `bits` bits, as a written table: all of
+    them for small cells and a spanning forest for large ones.
+
+    `groups - bits >= kept` is asked for: else pairs that share no cell would be lost.
     """
+    if groups - bits < kept:
+        raise ValueError(f"{groups} groups of which {kept} are equal don't reach {bits} bits")
     masks = grid_masks(groups, kept)
     u = unary(F.col("fp"))
     at = F.posexplode(F.array(*[u.bitwiseAND(F.lit(m)) for m in masks])).alias("grid", "cell")
-    return _searched(nodes.select("node", "fp", at), partial(Cells, bits, masks, spanning), wide)
-
-
-def _searched(cells: DataFrame, kind: Callable[..., Cells], wide: int) -> DataFrame:
-    """The close pairs of all cells (grid, cell, node, fp), as a written table of RELATED."""
-    out = materialize(_dealt(cells).mapInArrow(kind(wide=wide).run, RELATED), "related")
-    spill = out.where(f"kind = {OVERFLOW}")
+    cells = nodes.select("node", "fp", at)
+    out = materialize(_dealt(cells).mapInArrow(PrintCells(bits, masks, wide=wide).run, LINKS), "related")
+    links = out.where(f"kind = {LINK}").select("a", "b")
+    spill = out.where(f"kind = {OPEN}").select("grid", "cell", F.col("a").alias("node"))
     if spill.isEmpty():
-        return out
-    # cells beyond `wide`: chunks of half as many, every two of them a cell of its own
-    per = spill.groupBy("grid", "cell").agg(F.ceil(F.count("*") / F.lit(wide // 2)).alias("chunks"))
-    mine = spill.join(per, ["grid", "cell"]).withColumn("own", F.pmod(F.xxhash64("a"), F.col("chunks")))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    two = mine.select("grid", "cell", "a", "fa", "own", other)
-    key = F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))
-    two = two.select("grid", key.alias("cell"), F.col("a").alias("node"), F.col("fa").alias("fp"))
-    more = _dealt(two).mapInArrow(kind(wide=1 << 62).run, RELATED)
-    return materialize(out.where(f"kind <> {OVERFLOW}").unionByName(more), "related")
+        return links
+    more = _dealt(chunked(spill.join(nodes, "node"), wide)).mapInArrow(PrintCells(bits, masks, wide=1 << 62).run, LINKS)
+    return materialize(links.unionByName(more.select("a", "b")), "related")
 
 
 def simhash_components(docs: DataFrame, *, size: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,7 +298,7 @@ def simhash_components(docs: DataFrame, *, size: int = 4, bits: int = 4, id_col:
     fps = materialize(fingerprints(docs, size, False, id_col, text_col), "fps")
     least = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     links = related(least.select(F.col("fp").alias("node"), "fp"), bits=bits)
-    roots = materialize(components(links.select("a", "b")), "roots")
+    roots = materialize(components(links), "roots")
     with_root = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = with_root.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = with_root.join(best, "root").select("fp", "component_id")
@@ -275,18 +310,11 @@ def op7_simhash_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
-# ---- near copies: fingerprints as a filter, shingles as the check
+# ---- near copies: links of fingerprints and prefixes of shingle sets as candidates, shingles as the check
 
-SIMILAR = 0.8
 WORDS = 5
-
-
-def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted arrays of distinct hashes; texts without words are alike."""
-    if not len(a) and not len(b):
-        return 1.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+SKETCH = 512
+_STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
 def node_of(words: list[bytes]) -> int:
@@ -294,27 +322,33 @@ def node_of(words: list[bytes]) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words), 1)).view(np.int64))
 
 
-def _with_node(text: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node = pa.array([node_of(words_of(t.as_py())) for t in batch.column(text)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, node], [*batch.schema.names, "_node"])
-
-    return run
-
-
-def with_node(docs: DataFrame, text: str) -> DataFrame:
-    """All columns and _node, the digest of the text's words."""
-    return docs.mapInArrow(_with_node(text), T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())]))
-
-
 def shingle_set(words: list[bytes]) -> np.ndarray:
-    """The sorted hashes of a text's distinct five-word shingles."""
-    return np.unique(hashes(set(shingles(words, WORDS))))
+    """The sorted 64-bit hashes of a text's distinct five-word shingles (of the whole sequence, if it is shorter)."""
+    w = hashes(words)
+    size = min(WORDS, len(w))
+    if not size:
+        return w
+    h = np.full(len(w) - size + 1, np.uint64(size))
+    for j in range(size):
+        h = (h ^ w[j : len(w) - size + 1 + j]) * _STEPS[j]
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+def sketch_of(own: np.ndarray) -> bytes:
+    """Whether each of 512 slots holds an odd number of the set's hashes: two sketches differ in at most as many bits
+    as hashes are in one set alone."""
+    return np.packbits(np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted arrays of distinct hashes have a Jaccard similarity of 0.8 or more; empty ones are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 9 * both >= 4 * (len(a) + len(b))
 
 
 def prefix(own: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The first of a set's hashes, hot ones last: so many that each set with a similarity of 0.8 shares one of them.
+    """The first of a set's hashes, hot ones last: so many that two sets with a similarity of 0.8 share one of them.
 
     The two sets share at least 4/5 of either, so the hashes before the first shared one are at most the other fifth.
     """
@@ -324,42 +358,45 @@ def prefix(own: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.r_[own[~common], own[common]][: len(own) - (4 * len(own) + 4) // 5 + 1]
 
 
-class Prefixes(Cells):
-    """Cells of sets that share a hash of their prefixes; fp has a set's size above 32 bits of the hash's place."""
+def _with_node(text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = pa.array([node_of(words_of(t.as_py())) for t in batch.column(text)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, node], [*batch.schema.names, "_node"])
 
-    def __init__(self, small: int = 16, wide: int = 16_384, dense: int = 4):
-        super().__init__(0, [], False, small, wide, dense)
+    return run
 
-    def close(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether as many hashes can be shared as a similarity of 0.8 needs, if this is the first that is."""
-        up, low = np.uint64(32), np.uint64((1 << 32) - 1)
-        most = np.minimum((a >> up) - (a & low), (b >> up) - (b & low))
-        return np.uint64(9) * most >= np.uint64(4) * ((a >> up) + (b >> up))
+
+def with_node(docs: DataFrame, text: str) -> DataFrame:
+    """All columns and _node, the digest of the text's words."""
+    return docs.mapInArrow(_with_node(text), T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())]))
+
+
+SIGNED = "doc_id long, node long, fp long, size long, sketch binary, head binary"
 
 
 def _signed(hot):
-    """A text's words as one digest (node), the SimHash of its distinct word pairs, its words' number, the size of
-    its set of shingles and the set's prefix."""
+    """A text's words as one digest (node), the SimHash of its set of shingles, the set's size, sketch and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, fp, n, size, head = [], [], [], [], []
+            node, fp, size, sketch, head = [], [], [], [], []
             for t in batch.column("text"):
                 w = words_of(t.as_py())
                 own = shingle_set(w)
                 node.append(node_of(w))
-                fp.append(majority(hashes(set(shingles(w, 2)))))
-                n.append(len(w))
+                fp.append(majority(own))
                 size.append(len(own))
+                sketch.append(sketch_of(own))
                 head.append(prefix(own, hot.value).astype("<u8").tobytes())
-            rest = [pa.array(x, pa.int64()) for x in (node, fp, n, size)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *rest, pa.array(head, pa.binary())], ["doc_id", "node", "fp", "n", "size", "head"])
+            numbers = [pa.array(x, pa.int64()) for x in (node, fp, size)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers, pa.array(sketch, pa.binary()), pa.array(head, pa.binary())], ["doc_id", "node", "fp", "size", "sketch", "head"])
 
     return run
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each hash of each prefix, in cells of the hash."""
+    """A row for each hash of each prefix, in cells of the hash; fp: the set's size above 32 bits of the hash's place."""
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
@@ -368,7 +405,94 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cell = np.concatenate(heads)
             node, size = (np.repeat(part.column(c).to_numpy(), many) for c in ("node", "size"))
             place = np.arange(len(cell)) - np.repeat(np.cumsum(many) - many, many)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.zeros(len(cell), np.int32), cell, node, size << 32 | place)], ["grid", "cell", "node", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.zeros(len(cell), np.int64), cell, node, size << 32 | place)], ["grid", "cell", "node", "fp"])
+
+
+def _reachable(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether as many hashes can be shared as a similarity of 0.8 needs, if the cell's is the first that is."""
+    low = (1 << 32) - 1
+    size, rest = fp >> 32, (fp >> 32) - (fp & low)
+    return 9 * np.minimum(rest[i], rest[j]) >= 4 * (size[i] + size[j])
+
+
+class PrefixCells(Cells):
+    """Cells of sets that share a hash of their prefixes. Pairs of small cells come out, the members of larger ones."""
+
+    def __init__(self, small: int = 12, wide: int = 16_384):
+        super().__init__(small, wide)
+
+    def near(self, cols, i, j):
+        return _reachable(cols[3], i, j)
+
+    def of(self, cols):
+        yield from self.neighbours(cols)
+        edge, size = _shape(cols)
+        large = np.repeat(size > self.small, size)
+        if large.any():
+            yield OPEN, cols[0][large], cols[1][large], cols[2][large], cols[3][large]
+
+    def whole(self, cols, k):
+        grid, cell, node, fp = (c[:k] for c in cols)
+        return OPEN, grid, cell, node, fp
+
+
+class SketchCells(Cells):
+    """Large cells with the sets' sketches and the components known so far: gives off pairs of different components
+    that may be similar, a spanning forest of them (in an order that is the same in all cells) or `every` one."""
+
+    columns = ("grid", "cell", "node", "fp", "sketch", "comp")
+
+    def __init__(self, seed: int, every: bool, wide: int = 1 << 62):
+        super().__init__(0, wide)
+        self.seed, self.every = seed, every
+        self.home, self.seen = None, np.zeros((0, 2), np.int64)
+
+    def of(self, cols):
+        """Pairs that the cells of one grid before have not given off: copies share most of their cells."""
+        cut = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1], True])
+        for lo, hi in zip(cut, cut[1:]):
+            part = [c[lo:hi] for c in cols]
+            if self.home != part[0][0] or len(self.seen) > 1_000_000:
+                self.home, self.seen = part[0][0], self.seen[:0]
+            got = [np.sort(np.c_[x[3], x[4]], axis=1) for x in self.each(part)]
+            if not got:
+                continue
+            both = np.concatenate([self.seen, *got])
+            rows, first = np.unique(both, axis=0, return_index=True)
+            new = rows[first >= len(self.seen)]
+            self.seen = rows
+            if len(new):
+                same = np.full(len(new), self.home)
+                yield LINK, same, same, new[:, 0], new[:, 1]
+
+    def each(self, cols):
+        edge, size = _shape(cols)
+        for k in range(len(edge)):
+            s = slice(edge[k], edge[k] + size[k])
+            _, _, node, fp, sketch, comp = (c[s] for c in cols)
+            if (comp == comp[0]).all():
+                continue
+            n = fp >> 32
+
+            def near(x, left):
+                ok = _reachable(fp, left, np.full(len(left), x))  # noqa: B023
+                at = np.flatnonzero(ok)
+                apart = np.bitwise_count(sketch[left[at]] ^ sketch[x]).sum(1, dtype=np.int64)  # noqa: B023
+                ok[at] = 9 * apart <= n[left[at]] + n[x]  # noqa: B023
+                return ok
+
+            if self.every:
+                for x in range(len(node) - 1):
+                    left = np.arange(x + 1, len(node))
+                    left = left[comp[left] != comp[x]]
+                    got = left[near(x, left)]
+                    if len(got):
+                        yield LINK, cols[0][s][got], cols[1][s][got], np.full(len(got), node[x]), node[got]
+            else:
+                mixed = (node.view(np.uint64) ^ np.uint64(self.seed)) * _STEPS[0]
+                a, b = forest(np.argsort(mixed ^ mixed >> np.uint64(32), kind="stable"), near, comp)
+                if len(a):
+                    yield LINK, cols[0][s][a], cols[1][s][a], node[a], node[b]
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,7 +504,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def hot_hashes(docs: DataFrame, sample: int = 4000, least: int = 8, most: int = 100_000) -> np.ndarray:
     """Sorted hashes of the shingles that many of a sample of documents have. They come last in the prefixes' order,
     which keeps cells small; any order finds the same links."""
-    ids = hash_sample(docs.where("doc_id is not null").select("doc_id"), F.col("doc_id"), sample, docs.count()).distinct()
+    ids = hash_sample(docs.where("doc_id is not null").select("doc_id"), F.col("doc_id"), sample, docs.count())
     some = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text")
     often = some.mapInArrow(_hashed, "hash long").groupBy("hash").count().where(F.col("count") >= least).orderBy(F.desc("count"), "hash").limit(most)
     return np.sort(np.array([r["hash"] for r in often.select("hash").collect()], np.int64).view(np.uint64))
@@ -392,96 +516,104 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], ["node", "set"])
 
 
+def _may_be_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches and sizes allow for a similarity of 0.8."""
+    for batch in batches:
+        ka, kb, na, nb = (_numbers(batch.column(c)) for c in ("ka", "kb", "na", "nb"))
+        ok = (9 * np.bitwise_count(ka ^ kb).sum(1, dtype=np.int64) <= na + nb) & (9 * np.minimum(na, nb) >= 4 * (na + nb))
+        yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sa, sb = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
-        keep = [overlap(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= SIMILAR for x, y in zip(sa, sb)]
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
-
-
-def _spanned(frame):
-    """Links of one dense cell: breadth first over what is not yet reached, by the shingles themselves. An index from
-    hashes to sets counts what one set shares with all others at once."""
-    import pandas as pd
-
-    sets = [np.frombuffer(s, "<u8") for s in frame["set"]]
-    node, size = frame["node"].to_numpy(), np.array([len(s) for s in sets])
-    _, at, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), size)[np.argsort(at, kind="stable")]
-    start, edge = np.cumsum(many) - many, np.r_[0, np.cumsum(size)]
-    left, a, b = np.ones(len(sets), bool), [], []
-    for first in range(len(sets)):
-        queue = [first] if left[first] else []
-        left[first] = False
-        while queue and left.any():
-            x = queue.pop()
-            own = at[edge[x] : edge[x + 1]]
-            own = own[many[own] > 1]
-            n = many[own]
-            places = np.repeat(start[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            both = np.bincount(owner[places], minlength=len(sets))
-            hit = np.flatnonzero(left & (both / (size[x] + size - both) >= SIMILAR))
-            a += [node[x]] * len(hit)
-            b += node[hit].tolist()
-            queue += hit.tolist()
-            left[hit] = False
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-
-def near_copies(docs: DataFrame, *, bits: int = 12, groups: int = 8, kept: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        keep = [overlap(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")) for x, y in zip(batch.column("sa"), batch.column("sb"))]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the wanted (node, least): one document of each. Other texts are neither cut up nor moved."""
+    ids = wanted.select("least").distinct()
+    some = with_node(docs.join(ids, docs.doc_id.eqNullSafe(ids.least), "left_semi").select("doc_id", "text"), "text")
+    own = wanted.withColumnRenamed("node", "_own")
+    some = some.join(own, (some._node == own._own) & some.doc_id.eqNullSafe(own.least), "left_semi")
+    return some.select(F.col("_node").alias("node"), "text").dropDuplicates(["node"])
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, *, bits: int = 4, small: int = 12, wide: int = 16_384) -> DataFrame:
+    """(node, root) for nodes that a similarity of 0.8 or more links to others.
+
+    nodes: (node, least, fp, size, sketch, head); docs: (doc_id, text). Candidates are the links of the fingerprints, all
+    pairs of small prefix cells and, of large ones, a spanning forest; shingles decide. What large cells may still
+    link between the components so found is asked for once more as a forest, and in the end pair by pair.
+    """
+    heads = nodes.select("node", "size", "head").mapInArrow(_heads, "grid long, cell long, node long, fp long")
+    found = materialize(_dealt(heads).mapInArrow(PrefixCells(small, wide).run, LINKS), "cells")
+    members = found.where(f"kind = {OPEN}").select(F.lit(0).alias("grid"), "cell", F.col("a").alias("node"), F.col("b").alias("fp"))
+    members = chunked(members, wide)
+    # cells of one smallest member are searched in one task, as they have most pairs in common; very large ones alone
+    per = members.groupBy("cell").agg(F.min("node").alias("home"), F.count("*").alias("many"))
+    grid = F.when(F.col("many") <= wide // 4, F.col("home")).otherwise(F.col("cell")).alias("grid")
+    members = members.drop("grid").join(per.select("cell", grid), "cell").join(nodes.select("node", "sketch"), "node")
+    members = materialize(members, "members")
+    sketches = nodes.select("node", "sketch", "size")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        sa = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("ka"), F.col("size").alias("na"))
+        sb = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("kb"), F.col("size").alias("nb"))
+        may = materialize(pairs.join(sa, "a").join(sb, "b").select("a", "b", "ka", "kb", "na", "nb").mapInArrow(_may_be_alike, "a long, b long"), "may")
+        wanted = may.select(F.col("a").alias("node")).unionByName(may.select(F.col("b").alias("node"))).distinct()
+        wanted = materialize(nodes.select("node", "least").join(wanted, "node", "left_semi"), "wanted")
+        sets = materialize(texts_of(docs, wanted).mapInArrow(_sets, "node long, set binary"), "sets")
+        ta, tb = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
+        return materialize(may.join(ta, "a").join(tb, "b").select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long"), "links")
+
+    def between(roots: DataFrame | None, seed: int, every: bool) -> DataFrame:
+        known = members.withColumn("comp", F.col("node"))
+        if roots is not None:
+            known = members.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        return _dealt(known, "grid").mapInArrow(SketchCells(seed, every).run, LINKS).select("a", "b")
+
+    first = related(nodes.select("node", "fp"), bits=bits).unionByName(found.where(f"kind = {LINK}").select("a", "b"))
+    links = verified(first.unionByName(between(None, 1, False)))
+    for seed, every in ((2, False), (3, True)):
+        roots = materialize(components(links), "roots")
+        more = materialize(between(roots, seed, every), "between")
+        if more.isEmpty():
+            return roots
+        links = materialize(links.unionByName(verified(more)), "links")
+    return materialize(components(links), "roots")
+
+
+def near_copies(docs: DataFrame, *, bits: int = 4, small: int = 12, wide: int = 16_384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, node, root): texts of equal words share a node; nodes whose five-word shingles have a Jaccard
     similarity of 0.8 or more share a root, through others too.
 
-    Fingerprints of five-word shingles lie 5 to 18 bits apart at that similarity, too far for a grid, and those of the
-    distinct word pairs, by which the grid finds candidates here, may lie over 12 bits apart too. So texts whose
-    shingles' prefixes meet are candidates as well, which leaves none out; shingles decide. Texts without words are
-    one node.
+    Texts without words are one node; a text of fewer words than five is one shingle. Null ids are rows like others.
+    No pair at the similarity is lost: see similar_links. An empty table gives none.
     """
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     hot = docs.sparkSession.sparkContext.broadcast(hot_hashes(docs))
-    signed = materialize(docs.mapInArrow(_signed(hot), "doc_id long, node long, fp long, n long, size long, head binary"), "signed")
-    nodes = materialize(signed.where("n > 0").groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least"), F.max("size").alias("size"), F.max("head").alias("head")), "nodes")
-    found = related(nodes.select("node", "fp"), bits=bits, groups=groups, kept=kept, spanning=False)
-    heads = nodes.select("node", "size", "head").mapInArrow(_heads, "grid int, cell long, node long, fp long")
-    again = _searched(heads, Prefixes, 16_384)
-    found = found.unionByName(again.withColumn("grid", F.col("grid") - 1000))  # cells of its own
-    pairs = materialize(found.where(f"kind = {LINK}").select("a", "b").distinct(), "pairs")
-    dense = found.where(f"kind = {DENSE}").select("grid", "cell", F.col("a").alias("node"))
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(dense.select("node")).distinct()
-    # one document of each node that is in a pair; its text alone is read again
-    chosen = nodes.join(wanted, "node", "left_semi").select("node", "least")
-    tagged = with_node(docs, "text")
-    texts = tagged.join(chosen, (tagged._node == chosen.node) & tagged.doc_id.eqNullSafe(chosen.least)).select("node", "text")
-    sets = materialize(texts.mapInArrow(_sets, "node long, set binary").groupBy("node").agg(F.max("set").alias("set")), "sets")
-    sa, sb = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    links = pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long")
-    if not dense.isEmpty():
-
-        def spanned(cells: DataFrame) -> DataFrame:
-            return cells.join(sets, "node").groupBy("grid", "cell").applyInPandas(_spanned, "a long, b long")
-
-        # one cell of each node first; then those cells alone whose members these links leave apart
-        one = dense.groupBy("node").agg(F.min(F.struct("grid", "cell")).alias("x")).select("x.*", "node")
-        links = materialize(links.unionByName(spanned(one)), "links")
-        apart = dense.join(materialize(components(links), "roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        apart = apart.groupBy("grid", "cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        links = links.unionByName(spanned(dense.join(apart.select("grid", "cell"), ["grid", "cell"], "left_semi")))
-    roots = materialize(components(links), "roots").withColumnRenamed("node", "_node")
+    signed = materialize(docs.mapInArrow(_signed(hot), SIGNED), "signed")
+    most = [F.max(c).alias(c) for c in ("fp", "size", "sketch", "head")]  # equal in all rows of a node
+    nodes = materialize(signed.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("least"), *most), "nodes")
+    roots = similar_links(nodes, docs, bits=bits, small=small, wide=wide).withColumnRenamed("node", "_node")
     out = signed.join(roots, signed.node == roots._node, "left")
     return out.select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The documents, one of each group of near copies: that of the smallest doc_id (nulls last). Rows that repeat
-    it are dropped; all columns stay."""
+    """The documents, one of each group of near copies: that of the smallest doc_id (nulls last); of rows that repeat
+    its id and words, the one that comes first as JSON. All columns stay, of any type."""
     groups = materialize(near_copies(docs, id_col=id_col, text_col=text_col, **kw), "groups")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
-    best = groups.groupBy("root").agg(F.min_by("doc_id", first).alias("_win"), F.min_by("node", first).alias("_own")).select("_win", "_own")
+    best = materialize(groups.groupBy("root").agg(F.min_by("doc_id", first).alias("_win"), F.min_by("node", first).alias("_own")).select("_win", "_own"), "kept")
     names = docs.columns
-    flat = with_node(docs.toDF(*[f"_c{i}" for i in range(len(names))]), f"_c{names.index(text_col)}")
-    key = F.col(f"_c{names.index(id_col)}").cast("long")
-    kept = flat.join(best, (F.col("_node") == F.col("_own")) & key.eqNullSafe(F.col("_win")))
     cols = [f"_c{i}" for i in range(len(names))]
-    if not groups.groupBy("doc_id", "node").count().where("count > 1").isEmpty():  # rows of the same id and words: the least of them stays
-        kept = kept.groupBy("_own").agg(F.min(F.struct(*cols)).alias("_row")).select("_row.*")
+    flat = with_node(docs.toDF(*cols), f"_c{place_of(docs, text_col)}")
+    key = F.col(f"_c{place_of(docs, id_col)}").cast("long")
+    kept = flat.join(best, (F.col("_node") == F.col("_own")) & key.eqNullSafe(F.col("_win")))
+    if not groups.groupBy("doc_id", "node").count().where("count > 1").isEmpty():
+        row = F.struct(*cols)
+        kept = kept.groupBy("_own").agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
     return kept.select(*[F.col(c).alias(n) for c, n in zip(cols, names)])

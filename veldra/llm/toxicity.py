@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldra.llm.common import hash_sample, pick, table
+from veldra.llm.common import hash_sample, kept_rows, pick, place_of, table
 
 SAMPLE = 4000
 GRADES = 4
@@ -145,7 +145,7 @@ def grade(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: s
     return docs.mapInArrow(_score(sent), "doc_id long, severity double, grade int, toxic boolean")
 
 
-def _filtered(sent, text: str):
+def _filtered(sent, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
@@ -156,8 +156,8 @@ def _filtered(sent, text: str):
 
 def clean(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are not rejected, with all their columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), labels, sample))
-    return docs.mapInArrow(_filtered(sent, text_col), docs.schema)
+    sent = docs.sparkSession.sparkContext.broadcast(train(pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")), labels, sample))
+    return kept_rows(docs, _filtered(sent, place_of(docs, text_col)))
 
 
 def op8_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
