@@ -169,6 +169,22 @@ def test_near_copies_lose_none(spark):
     assert near > 300 and groups(root.get) == groups(top)
 
 
+def test_words_are_cut_alike():
+    """Hashes from running sums against words cut one by one, over texts in one piece and in several."""
+    import pyarrow as pa
+
+    r, known = random.Random(1), {}
+    texts = [None, "", " ", "A b\tC\n", "é É x"] + ["".join(r.choice("aB \n\x0b é") for _ in range(r.randint(0, 60))) for _ in range(500)]
+    for piece in (8, 64, 1 << 20):
+        for column in (pa.array(texts), pa.array(texts)[3:], pa.array(texts[:0], pa.string())):
+            got = list(simhash.cut_words(column, piece))
+            assert len(got) == len(column)
+            for t, found in zip(column.to_pylist(), got):
+                assert len(found) == len(simhash.words_of(t))
+                assert all(known.setdefault(w, h) == h for w, h in zip(simhash.words_of(t), found.tolist()))
+    assert len(set(known.values())) == len(known)
+
+
 def similar_groups(texts):
     """Groups of texts by brute force: all pairs of their sets of five-word shingles."""
     sets = []

@@ -18,8 +18,7 @@ fingerprints can't promise a similarity, complete them by the prefixes of their
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import partial
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +48,7 @@ def shingles(words: list[bytes], size: int) -> list[bytes]:
 
 
 def hashes(parts, seed: int = 42) -> np.ndarray:
-    digest = partial(xxhash.xxh64_intdigest, seed=seed)
-    return np.fromiter(map(digest, parts), np.uint64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), np.uint64, len(parts))
 
 
 def majority(h: np.ndarray) -> int:
@@ -317,22 +315,86 @@ SKETCH = 512
 _STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
-def node_of(words: list[bytes]) -> int:
+#: fixed odd multiplier of the words' polynomial hashes and its inverse, and bytes whose letters A-Z are lower-cased
+_P = np.uint64(0xD1342543DE82EF95)
+_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
+_BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTES[65:91] = _BYTES[97:123]
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS["up"]) < n:
+        for name, by in (("up", _P), ("down", _INVERSE)):
+            x = np.full(n, by)
+            x[0] = 1
+            _POWERS[name] = np.multiply.accumulate(x)
+    return _POWERS["up"][:n], _POWERS["down"]
+
+
+def _words_in(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of a piece of UTF-8, and where they begin. No word crosses a cut."""
+    space = _SPACE[buf]
+    broken = np.r_[True, space[:-1]]
+    broken[cuts[cuts < len(buf)]] = True
+    start = np.flatnonzero(~space & broken)
+    ended = np.r_[space[1:], True]
+    at = cuts[(cuts > 0) & (cuts <= len(buf))] - 1
+    ended[at] = True
+    end = np.flatnonzero(~space & ended) + 1
+    up, down = _powers(len(buf))
+    total = np.r_[np.uint64(0), np.cumsum(_BYTES[buf] * up)]
+    h = (total[end] - total[start]) * down[start] ^ (end - start).astype(np.uint64)
+    h *= _STEPS[0]
+    return h ^ h >> np.uint64(32), start
+
+
+def cut_words(texts: pa.Array, piece: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The hashes of each text's words, for many texts or a part of a long one at a time: a polynomial over their
+    bytes, from one running sum. Null texts have none."""
+    texts = texts.cast(pa.large_binary())
+    if texts.null_count:
+        texts = texts.fill_null(b"")
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + piece, side="right")) - 1)
+        if j > i + 1 or at[j] - at[i] <= piece:
+            cuts = at[i : j + 1] - at[i]
+            h, start = _words_in(data[at[i] : at[j]], cuts[:-1]) if at[j] > at[i] else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            edge = np.searchsorted(start, cuts)
+            yield from (h[a:b] for a, b in zip(edge, edge[1:]))
+        else:  # one text in pieces that end at white space
+            parts, pos = [], int(at[i])
+            while pos < at[j]:
+                stop = min(pos + piece, int(at[j]))
+                while stop < at[j] and not _SPACE[data[stop - 1]]:
+                    ahead = np.flatnonzero(_SPACE[data[stop : min(stop + piece, int(at[j]))]])
+                    stop = stop + int(ahead[0]) + 1 if len(ahead) else min(stop + piece, int(at[j]))
+                parts.append(_words_in(data[pos:stop], np.zeros(0, np.int64))[0])
+                pos = stop
+            yield np.concatenate(parts)
+        i = j
+
+
+def node_of(words: np.ndarray) -> int:
     """A digest of a text's words."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words), 1)).view(np.int64))
+    return int(np.uint64(xxhash.xxh3_64_intdigest(words.tobytes(), 1)).view(np.int64))
 
 
-def shingle_set(words: list[bytes]) -> np.ndarray:
+def shingle_set(words: np.ndarray) -> np.ndarray:
     """The sorted 64-bit hashes of a text's distinct five-word shingles (of the whole sequence, if it is shorter)."""
-    w = hashes(words)
-    size = min(WORDS, len(w))
+    size = min(WORDS, len(words))
     if not size:
-        return w
-    h = np.full(len(w) - size + 1, np.uint64(size))
+        return words
+    h = np.full(len(words) - size + 1, np.uint64(size))
     for j in range(size):
-        h = (h ^ w[j : len(w) - size + 1 + j]) * _STEPS[j]
+        h = (h ^ words[j : len(words) - size + 1 + j]) * _STEPS[j]
         h ^= h >> np.uint64(29)
-    return np.unique(h)
+    h.sort()
+    return h[np.r_[True, h[1:] != h[:-1]]]
 
 
 def sketch_of(own: np.ndarray) -> bytes:
@@ -361,7 +423,7 @@ def prefix(own: np.ndarray, hot: np.ndarray) -> np.ndarray:
 def _with_node(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = pa.array([node_of(words_of(t.as_py())) for t in batch.column(text)], pa.int64())
+            node = pa.array([node_of(w) for w in cut_words(batch.column(text))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, node], [*batch.schema.names, "_node"])
 
     return run
@@ -381,8 +443,7 @@ def _signed(hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, fp, size, sketch, head = [], [], [], [], []
-            for t in batch.column("text"):
-                w = words_of(t.as_py())
+            for w in cut_words(batch.column("text")):
                 own = shingle_set(w)
                 node.append(node_of(w))
                 fp.append(majority(own))
@@ -497,8 +558,8 @@ class SketchCells(Cells):
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for t in batch.column("text"):
-            yield pa.RecordBatch.from_arrays([pa.array(shingle_set(words_of(t.as_py())).view(np.int64))], ["hash"])
+        for w in cut_words(batch.column("text")):
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_set(w).view(np.int64))], ["hash"])
 
 
 def hot_hashes(docs: DataFrame, sample: int = 4000, least: int = 8, most: int = 100_000) -> np.ndarray:
@@ -512,7 +573,7 @@ def hot_hashes(docs: DataFrame, sample: int = 4000, least: int = 8, most: int =
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [shingle_set(words_of(t.as_py())).astype("<u8").tobytes() for t in batch.column("text")]
+        out = [shingle_set(w).astype("<u8").tobytes() for w in cut_words(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], ["node", "set"])
 
 
@@ -575,6 +636,8 @@ def similar_links(nodes: DataFrame, docs: DataFrame, *, bits: int = 4, small: in
         return _dealt(known, "grid").mapInArrow(SketchCells(seed, every).run, LINKS).select("a", "b")
 
     first = related(nodes.select("node", "fp"), bits=bits).unionByName(found.where(f"kind = {LINK}").select("a", "b"))
+    if members.isEmpty():
+        return materialize(components(verified(first)), "roots")
     links = verified(first.unionByName(between(None, 1, False)))
     for seed, every in ((2, False), (3, True)):
         roots = materialize(components(links), "roots")
