@@ -1,11 +1,14 @@
 """Personal data by candidate gradient boosting, in DataFrame functions only.
 
 Base spans follow fixed formats (email, ip, card, phone). High-recall generators propose further, overlapping
-candidates: formats with the telling sign left off or spelled out. Boosted trees score a candidate by its format and
-its context; a threshold for each kind, calibrated on held-out candidates, selects what is added to the base spans.
-The trees are fitted on the driver from a bounded sample of candidates, with the base formats as labels and without
-the sign that makes them (the at sign, the plus, the exact number of digits), so that they judge what the formats
-miss by its looks and surroundings; they are then laid out as nested conditions. No Python runs on executors.
+candidates: addresses with their signs spelled out or bracketed, and every run of numbers, with and without spaces, as
+an ip, a card and a phone. Boosted trees score a candidate by its format and its context; a threshold for each kind,
+calibrated on held-out candidates, selects what is added to the base spans. The trees are fitted on the driver from a
+bounded sample of candidates, with the base formats as labels. Their telling signs are masked (the at sign and how
+dots are written, the plus, a card's number of digits is no gate), so that they judge by looks and surroundings what
+the formats miss; runs of numbers of other kinds are their negatives, and so are near misses: the candidates of the
+right label with their check broken (the check sum, the octets). The trees are then laid out as nested conditions. No
+Python runs on executors.
 
 Matching is linear in the text, also in very long runs: a run is entered at its start or where a match has ended, and
 its characters are never given back. The one loop over a group is possessive, which runs without recursion.
@@ -32,13 +35,18 @@ CARD = r"[0-9 -]{2,}+"
 CARD_GATE = r"[0-9][ -]?+[0-9][ -]?+[0-9][ -]?+[0-9][ -]?+[0-9][ -]?+[0-9][ -]?+[0-9][ -]?+[0-9]"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 
-#: generators of candidates: (kind, pattern, gate)
+#: generators of candidates: (kinds, pattern, gate). Loops over groups are possessive
+_AT, _DOT = r" ?+(?:@|\(at\)|\[at\]) ?+| at ", r" ?+(?:\(dot\)|\[dot\]|\.) ?+| dot "
+_DOTS = r" ?+(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)) ?+| \. | dot "
+_NUMBERS = rf"\(?+[0-9]++(?:(?:{_DOTS}|[ .,:/()-]{{1,3}}+)[0-9]++)*+"
+_TIGHT = r"[0-9]++(?:[.,:/()-]{1,2}+[0-9]++)*+"
 GENERATORS = [
-    ("email", rf"(?<![{LOCAL}@])[{LOCAL}]++ ?+(?:@|\(at\)|\[at\]| at ) ?+[{HOST}]++ ?+(?:\.|\(dot\)|\[dot\]| dot ) ?+[A-Za-z]{{2,12}}+", r"@|\(at\)|\[at\]| at "),
-    ("ip", r"(?<![0-9.])[0-9]{1,3}+(?: ?\. ?|,|\[\.\])[0-9]{1,3}+(?: ?\. ?|,|\[\.\])[0-9]{1,3}+(?: ?\. ?|,|\[\.\])[0-9]{1,3}+(?![0-9])", r"[0-9](?: ?\. ?|,|\[\.\])[0-9]"),
-    ("card", r"(?<![0-9])[0-9]{4}+[ ./-][0-9]{4}+[ ./-][0-9]{4}+[ ./-][0-9]{4}+(?![0-9])|(?<![0-9])[0-9]{13,19}+(?![0-9])", r"[0-9]{4}[ ./-][0-9]{4}|[0-9]{13}"),
-    ("phone", r"(?<![0-9+])\(?+[0-9]{2,4}+\)?+[ .-][0-9]{3,4}+[ .-][0-9]{3,6}+(?![0-9])|(?<![0-9])00[0-9][ ().0-9-]{6,20}[0-9](?![0-9])", r"[0-9][ .)-]++[0-9]{3}|00[0-9]"),
+    (["email"], rf"(?<![{LOCAL}@])[{LOCAL}]++(?:{_AT})[{HOST}]++(?:(?:{_DOT})[{HOST}]++)++", rf"@|[(\[]at[)\]]| at [{HOST}]++(?:{_DOT})[{HOST}]"),
+    (["ip", "card", "phone"], _NUMBERS, "[0-9]"),
+    (["ip", "card", "phone"], _TIGHT, "[0-9]"),
 ]
+#: how many digits a candidate of a kind may have
+DIGITS = {"ip": (4, 16), "card": (8, 20), "phone": (7, 16)}
 
 SPAN = "array<struct<s:int,e:int,m:string>>"
 CONTEXT = 24
@@ -107,7 +115,12 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 # ---- candidates and their features
 
-FEATURES = ["digits", "length", "separators", "groups", "longest_group", "brackets", "letters", "before_word", "before_digit", "after_word", "after_digit", "before_sign", "line_start", "hint", "luhn", "dots"]
+FEATURES = [
+    "digits", "length", "spaces", "dashes", "brackets", "groups", "longest_group", "shortest_group", "letters", "capitals", "dots",
+    "before_word", "before_digit", "after_word", "after_digit", "before_sign", "line_start", "hint", "luhn", "octets",
+]
+#: the check that a near miss of a kind fails
+CHECKS = {"card": "luhn", "ip": "octets"}
 HINTS = {
     "email": "mail|contact|write|reach|address",
     "ip": "ip|host|server|addr|login|from",
@@ -117,41 +130,50 @@ HINTS = {
 
 
 def candidate_rows(text: Column) -> Column:
-    """All candidates: array of (kind, s, e, m)."""
+    """All candidates, each once: array of (kind, s, e, m)."""
     out = []
-    for k, pattern, gate in GENERATORS:
+    for kinds, pattern, gate in GENERATORS:
         found = located(text, pattern, text.rlike(gate))
-        out.append(F.transform(found, _of_kind(KINDS.index(k), "s", "e", "m")))
-    return F.concat(*out)
+        for kind in kinds:
+            mine = found
+            if kind in DIGITS:
+                mine = F.filter(found, lambda x: (F.char_length(x["m"]) <= 64) & _between(F.char_length(digits_of(x["m"])), *DIGITS[kind]))  # noqa: B023
+            out.append(F.transform(mine, _of_kind(KINDS.index(kind), "s", "e", "m")))
+    return F.array_distinct(F.concat(*out))
 
 
 def features(text: Column, x: Column) -> list[Column]:
-    """Numbers that describe a candidate, in the order of FEATURES."""
-    m, d = x["m"], digits_of(x["m"])
-    core = F.regexp_replace(m, "^[(+]", "")
+    """Numbers that describe a candidate, in the order of FEATURES. Dots and at signs count however they are written;
+    of an ip, signs other than dots don't."""
+    d = digits_of(x["m"])
+    core = F.regexp_replace(F.regexp_replace(F.regexp_replace(x["m"], r"^\(", ""), _AT, "@"), rf"{_DOTS}|(?<=[A-Za-z0-9])\. ?+(?=[A-Za-z0-9])", ".")
     groups = F.filter(F.split(core, "[^0-9A-Za-z]+"), lambda g: g != "")
+    count = lambda keep: F.char_length(F.regexp_replace(core, keep, ""))
     before = F.substring(text, F.greatest(x["s"] - CONTEXT + 1, F.lit(1)), F.least(x["s"], F.lit(CONTEXT)))
     last = F.when(x["s"] > 0, F.substring(text, x["s"], F.lit(1))).otherwise(F.lit(""))
     nxt = F.substring(text, x["e"] + 1, F.lit(1))
     hint = F.lit(False)
     for k, words in HINTS.items():
         hint = hint | ((x["kind"] == KINDS.index(k)) & F.lower(before).rlike(words))
+    octet = lambda g: F.coalesce(g.try_cast("int"), F.lit(999)) <= 255
     cols = [
-        F.char_length(d), F.char_length(core), F.char_length(F.regexp_replace(core, "[^ .,/-]", "")), F.size(groups),
-        F.coalesce(F.array_max(F.transform(groups, F.char_length)), F.lit(0)), core.rlike(r"[()\[\]]"), F.char_length(F.regexp_replace(core, "[^A-Za-z]", "")),
+        F.char_length(d), F.char_length(core), count("[^ ]"), count("[^-]"), count(r"[^()\[\]]"), F.size(groups),
+        F.array_max(F.transform(groups, F.char_length)), F.array_min(F.transform(groups, F.char_length)), count("[^A-Za-z]"), count("[^A-Z]"), count("[^.]"),
         last.rlike("[A-Za-z]"), last.rlike("[0-9]"), nxt.rlike("[A-Za-z]"), nxt.rlike("[0-9]"), last.rlike(r"[#$%&*/_=-]"),
-        last.isin("", "\n"), hint, F.when(x["kind"] == 2, luhn(F.substring(d, 1, 19))).otherwise(F.lit(False)), F.char_length(F.regexp_replace(core, r"[^.]", "")),
+        last.isin("", "\n"), hint, (x["kind"] == KINDS.index("card")) & luhn(F.substring(d, 1, 20)), (x["kind"] == KINDS.index("ip")) & F.forall(groups, octet),
     ]
     return [F.coalesce(c.cast("double"), F.lit(0.0)) for c in cols]
 
 
 @dataclass
 class Boosted:
-    """Trees of depth two over FEATURES for one kind, and the score from which a candidate is selected."""
+    """Trees of depth two over FEATURES for one kind, the score from which a candidate is selected, and the precision
+    that this has on held-out candidates."""
 
     bias: float
     trees: list[tuple[int, float, int, float, int, float, tuple[float, float, float, float]]]
     threshold: float
+    precision: float = 0.0
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.bias)
@@ -172,7 +194,8 @@ def _stump(x: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> tuple[int, floa
     best = (0, float("inf"), 0.0)
     g, h = grad.sum(), hess.sum()
     for f in range(x.shape[1]):
-        for v in np.unique(x[:, f])[:-1][:64]:
+        values = np.unique(x[:, f])[:-1]
+        for v in values if len(values) <= 64 else np.unique(np.quantile(values, np.linspace(0, 1, 64), method="lower")):
             left = x[:, f] <= v
             gl, hl = grad[left].sum(), hess[left].sum()
             gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
@@ -208,7 +231,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, rounds: int = 12, rate: float = 0.4, pr
     score, label = out.raw(x[held]), y[held]
     for t in np.unique(score):
         if label[score >= t].mean() >= precision and label[score >= t].sum() >= 3:
-            out.threshold = float(t)
+            out.threshold, out.precision = float(t) - 1e-9, float(label[score >= t].mean())
             break
     return out
 
@@ -223,10 +246,22 @@ def _few(found: Column, n: int) -> Column:
     return F.concat(*out)
 
 
-def train(docs: DataFrame, sample: int = 4000) -> list[Boosted]:
+def with_near_misses(x: np.ndarray, y: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Behind each candidate of the right label that passes its kind's check, the same with the check broken."""
+    if kind not in CHECKS:
+        return x, y
+    c = FEATURES.index(CHECKS[kind])
+    times = 1 + ((y > 0) & (x[:, c] > 0))
+    ax, ay = np.repeat(x, times, axis=0), np.repeat(y, times)
+    second = np.flatnonzero(np.r_[False, np.repeat(np.arange(len(y)), times)[1:] == np.repeat(np.arange(len(y)), times)[:-1]])
+    ax[second, c], ay[second] = 0, 0
+    return ax, ay
+
+
+def train(docs: DataFrame, sample: int = 4000, per_document: int = 200) -> list[Boosted]:
     """A model for each kind, from at most `sample` documents that have a candidate (those of the smallest hashes).
 
-    Of a document, at most 200 candidates of each kind count, and of all, 5 * sample of each kind: those of the
+    Of a document, at most `per_document` candidates of each kind count, and of all, 5 * sample of each kind: those of the
     smallest hashes of their places, so that neither frequent contents nor other kinds keep any out.
     """
     text = F.col("text")
@@ -234,7 +269,7 @@ def train(docs: DataFrame, sample: int = 4000) -> list[Boosted]:
     ids = hash_sample(docs.where(text.rlike(gates)).select("doc_id"), F.col("doc_id"), sample, docs.count(), spare=64)
     some = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
     base = F.concat(*[F.transform(v, _of_kind(KINDS.index(k), "s", "e")) for k, v in base_spans(text).items()])
-    rows = some.select("doc_id", "text", base.alias("base"), _few(candidate_rows(text), 200).alias("c")).select("doc_id", "text", "base", F.explode("c").alias("x"))
+    rows = some.select("doc_id", "text", base.alias("base"), _few(candidate_rows(text), per_document).alias("c")).select("doc_id", "text", "base", F.explode("c").alias("x"))
     x = F.col("x")
     hit = F.exists("base", lambda b: (b["kind"] == x["kind"]) & (b["s"] < x["e"]) & (x["s"] < b["e"]))
     got = rows.select("doc_id", x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), hit.alias("y"), F.array(*features(text, x)).alias("f"))
@@ -243,7 +278,7 @@ def train(docs: DataFrame, sample: int = 4000) -> list[Boosted]:
     for k in range(len(KINDS)):
         mine = hash_sample(got.where(F.col("kind") == k), F.struct("doc_id", "s", "e", "kind"), 5 * sample).collect()
         mx = np.array([r["f"] for r in mine], float).reshape(-1, len(FEATURES))
-        out.append(fit(mx, np.array([r["y"] for r in mine], float)))
+        out.append(fit(*with_near_misses(mx, np.array([r["y"] for r in mine], float), KINDS[k])))
     return out
 
 
@@ -253,14 +288,16 @@ def _added(text: Column, base: Column, models: list[Boosted]) -> Column:
         return F.array().cast("array<struct<kind:int,s:int,e:int>>")
 
     def chosen(x: Column) -> Column:
-        f, out = features(text, x), F.lit(False)
+        out = F.lit(False)
         for k, m in enumerate(models):
             if m.threshold < float("inf"):
-                out = out | ((x["kind"] == k) & (m.column(f) >= m.threshold))
-        return out & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+                out = out | ((x["kind"] == k) & (m.column([x["f"][i] for i in range(len(FEATURES))]) >= m.threshold))
+        return out
 
-    picked = F.filter(candidate_rows(text), chosen)
-    bare = F.array_sort(F.transform(picked, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
+    free = F.filter(candidate_rows(text), lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    # each candidate's features are worked out once, and then compared with the trees
+    seen = F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), F.array(*features(text, x)).alias("f")))
+    bare = F.array_sort(F.transform(F.filter(seen, chosen), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
     empty = F.array().cast("array<struct<kind:int,s:int,e:int>>")
     put = lambda acc, x: F.concat(acc, F.array(F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"))))
     return F.aggregate(bare, empty, lambda acc, x: F.when(F.size(acc) == 0, put(acc, x)).otherwise(F.when(F.try_element_at(acc, F.lit(-1))["e"] <= x["s"], put(acc, x)).otherwise(acc)))
@@ -286,6 +323,13 @@ def _joined(spans: str) -> Column:
 
 
 def pii_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """doc_id, the number of base spans of each kind, base_sha256 (of kind:start:end of the base spans) and spans (all
+    of them, so joined).
+
+    Null and empty texts have no spans. Repeated rows and null ids each get their row, equal texts equal values; an
+    empty table gives none. Of candidates that overlap each other the one that begins first is added, of those that
+    begin together the shorter, of equal ones the kind listed first.
+    """
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     out = find_spans(docs, **kw)
     return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
