@@ -405,6 +405,33 @@ def test_language_held_out(spark, docs, folder):
     assert np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.95
 
 
+def test_op3_row_by_row(spark, docs, folder):
+    """The query against the model fitted and applied without Spark: sf0.001 has fewer documents than the sample."""
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    learn = [rows[k] for k in sorted(rows) if zlib.crc32(str(k).encode()) % 4 != 2 and rows[k]["lang"] is not None and rows[k]["text"] is not None]
+    m = language_id.CodeModel.fit([r["text"] for r in learn], [r["lang"] for r in learn])
+    for r in language_id.op3_language_codes(spark, folder).collect():
+        (lang,), (score,), _ = m.decode([rows[r["doc_id"]]["text"]])
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-4
+
+
+def test_samples_of_few_labels(spark):
+    """One row in a hundred is labelled, and rows are repeated: the sample still has all that it may have."""
+    r = random.Random(3)
+    rows = [(i, t, "en" if i % 100 else ("de" if i % 200 else "fr")) for i, (t, _) in enumerate(toy_texts(1000, r))]
+    df = spark.createDataFrame([(i, t, lang if i % 100 == 0 else None) for i, t, lang in rows] * 2, "doc_id long, text string, lang string")
+    seen = []
+    real = language_id.CodeModel.fit.__func__
+    language_id.CodeModel.fit, kept = classmethod(lambda cls, texts, langs: seen.append(texts) or real(cls, texts, langs)), language_id.CodeModel.fit
+    try:
+        language_id.identify(df, sample=5)
+        language_id.identify(df, sample=50)
+    finally:
+        language_id.CodeModel.fit = kept
+    want = sum(i % 100 == 0 and zlib.crc32(str(i).encode()) % 4 != 2 for i in range(1000))
+    assert len(seen[0]) == 5 and len(seen[1]) == want
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 9, 30):
         c = language_id.codewords(n)
@@ -442,6 +469,33 @@ def test_toxicity_shares_weights_across_ordered_cuts():
     assert (np.diff(m.cuts) >= 0).all() and m.severity("villain")[0] < m.severity("villain villain rotten rotten")[0]
 
 
+def test_op8_row_by_row(spark, docs, folder):
+    """The query against the model fitted and applied without Spark: sf0.001 has fewer labels than the sample."""
+    texts = dict(docs.select("doc_id", "text").collect())
+    known = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r["toxic"] is not None}
+    ids = sorted(k for k in known if texts.get(k) is not None)
+    m = toxicity.OrdinalModel.fit([texts[k] for k in ids], [known[k] for k in ids])
+    for r in toxicity.op8_ordinal_toxicity(spark, folder).collect():
+        severity, p, grade = m.severity(texts[r["doc_id"]])
+        assert (r["severity"], r["grade"], r["toxic"]) == (round(severity, 6), grade, p > m.reject)
+
+
+def test_toxicity_of_documents_held_out():
+    """README's figures: models of two thirds of the labels of sf0.1, on the others."""
+    import pyarrow.parquet as pq
+
+    texts = {r["doc_id"]: r["text"] for r in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+    known = sorted((r["doc_id"], r["toxic"]) for r in pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pylist() if r["toxic"] is not None and texts.get(r["doc_id"]))
+    hit, false = [], []
+    for part in range(3):
+        learn = [x for x in known if x[0] % 3 != part]
+        m = toxicity.OrdinalModel.fit([texts[k] for k, _ in learn], [y for _, y in learn])
+        for k, y in known:
+            if k % 3 == part:
+                (hit if y else false).append(m.severity(texts[k])[1] > m.reject)
+    assert np.mean(hit) > 0.9 and np.mean(false) < 0.01
+
+
 def test_toxicity_odd_rows(spark):
     df = odd_docs(spark)
     for labels in (labels_of(spark), labels_of(spark, [(None, 1, 1), (3, None, None), (4, 1, 1), (5, 0, 0), (5, 0, 0)])):
@@ -458,6 +512,14 @@ def test_quality_against_labels(spark, docs, folder):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.1
 
 
+def test_op9_row_by_row(spark, docs, folder):
+    """The query against the model fitted and applied without Spark: sf0.001 has fewer documents than the sample."""
+    texts = dict(docs.select("doc_id", "text").collect())
+    m = quality.QualityModel.fit([texts[k] for k in sorted(texts)])
+    for r in quality.op9_weak_label_quality(spark, folder).collect():
+        assert abs(r["score"] - m.score(texts[r["doc_id"]])) < 2e-6 and r["keep"] == (m.score(texts[r["doc_id"]]) >= m.limit)
+
+
 def test_shapes_of_all_runs():
     """Texts without white space differ after their sixth run too."""
     head = "a1b2c3"
@@ -484,7 +546,10 @@ def test_quality_odd_rows(spark):
     df = odd_docs(spark)
     got = quality.rate(df).collect()
     assert len(got) == df.count() and not any(r["keep"] for r in got if r["doc_id"] in (0, 1, 2))
-    assert quality.rate(df.limit(0)).count() == 0 and quality.good(df).columns == df.columns
+    assert quality.rate(df.limit(0)).count() == 0
+    odd = df.select("*", F.lit("clash").alias("Text"))
+    assert quality.good(odd).columns == odd.columns and 0 < quality.good(odd).count() == quality.good(df).count()
+    assert toxicity.clean(odd, labels_of(spark)).count() == df.count()
 
 
 def test_pipeline_stages(spark, docs, folder):
