@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veldra.llm.common import components, hash_sample, materialize, pick, place_of, shuffle_width, table
+from veldra.llm.common import components, discard, hash_sample, materialize, pick, place_of, shuffle_width, table
 
 LOW = 0x5555555555555555
 SEGMENTS = 32
@@ -403,6 +403,21 @@ def sketch_of(own: np.ndarray) -> bytes:
     return np.packbits(np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
 
 
+def wide_sketch(own: np.ndarray) -> np.ndarray:
+    """The same in twice as many slots as the set has hashes or more (a power of two), so that it isn't full."""
+    slots = 1 << max(9, (2 * len(own) - 1).bit_length())
+    return np.packbits(np.bincount((own & np.uint64(slots - 1)).astype(np.int64), minlength=slots).astype(np.uint8) & 1, bitorder="little").view("<u8")
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two wide sketches differ, the larger folded to the smaller."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sorted arrays of distinct hashes have a Jaccard similarity of 0.8 or more; empty ones are alike."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -571,6 +586,20 @@ def hot_hashes(docs: DataFrame, sample: int = 4000, least: int = 8, most: int =
     return np.sort(np.array([r["hash"] for r in often.select("hash").collect()], np.int64).view(np.uint64))
 
 
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [shingle_set(w) for w in cut_words(batch.column("text"))]
+        out = [wide_sketch(x).tobytes() for x in own]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(map(len, own)), pa.int64()), pa.array(out, pa.binary())], ["node", "n", "wide"])
+
+
+def _wide_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        most = np.array(batch.column("na")) + np.array(batch.column("nb"))
+        keep = [9 * apart(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")) <= m for x, y, m in zip(batch.column("wa"), batch.column("wb"), most.tolist())]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = [shingle_set(w).astype("<u8").tobytes() for w in cut_words(batch.column("text"))]
@@ -618,16 +647,25 @@ def similar_links(nodes: DataFrame, docs: DataFrame, *, bits: int = 4, small: in
     members = materialize(members, "members")
     sketches = nodes.select("node", "sketch", "size")
 
+    def both(pairs: DataFrame, side: DataFrame, **named: str) -> DataFrame:
+        """Pairs with the columns of side for a and for b."""
+        of = lambda c: side.select(F.col("node").alias(c), *[F.col(k).alias(v + c) for k, v in named.items()])
+        return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", *[v + c for v in named.values() for c in "ab"])
+
+    def wanted(pairs: DataFrame) -> DataFrame:
+        of = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        return materialize(nodes.select("node", "least").join(of, "node", "left_semi"), "wanted")
+
     def verified(pairs: DataFrame) -> DataFrame:
+        """Those that are similar: by sketches of one size, by sketches of the sets' sizes, by the sets."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        sa = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("ka"), F.col("size").alias("na"))
-        sb = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("kb"), F.col("size").alias("nb"))
-        may = materialize(pairs.join(sa, "a").join(sb, "b").select("a", "b", "ka", "kb", "na", "nb").mapInArrow(_may_be_alike, "a long, b long"), "may")
-        wanted = may.select(F.col("a").alias("node")).unionByName(may.select(F.col("b").alias("node"))).distinct()
-        wanted = materialize(nodes.select("node", "least").join(wanted, "node", "left_semi"), "wanted")
-        sets = materialize(texts_of(docs, wanted).mapInArrow(_sets, "node long, set binary"), "sets")
-        ta, tb = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-        return materialize(may.join(ta, "a").join(tb, "b").select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long"), "links")
+        may = materialize(both(pairs, sketches, sketch="k", size="n").mapInArrow(_may_be_alike, "a long, b long"), "may")
+        wide = materialize(texts_of(docs, wanted(may)).mapInArrow(_wide, "node long, n long, wide binary"), "wide")
+        near = materialize(both(may, wide, wide="w", n="n").mapInArrow(_wide_near, "a long, b long"), "near")
+        sets = materialize(texts_of(docs, wanted(near)).mapInArrow(_sets, "node long, set binary"), "sets")
+        out = materialize(both(near, sets, set="s").mapInArrow(_alike, "a long, b long"), "links")
+        discard(sets), discard(wide)
+        return out
 
     def between(roots: DataFrame | None, seed: int, every: bool) -> DataFrame:
         known = members.withColumn("comp", F.col("node"))
@@ -659,9 +697,11 @@ def near_copies(docs: DataFrame, *, bits: int = 4, small: int = 12, wide: int =
     hot = docs.sparkSession.sparkContext.broadcast(hot_hashes(docs))
     signed = materialize(docs.mapInArrow(_signed(hot), SIGNED), "signed")
     most = [F.max(c).alias(c) for c in ("fp", "size", "sketch", "head")]  # equal in all rows of a node
+    ids = materialize(signed.select("doc_id", "node"), "ids")
     nodes = materialize(signed.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("least"), *most), "nodes")
+    discard(signed)
     roots = similar_links(nodes, docs, bits=bits, small=small, wide=wide).withColumnRenamed("node", "_node")
-    out = signed.join(roots, signed.node == roots._node, "left")
+    out = ids.join(roots, ids.node == roots._node, "left")
     return out.select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 
