@@ -35,16 +35,26 @@ CARD = r"[0-9 -]{2,}+"
 CARD_GATE = r"[0-9][ -]?+[0-9][ -]?+[0-9][ -]?+[0-9][ -]?+[0-9][ -]?+[0-9][ -]?+[0-9][ -]?+[0-9]"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 
-#: generators of candidates: (kinds, pattern, gate). Loops over groups are possessive
+#: generators of candidates: (kinds, pattern, what a text must hold). Loops over groups are possessive
 _AT, _DOT = r" ?+(?:@|\(at\)|\[at\]) ?+| at ", r" ?+(?:\(dot\)|\[dot\]|\.) ?+| dot "
 _DOTS = r" ?+(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)) ?+| \. | dot "
 _NUMBERS = rf"\(?+[0-9]++(?:(?:{_DOTS}|[ .,:/()-]{{1,3}}+)[0-9]++)*+"
 _TIGHT = r"[0-9]++(?:[.,:/()-]{1,2}+[0-9]++)*+"
 GENERATORS = [
-    (["email"], rf"(?<![{LOCAL}@])[{LOCAL}]++(?:{_AT})[{HOST}]++(?:(?:{_DOT})[{HOST}]++)++", rf"@|[(\[]at[)\]]| at [{HOST}]++(?:{_DOT})[{HOST}]"),
-    (["ip", "card", "phone"], _NUMBERS, "[0-9]"),
-    (["ip", "card", "phone"], _TIGHT, "[0-9]"),
+    (["email"], rf"(?<![{LOCAL}@])[{LOCAL}]++(?:{_AT})[{HOST}]++(?:(?:{_DOT})[{HOST}]++)++", ["@", "(at)", "[at]"], (" at ", rf" at [{HOST}]++(?:{_DOT})[{HOST}]")),
+    (["ip", "card", "phone"], _NUMBERS, [], ("", "[0-9]")),
+    (["ip", "card", "phone"], _TIGHT, [], ("", "[0-9]")),
 ]
+
+
+def gated(text: Column, signs: list[str], other: tuple[str, str]) -> Column:
+    """Whether a text can hold a candidate: it has one of the signs, or a sign and then a pattern."""
+    out = F.when(text.contains(other[0]), text.rlike(other[1])).otherwise(F.lit(False))
+    for sign in signs:
+        out = text.contains(sign) | out
+    return out
+
+
 #: how many digits a candidate of a kind may have
 DIGITS = {"ip": (4, 16), "card": (8, 20), "phone": (7, 16)}
 
@@ -132,13 +142,16 @@ HINTS = {
 def candidate_rows(text: Column) -> Column:
     """All candidates, each once: array of (kind, s, e, m)."""
     out = []
-    for kinds, pattern, gate in GENERATORS:
-        found = located(text, pattern, text.rlike(gate))
-        for kind in kinds:
-            mine = found
-            if kind in DIGITS:
-                mine = F.filter(found, lambda x: (F.char_length(x["m"]) <= 64) & _between(F.char_length(digits_of(x["m"])), *DIGITS[kind]))  # noqa: B023
-            out.append(F.transform(mine, _of_kind(KINDS.index(kind), "s", "e", "m")))
+    for kinds, pattern, *gate in GENERATORS:
+        found = located(text, pattern, gated(text, *gate))
+        if kinds == ["email"]:
+            out.append(F.transform(found, _of_kind(KINDS.index("email"), "s", "e", "m")))
+            continue
+        of = F.array(*[F.struct(F.lit(KINDS.index(k)).alias("kind"), F.lit(DIGITS[k][0]).alias("low"), F.lit(DIGITS[k][1]).alias("high")) for k in kinds])
+        sized = F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), F.char_length(digits_of(x["m"])).alias("n")))
+        short = F.filter(sized, lambda x: (F.char_length(x["m"]) <= 64) & (x["n"] >= min(v for v, _ in DIGITS.values())))
+        each = lambda x: F.transform(F.filter(of, lambda k: (k["low"] <= x["n"]) & (x["n"] <= k["high"])), lambda k: F.struct(k["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))  # noqa: E731, B023
+        out.append(F.flatten(F.transform(short, each)))
     return F.array_distinct(F.concat(*out))
 
 
@@ -265,14 +278,17 @@ def train(docs: DataFrame, sample: int = 4000, per_document: int = 200) -> list[
     smallest hashes of their places, so that neither frequent contents nor other kinds keep any out.
     """
     text = F.col("text")
-    gates = "|".join(f"(?:{g})" for _, _, g in GENERATORS)
-    ids = hash_sample(docs.where(text.rlike(gates)).select("doc_id"), F.col("doc_id"), sample, docs.count(), spare=64)
+    gates = F.lit(False)
+    for _, _, *gate in GENERATORS:
+        gates = gates | gated(text, *gate)
+    ids = hash_sample(docs.where(gates).select("doc_id"), F.col("doc_id"), sample, docs.count(), spare=64)
     some = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
     base = F.concat(*[F.transform(v, _of_kind(KINDS.index(k), "s", "e")) for k, v in base_spans(text).items()])
-    rows = some.select("doc_id", "text", base.alias("base"), _few(candidate_rows(text), per_document).alias("c")).select("doc_id", "text", "base", F.explode("c").alias("x"))
+    rows = some.select("doc_id", "text", base.alias("base"), _few(candidate_rows(text), per_document).alias("c")).select("doc_id", "text", "base", F.explode_outer("c").alias("x"))
     x = F.col("x")
     hit = F.exists("base", lambda b: (b["kind"] == x["kind"]) & (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    got = rows.select("doc_id", x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), hit.alias("y"), F.array(*features(text, x)).alias("f"))
+    # (outer, as else Spark asks of every document, before the sample is taken, whether it has a candidate)
+    got = rows.where("x is not null").select("doc_id", x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), hit.alias("y"), F.array(*features(text, x)).alias("f"))
     got = materialize(got, "candidates")
     out = []
     for k in range(len(KINDS)):
