@@ -122,7 +122,7 @@ def places(patterns: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "times", "sequence", "offset"), got.T.copy()))
 
 
-def _pieces(path: str, end_id: int, capacity: int):
+def _pieces(path: str, end_id: int, capacity: int, hold_words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
@@ -136,6 +136,8 @@ def _pieces(path: str, end_id: int, capacity: int):
                         rows.append((key, k, k * capacity, len(part) // 4, zlib.crc32(part)))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        if not hold_words:
+            enc.forget()
 
     return run
 
@@ -155,10 +157,11 @@ def _placed(at: dict[str, np.ndarray], step: int):
     return run
 
 
-def token_pieces(docs: DataFrame, path: str | None = None, *, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents' ids, closed by end_id, cut into pieces of at most capacity ids: PIECES_SCHEMA."""
+def token_pieces(docs: DataFrame, path: str | None = None, *, capacity: int = CAPACITY, end_id: int = 1, hold_words: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents' ids, closed by end_id, cut into pieces of at most capacity ids: PIECES_SCHEMA. A task hands its
+    dictionary of words on to the worker's next, unless hold_words is off."""
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return docs.mapInArrow(_pieces(path or default_path(), end_id, capacity), PIECES_SCHEMA)
+    return docs.mapInArrow(_pieces(path or default_path(), end_id, capacity, hold_words), PIECES_SCHEMA)
 
 
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:

@@ -115,7 +115,7 @@ def shape_slots(word: str) -> tuple[int, ...]:
     """Slots of a word's shape: letters, digits and signs, one after the other."""
     got = _SHAPES.get(word)
     if got is None:
-        if len(_SHAPES) > 300_000:
+        if len(_SHAPES) > 100_000:
             _SHAPES.clear()
         parts = [shape_of(t) for t in _SHAPE.findall(word)]
         got = (_slot("w" + "".join(parts)), *(_slot("t" + p) for p in parts))
@@ -196,6 +196,7 @@ def _filtered(sent, text: int):
         m = sent.value
         for batch in batches:
             yield batch.filter(pa.array([m.score(t.as_py()) >= m.limit for t in batch.column(text)], pa.bool_()))
+        _SHAPES.clear()
 
     return run
 

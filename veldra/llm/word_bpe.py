@@ -162,6 +162,10 @@ class WordEncoder:
             out.update((w, data[a:b]) for w, a, b in zip(plain, cut, cut[1:]))
         return out
 
+    def forget(self) -> None:
+        """Empties the dictionary, so that a worker that goes on to other work holds none."""
+        self.cache, self.pieces = {}, {"\n": b""}
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes; a null text has none."""
         split = [words_of(t) if t else [] for t in texts]
