@@ -34,7 +34,7 @@ def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left goes into sequences of at most 4096 tokens."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, hold_words=False)
 
 
 STAGES = [
@@ -50,6 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents: packed pieces (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
+
+    Null and empty texts score no quality and go in the second stage; repeated rows are near copies and one of them
+    stays; null ids are documents like others; ties among copies go to the smallest id. Columns of clashing names are
+    carried along. Without labels nothing is toxic; an empty table gives no pieces.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
