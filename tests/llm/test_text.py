@@ -269,16 +269,29 @@ def test_topk_odd_rows(spark):
     rows = [(0, [1.0, 2.0]), (50, [1.0, 1.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, []), (6, [1.0]), (None, [1.0, 1.0]), (7, [3.0, 3.0]), (7, [3.0, 3.0]), (100, [2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in topk_search.top_k(df).collect())
-    assert got == [(0, 1, 7), (0, 2, 7), (0, 3, 50), (50, 1, 7), (50, 2, 7), (50, 3, 0), (100, 1, 6)]
+    assert got == [(0, 1, 7), (0, 2, 7), (0, 3, 50), (50, 1, 7), (50, 2, 7), (50, 3, 0), (100, 1, 6)]  # one row of each query
     assert topk_search.top_k(df.limit(0)).count() == 0
 
 
 def test_op1_against_sql(spark, duck, folder):
-    got = topk_search.op1_topk_search(spark, folder).select("query_id", "rank", "vec_id", "score").collect()
+    got = topk_search.op1_topk_search(spark, folder).select("query_id", "query_row", "rank", "vec_id", "score").collect()
     want = duck.sql(queries.ORACLES["op1_topk_search"]).fetchall()
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_op1_of_repeated_ids_against_sql(spark, tmp_path):
+    import duckdb
+
+    r = np.random.default_rng(3)
+    rows = [(int(i), r.integers(-9, 9, 4).astype(float).tolist()) for i in [0, 0, 0, 1, 1, 2, 3, 50, 50, 51, 100]]
+    rows.append(rows[0])  # the same id and vector
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = topk_search.op1_topk_search(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(queries.ORACLES["op1_topk_search"]).fetchall()) and len(got) == 35
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else (int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) for i, c in enumerate(reversed(d))) % 10 == 0
 

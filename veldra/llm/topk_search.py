@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +22,8 @@ from veldra.llm.common import materialize, pick, shuffle_width, table
 BUCKET = 4096
 WAVE = 4096
 
-BLOCKS = "dim int, n int, longest double, ids binary, vectors binary"
-FOUND = "query_id long, vec_id long, score long"
+BLOCKS = "dim int, n int, longest double, block long, ids binary, vectors binary"
+FOUND = "query long, vec_id long, score long"
 
 
 def scaled(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -35,6 +36,7 @@ def scaled(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFra
 
 def _blocked(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 24  # a row's key is its block's number and its place in the block
         for batch in batches:
             ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
             col = batch.column("v")
@@ -47,7 +49,19 @@ def _blocked(size: int):
                     m = flat[at[i] : at[j]].reshape(j - i, -1).astype("<i8")
                     norm = np.sqrt((m.astype(float) ** 2).sum(1))
                     order = np.argsort(-norm, kind="stable")
-                    yield pa.RecordBatch.from_pylist([{"dim": int(dims[a]), "n": j - i, "longest": float(norm[order[0]]), "ids": ids[i:j][order].astype("<i8").tobytes(), "vectors": m[order].tobytes()}], pa.schema([("dim", pa.int32()), ("n", pa.int32()), ("longest", pa.float64()), ("ids", pa.binary()), ("vectors", pa.binary())]))
+                    yield pa.RecordBatch.from_pylist([{"dim": int(dims[a]), "n": j - i, "longest": float(norm[order[0]]), "block": block, "ids": ids[i:j][order].astype("<i8").tobytes(), "vectors": m[order].tobytes()}], pa.schema([("dim", pa.int32()), ("n", pa.int32()), ("longest", pa.float64()), ("block", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary())]))
+                    block += 1
+
+    return run
+
+
+def _queries(every: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, ids, p = _unpack(row)
+                at = np.flatnonzero(ids % every == 0)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(ids[at]), pa.array(p[at].tolist(), pa.list_(pa.int64()))], ["query", "query_id", "v"])
 
     return run
 
@@ -55,12 +69,12 @@ def _blocked(size: int):
 class TopK:
     """The best of what has been seen for each of a set of queries of one dimension."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.ids, self.q, self.k = ids, vectors, k
+    def __init__(self, keys: np.ndarray, vectors: np.ndarray, k: int):
+        self.keys, self.q, self.k = keys, vectors, k
         self.norm = np.sqrt((vectors.astype(float) ** 2).sum(1))
         self.unit = vectors / np.maximum(self.norm, 1e-300)[:, None]
         self.focus = np.abs(self.unit).argmax(1)
-        self.floor = np.full(len(ids), -np.inf)  # no score below it is among the best
+        self.floor = np.full(len(keys), -np.inf)  # no score below it is among the best
         self.who = self.vec = self.score = np.zeros(0, np.int64)
 
     def add(self, who: np.ndarray, vec: np.ndarray, score: np.ndarray) -> None:
@@ -83,12 +97,12 @@ class TopK:
             return (self.q[rows].astype(float) @ p.T.astype(float)).astype(np.int64)
         return self.q[rows] @ p.T
 
-    def verify(self, rows: np.ndarray, p: np.ndarray, ids: np.ndarray) -> None:
-        """Products of some queries with some vectors; what reaches a query's bound is kept."""
+    def verify(self, rows: np.ndarray, p: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> None:
+        """Products of some queries with some vectors but their own rows; what reaches a query's bound is kept."""
         for i in range(0, len(rows), 512):
             part = rows[i : i + 512]
             s = self.product(part, p)
-            ok = (s >= self.floor[part][:, None]) & (ids[None, :] != self.ids[part][:, None])
+            ok = (s >= self.floor[part][:, None]) & (keys[None, :] != self.keys[part][:, None])
             if len(ids) > 4 * self.k:  # no more than k of one bucket can be among the best, but for ties
                 low = np.partition(np.where(ok, s, np.iinfo(np.int64).min), -self.k, axis=1)[:, -self.k]
                 ok &= s >= low[:, None]
@@ -96,7 +110,7 @@ class TopK:
             if len(w):
                 self.add(part[w], ids[c], s[w, c])
 
-    def bucket(self, ids: np.ndarray, p: np.ndarray) -> None:
+    def bucket(self, keys: np.ndarray, ids: np.ndarray, p: np.ndarray) -> None:
         """Searches a bucket, sorted by falling length."""
         length = np.sqrt((p.astype(float) ** 2).sum(1))
         most = length[0]
@@ -131,47 +145,52 @@ class TopK:
         alone = few < len(ids) // 16
         for i in np.flatnonzero(alone & (few > 0)):
             at = np.sort(orders[self.focus[live[i]]][lo[i] : hi[i]]) if by_angle[i] < by_length[i] else slice(0, by_length[i])
-            self.verify(live[i : i + 1], p[at], ids[at])
+            self.verify(live[i : i + 1], p[at], ids[at], keys[at])
         rest = np.flatnonzero(~alone)
         if len(rest):
             n = int(by_length[rest].max())
-            self.verify(live[rest], p[:n], ids[:n])
+            self.verify(live[rest], p[:n], ids[:n], keys[:n])
 
 
-def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vectors"], "<i8").reshape(row["n"], row["dim"])
+def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, ids and vectors of a block's rows."""
+    return (row["block"] << 16) + np.arange(row["n"]), np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vectors"], "<i8").reshape(row["n"], row["dim"])
 
 
 def _search(sent, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = {}
-        for dim, (ids, q, floor) in sent.value.items():
-            state[dim] = TopK(ids, q, k)
+        for dim, (keys, q, floor) in sent.value.items():
+            state[dim] = TopK(keys, q, k)
             state[dim].floor = floor.copy()
         for batch in batches:
             for row in batch.to_pylist():
                 if row["dim"] in state:
                     state[row["dim"]].bucket(*_unpack(row))
         for s in state.values():
-            yield pa.RecordBatch.from_arrays([pa.array(s.ids[s.who]), pa.array(s.vec), pa.array(s.score)], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(s.keys[s.who]), pa.array(s.vec), pa.array(s.score)], ["query", "vec_id", "score"])
 
     return run
 
 
 def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, bucket: int = BUCKET, wave: int = WAVE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k highest integer products of each query with all other rows.
+    """query_id, query_row, rank (from 1), vec_id, score: the k highest integer products of each query with all other
+    rows.
 
-    Queries are the ids divisible by `every`; ties go to the smaller vec_id. Rows of a query's own id are not its
-    candidates; an id that is repeated is searched once, with its smallest vector, and each of its rows is a
-    candidate of others. Vectors of another dimension than the query's have no product with it. Scores beyond 64
-    bits wrap. An empty table gives an empty result.
+    Queries are the rows whose id is divisible by `every`; ties go to the smaller vec_id. Rows of a repeated id are
+    queries and candidates each, of each other too; query_row numbers an id's rows in the order of their vectors.
+    Vectors of another dimension than the query's have no product with it; those without components take no part.
+    Scores beyond 64 bits wrap. An empty table gives an empty result.
     """
+    if bucket > 1 << 16:
+        raise ValueError("a bucket holds 65536 vectors at most")
     spark = vectors.sparkSession
     v = scaled(vectors, id_col, vec_col, scale)
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     dealt = v.withColumn("length", length).withColumn("dim", F.size("v")).repartitionByRange(2 * shuffle_width(spark), "dim", F.desc("length"), "vec_id").sortWithinPartitions("dim", F.desc("length"), "vec_id")
     blocks = materialize(dealt.select("vec_id", "v").mapInArrow(_blocked(bucket), BLOCKS), "buckets")
-    queries = v.where(f"vec_id % {every} = 0").groupBy("vec_id").agg(F.min("v").alias("v"))
+    own = Window.partitionBy("query_id").orderBy("v", "query")
+    queries = blocks.mapInArrow(_queries(every), "query long, query_id long, v array<long>").withColumn("query_row", F.row_number().over(own))
     queries = materialize(queries, "queries")
     waves = max(1, -(-queries.count() // wave))
     seeds: dict[int, list[dict]] = {}
@@ -180,24 +199,24 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256,
         seeds[d] = [r.asDict() for r in blocks.where(F.col("dim") == d).orderBy(F.desc("longest")).limit(1).collect()]
     found = []
     for w in range(waves):
-        mine = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == w).collect()  # about `wave` rows
+        mine = queries.where(F.pmod(F.xxhash64("query"), F.lit(waves)) == w).collect()  # about `wave` rows
         sent = {}
         for d in {len(r["v"]) for r in mine}:
             rows = [r for r in mine if len(r["v"]) == d]
-            t = TopK(np.array([r["vec_id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.int64), k)
+            t = TopK(np.array([r["query"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.int64), k)
             for s in seeds.get(d, []):
                 t.bucket(*_unpack(s))
-            sent[d] = (t.ids, t.q, t.floor)
+            sent[d] = (t.keys, t.q, t.floor)
         part = blocks.mapInArrow(_search(spark.sparkContext.broadcast(sent), k), FOUND)
         found.append(part if waves == 1 else materialize(_best(part, k).drop("rank"), "found"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return _best(out, k).select("query_id", "rank", "vec_id", "score")
+    return _best(out, k).join(queries.drop("v"), "query").select("query_id", "query_row", "rank", "vec_id", "score")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -211,11 +230,13 @@ with v as (
   from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), k as (
+  select vec_id, v, row_number() over (order by vec_id, v) as nth, row_number() over (partition by vec_id order by v) as query_row from v
 ), s as (
-  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
-  from (select * from v where vec_id % 50 = 0) q join v c on c.vec_id <> q.vec_id
+  select q.nth, q.vec_id as query_id, q.query_row, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from (select * from k where vec_id % 50 = 0) q join k c on c.nth <> q.nth
 ), r as (
-  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s
+  select *, row_number() over (partition by nth order by score desc, vec_id) as rank from s
 )
-select query_id, rank::integer as rank, vec_id, score from r where rank between 1 and 5
+select query_id, query_row::integer as query_row, rank::integer as rank, vec_id, score from r where rank between 1 and 5
 """
