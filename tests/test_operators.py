@@ -57,6 +57,15 @@ def test_weighted_of_nothing(spark):
     assert quantiles.weighted_quantiles(df, "x", "w", "id", QS).count() == 0
 
 
+@pytest.mark.parametrize("odd", [[float("nan")], [float("inf"), float("-inf")], [float("nan"), float("inf"), None], [1e308, -1e308]])
+def test_quantiles_of_odd_values(spark, odd):
+    """Both paths give the same on the same rows, infinities and NaN among them."""
+    df = spark.createDataFrame([(float(i),) for i in range(400)] + [(x,) for x in odd], "x double").repartition(3)
+    qs = [0.0, 0.1, 0.5, 0.9003, 1.0]
+    small, narrowed = (quantiles.quantiles(df, ["x"], qs, small=n)["x"] for n in (10_000, 10))
+    assert np.allclose(small, narrowed, equal_nan=True)
+
+
 def test_quantiles_by_narrowing(spark):
     x = np.r_[np.random.default_rng(2).normal(size=3000), np.full(2000, 0.25)]
     df = spark.createDataFrame([(float(v),) for v in x], "x double")

@@ -13,7 +13,8 @@ def quantiles(df: DataFrame, columns: list[str], qs: list[float], small: int = S
     """Type-7 quantiles of each column, exactly.
 
     Up to `small` rows go to percentile(); beyond, each wanted rank's value is narrowed down by histograms until its
-    bin has few rows, so no task ever holds more than those.
+    bin has few rows, so no task ever holds more than those. Nulls don't count; infinities are the ends, and values
+    that are no number come behind them, on either path.
     """
     n = df.count()
     if not n:
@@ -23,24 +24,39 @@ def quantiles(df: DataFrame, columns: list[str], qs: list[float], small: int = S
         return {c: list(got[c]) for c in columns}
     out = {}
     for c in columns:
-        m = df.where(F.col(c).isNotNull()).count()
+        x = F.col(c).cast("double")
+        has = df.select(x.alias("x")).where("x is not null")
+        finite = has.where(~F.isnan("x") & (F.abs("x") < float("inf")))
+        low, middle, high, m = has.agg(*[F.count_if(e) for e in (F.col("x") == float("-inf"), ~F.isnan("x") & (F.abs("x") < float("inf")), F.col("x") == float("inf"))], F.count("*")).first()
+        if not m:
+            out[c] = [float("nan")] * len(qs)
+            continue
+
+        def value(r: int) -> float:
+            """Of a rank: infinities lie at the ends, and behind them what is no number."""
+            if low <= r < low + middle:  # noqa: B023
+                return order_statistic(finite, r - low, small)  # noqa: B023
+            return float("-inf") if r < low else float("inf") if r < low + middle + high else float("nan")  # noqa: B023
+
         ranks = sorted({r for q in qs for r in (int(q * (m - 1)), min(m - 1, int(q * (m - 1)) + 1))})
-        at = {r: order_statistic(df.select(F.col(c).alias("x")), r, small) for r in ranks}
+        at = {r: value(r) for r in ranks}
         out[c] = []
         for q in qs:
             p = q * (m - 1)
             a, b = at[int(p)], at[min(m - 1, int(p) + 1)]
-            out[c].append(a + (p - int(p)) * (b - a))
+            t = p - int(p)
+            out[c].append(a if a == b or not t else (1 - t) * a + t * b)
     return out
 
 
 def order_statistic(df: DataFrame, rank: int, small: int) -> float:
-    """The value of a rank (from 0) of column x, by narrowing its range."""
+    """The value of a rank (from 0) of column x, which is finite, by narrowing its range."""
     lo, hi = df.agg(F.min("x"), F.max("x")).first()
     inside, below = df.where("x is not null"), 0
     while lo < hi:
-        width = (hi - lo) / BINS
-        b = F.least(F.floor((F.col("x") - lo) / width), F.lit(BINS - 1))
+        part = 1.0 if abs(hi - lo) < float("inf") else 0.5  # the range of finite numbers can be beyond them
+        width = max((hi * part - lo * part) / BINS, 5e-324)
+        b = F.least(F.floor((F.col("x") * part - lo * part) / width), F.lit(BINS - 1))
         hist = sorted((r["b"], r["n"], r["lo"], r["hi"]) for r in inside.groupBy(b.alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect())
         for _, n, first, last in hist:
             if below + n > rank:
