@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from veldra.llm import jpeg, packing, piece_bpe, token_planes, word_bpe
+from veldra.llm.common import tidy
 
 ODD = ["", None, " ", "a", "Hello, world's   best", "é" * 50, "x" * 5000, "日本語 Σίσυφος İ", "<|endoftext|> a<|startoftext|>b", "tab\tnew\nline\x1cfs\x85", "é ́", "\x00", "𝒳 😀", "1234567890 " * 300]
 
@@ -113,6 +114,20 @@ def test_packing_of_odd_rows(spark):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+def test_pieces_are_the_same_with_a_small_dictionary(docs, monkeypatch):
+    """Emptied again and again, it gives the ids of the one that holds all words."""
+    texts = docs.select("doc_id", "text").limit(200).toArrow().combine_chunks().to_batches()
+    rows = lambda hold: [r for b in packing._pieces(word_bpe.default_path(), 1, 4096, hold)(iter(texts)) for r in b.to_pylist()]
+    want = rows(True)
+    monkeypatch.setattr(packing, "LEAN_WORDS", 50)
+    assert rows(False) == want and len(want) >= 200
+    assert not word_bpe.encoder(word_bpe.default_path()).cache
+
+
+def test_tidy_functions_give_all_batches():
+    assert list(tidy(lambda batches: (2 * b for b in batches))(iter([1, 2, 3]))) == [2, 4, 6]
+
+
 def best_fit_decreasing(counts, capacity):
     gaps, bins = [0] * (capacity + 1), 0
     for a in sorted(counts, reverse=True):

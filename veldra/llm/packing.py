@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veldra.llm.common import materialize, pick, table
+from veldra.llm.common import materialize, pick, table, tidy
 from veldra.llm.word_bpe import default_path, encoder
 
 CAPACITY = 4096
 BUCKETS = 256
+#: words a worker's dictionary holds, and where later stages or tasks get none of it
+CACHE_WORDS, LEAN_WORDS = 500_000, 100_000
 
 PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -125,15 +127,17 @@ def places(patterns: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
 def _pieces(path: str, end_id: int, capacity: int, hold_words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        enc.cache_words = CACHE_WORDS if hold_words else LEAN_WORDS
         for batch in batches:
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             for i in range(0, len(keys), 1024):
                 rows = []
-                for key, ids in zip(keys[i:], enc.encode(texts.slice(i, 1024).to_pylist())):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
-                        rows.append((key, k, k * capacity, len(part) // 4, zlib.crc32(part)))
+                for j in range(i, min(i + 1024, len(keys)), 128):  # few texts are held as words at a time
+                    for key, ids in zip(keys[j:], enc.encode(texts.slice(j, 128).to_pylist())):
+                        ids += end
+                        for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                            part = ids[at : at + 4 * capacity]
+                            rows.append((key, k, k * capacity, len(part) // 4, zlib.crc32(part)))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
         if not hold_words:
@@ -159,9 +163,9 @@ def _placed(at: dict[str, np.ndarray], step: int):
 
 def token_pieces(docs: DataFrame, path: str | None = None, *, capacity: int = CAPACITY, end_id: int = 1, hold_words: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents' ids, closed by end_id, cut into pieces of at most capacity ids: PIECES_SCHEMA. A task hands its
-    dictionary of words on to the worker's next, unless hold_words is off."""
+    dictionary of words on to the worker's next, unless hold_words is off; the dictionary is then a small one, too."""
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return docs.mapInArrow(_pieces(path or default_path(), end_id, capacity, hold_words), PIECES_SCHEMA)
+    return docs.mapInArrow(tidy(_pieces(path or default_path(), end_id, capacity, hold_words)), PIECES_SCHEMA)
 
 
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veldra.llm.common import components, discard, hash_sample, materialize, pick, place_of, shuffle_width, table
+from veldra.llm.common import components, discard, hash_sample, materialize, pick, place_of, shuffle_width, table, tidy
 
 LOW = 0x5555555555555555
 SEGMENTS = 32
@@ -79,7 +79,7 @@ def _fingerprints(size: int, distinct: bool):
 def fingerprints(docs: DataFrame, size: int = 4, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the SimHash of each text's shingles of so many words; 0 for a text without words."""
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return docs.mapInArrow(_fingerprints(size, distinct), "doc_id long, fp long")
+    return docs.mapInArrow(tidy(_fingerprints(size, distinct)), "doc_id long, fp long")
 
 
 def grid_masks(groups: int, kept: int) -> list[int]:
@@ -277,12 +277,12 @@ def related(nodes: DataFrame, *, bits: int = 4, groups: int = 7, kept: int = 3,
     u = unary(F.col("fp"))
     at = F.posexplode(F.array(*[u.bitwiseAND(F.lit(m)) for m in masks])).alias("grid", "cell")
     cells = nodes.select("node", "fp", at)
-    out = materialize(_dealt(cells).mapInArrow(PrintCells(bits, masks, wide=wide).run, LINKS), "related")
+    out = materialize(_dealt(cells).mapInArrow(tidy(PrintCells(bits, masks, wide=wide).run), LINKS), "related")
     links = out.where(f"kind = {LINK}").select("a", "b")
     spill = out.where(f"kind = {OPEN}").select("grid", "cell", F.col("a").alias("node"))
     if spill.isEmpty():
         return links
-    more = _dealt(chunked(spill.join(nodes, "node"), wide)).mapInArrow(PrintCells(bits, masks, wide=1 << 62).run, LINKS)
+    more = _dealt(chunked(spill.join(nodes, "node"), wide)).mapInArrow(tidy(PrintCells(bits, masks, wide=1 << 62).run), LINKS)
     return materialize(links.unionByName(more.select("a", "b")), "related")
 
 
@@ -446,7 +446,7 @@ def _with_node(text: str):
 
 def with_node(docs: DataFrame, text: str) -> DataFrame:
     """All columns and _node, the digest of the text's words."""
-    return docs.mapInArrow(_with_node(text), T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())]))
+    return docs.mapInArrow(tidy(_with_node(text)), T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())]))
 
 
 SIGNED = "doc_id long, node long, fp long, size long, sketch binary, head binary"
@@ -582,7 +582,7 @@ def hot_hashes(docs: DataFrame, sample: int = 4000, least: int = 8, most: int =
     which keeps cells small; any order finds the same links."""
     ids = hash_sample(docs.where("doc_id is not null").select("doc_id"), F.col("doc_id"), sample, docs.count())
     some = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text")
-    often = some.mapInArrow(_hashed, "hash long").groupBy("hash").count().where(F.col("count") >= least).orderBy(F.desc("count"), "hash").limit(most)
+    often = some.mapInArrow(tidy(_hashed), "hash long").groupBy("hash").count().where(F.col("count") >= least).orderBy(F.desc("count"), "hash").limit(most)
     return np.sort(np.array([r["hash"] for r in often.select("hash").collect()], np.int64).view(np.uint64))
 
 
@@ -636,8 +636,8 @@ def similar_links(nodes: DataFrame, docs: DataFrame, *, bits: int = 4, small: in
     pairs of small prefix cells and, of large ones, a spanning forest; shingles decide. What large cells may still
     link between the components so found is asked for once more as a forest, and in the end pair by pair.
     """
-    heads = nodes.select("node", "size", "head").mapInArrow(_heads, "grid long, cell long, node long, fp long")
-    found = materialize(_dealt(heads).mapInArrow(PrefixCells(small, wide).run, LINKS), "cells")
+    heads = nodes.select("node", "size", "head").mapInArrow(tidy(_heads), "grid long, cell long, node long, fp long")
+    found = materialize(_dealt(heads).mapInArrow(tidy(PrefixCells(small, wide).run), LINKS), "cells")
     members = found.where(f"kind = {OPEN}").select(F.lit(0).alias("grid"), "cell", F.col("a").alias("node"), F.col("b").alias("fp"))
     members = chunked(members, wide)
     # cells of one smallest member are searched in one task, as they have most pairs in common; very large ones alone
@@ -659,11 +659,11 @@ def similar_links(nodes: DataFrame, docs: DataFrame, *, bits: int = 4, small: in
     def verified(pairs: DataFrame) -> DataFrame:
         """Those that are similar: by sketches of one size, by sketches of the sets' sizes, by the sets."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        may = materialize(both(pairs, sketches, sketch="k", size="n").mapInArrow(_may_be_alike, "a long, b long"), "may")
-        wide = materialize(texts_of(docs, wanted(may)).mapInArrow(_wide, "node long, n long, wide binary"), "wide")
-        near = materialize(both(may, wide, wide="w", n="n").mapInArrow(_wide_near, "a long, b long"), "near")
-        sets = materialize(texts_of(docs, wanted(near)).mapInArrow(_sets, "node long, set binary"), "sets")
-        out = materialize(both(near, sets, set="s").mapInArrow(_alike, "a long, b long"), "links")
+        may = materialize(both(pairs, sketches, sketch="k", size="n").mapInArrow(tidy(_may_be_alike), "a long, b long"), "may")
+        wide = materialize(texts_of(docs, wanted(may)).mapInArrow(tidy(_wide), "node long, n long, wide binary"), "wide")
+        near = materialize(both(may, wide, wide="w", n="n").mapInArrow(tidy(_wide_near), "a long, b long"), "near")
+        sets = materialize(texts_of(docs, wanted(near)).mapInArrow(tidy(_sets), "node long, set binary"), "sets")
+        out = materialize(both(near, sets, set="s").mapInArrow(tidy(_alike), "a long, b long"), "links")
         discard(sets), discard(wide)
         return out
 
@@ -671,7 +671,7 @@ def similar_links(nodes: DataFrame, docs: DataFrame, *, bits: int = 4, small: in
         known = members.withColumn("comp", F.col("node"))
         if roots is not None:
             known = members.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        return _dealt(known, "grid").mapInArrow(SketchCells(seed, every).run, LINKS).select("a", "b")
+        return _dealt(known, "grid").mapInArrow(tidy(SketchCells(seed, every).run), LINKS).select("a", "b")
 
     first = related(nodes.select("node", "fp"), bits=bits).unionByName(found.where(f"kind = {LINK}").select("a", "b"))
     if members.isEmpty():
@@ -695,7 +695,7 @@ def near_copies(docs: DataFrame, *, bits: int = 4, small: int = 12, wide: int =
     """
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     hot = docs.sparkSession.sparkContext.broadcast(hot_hashes(docs))
-    signed = materialize(docs.mapInArrow(_signed(hot), SIGNED), "signed")
+    signed = materialize(docs.mapInArrow(tidy(_signed(hot)), SIGNED), "signed")
     most = [F.max(c).alias(c) for c in ("fp", "size", "sketch", "head")]  # equal in all rows of a node
     ids = materialize(signed.select("doc_id", "node"), "ids")
     nodes = materialize(signed.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("least"), *most), "nodes")
