@@ -1,5 +1,7 @@
 """Every query of the engine's own operators against its SQL."""
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from veldra import registry
@@ -7,9 +9,9 @@ from veldra import registry
 
 def rows(frame, columns):
     def plain(x):
-        if isinstance(x, float):
-            return "null" if x != x else round(x, 6) + 0.0
-        return str(x)
+        if x is None or x is pd.NA or x != x:
+            return "null"
+        return round(float(x), 6) + 0.0 if isinstance(x, (int, float, np.number)) and not isinstance(x, (bool, np.bool_)) else str(x)
 
     return sorted((tuple(plain(x) for x in r) for r in frame[columns].itertuples(index=False, name=None)), key=str)
 

@@ -8,21 +8,18 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veldra.jobs import TableCache
 from veldra.operators import catalog, pca
+from veldra.sources.versions import Conflict, EventTable, NotFound
+from veldra.streaming import runs as states
+
+__all__ = ["BadRequest", "Conflict", "Engine", "NotFound", "Unprocessable"]
 
 
 class BadRequest(ValueError):
     """A payload of the wrong form."""
 
 
-class NotFound(LookupError):
-    """An unknown id, or features that aren't there."""
-
-
-class Conflict(RuntimeError):
-    """The run is active or being changed."""
-
-
 class Unprocessable(ValueError):
     """Points out of bounds, or too little foreground."""
 
@@ -36,14 +33,28 @@ class Engine:
     runs: DataFrame
     tokens: DataFrame
     bases: dict[str, pca.Basis] = field(default_factory=dict)
+    cache: TableCache = field(default_factory=TableCache)
     active: set = field(default_factory=set)
     _busy: set = field(default_factory=set)
     _lock: threading.Lock = field(default_factory=threading.Lock)
 
     def models(self) -> DataFrame:
-        from veldra.queries_catalog import c25
+        from veldra.queries_catalog import models
+
+        return models(self.spark)
+
+    def list_sources(self) -> DataFrame:
+        return self.sources
+
+    def events(self, feed: EventTable, seen: dict | None = None) -> DataFrame:
+        """The last state of each group of a feed whose rev is beyond the one seen."""
+        last = feed.read(states.STATES).groupBy("group").agg(F.max_by(F.struct("status", "running", "failed", "done"), "rev").alias("s"), F.max("rev").alias("rev")).select("group", "rev", "s.*")
+        old = self.spark.createDataFrame(list((seen or {}).items()), "group bigint, rev bigint")
+        return last.join(old.withColumnRenamed("rev", "_seen"), "group", "left").where("rev > coalesce(_seen, 0)").drop("_seen")
 
-        return c25(self.spark, "")
+    def flush(self) -> int:
+        """Gives what is held in memory back; returns how many tables that were."""
+        return self.cache.flush()
 
     def ingest(self, new: DataFrame) -> DataFrame:
         """Adds sources that aren't known yet (source_id, name)."""
@@ -54,8 +65,9 @@ class Engine:
         return catalog.workspace(self.sources, self.runs, self._ids(self.active))
 
     def fit(self, run_id: str, source_ids: list, *, l2norm: bool = False) -> DataFrame:
-        """One basis for the sources, each with an equal share; returns their tokens' colours."""
-        mine = self.tokens.where(F.col("source").isin(source_ids))
+        """One basis for the sources, each with an equal share; returns their tokens' colours. The tokens stay in the cache
+        for the run's refinements."""
+        mine = self.cache.get(run_id, tuple(source_ids), lambda: self.tokens.where(F.col("source").isin(source_ids)))
         if mine.isEmpty():
             raise NotFound(f"no features of {source_ids}")
         share = pca.equal_share(mine, "source", "vec_id") if len(source_ids) > 1 else mine
@@ -87,7 +99,9 @@ class Engine:
         gone = self.sources.where(F.col("source_id") == source_id).select("source_id")
         if gone.isEmpty():
             raise NotFound(f"no source {source_id}")
-        self.runs = catalog.without_sources(self.runs, gone, self._ids(self._busy))
+        if not self.runs.join(gone, "source_id", "left_semi").join(self._ids(self._busy), "run_id", "left_semi").isEmpty():
+            raise Conflict(f"a run of source {source_id} is being changed")
+        self.runs = catalog.without_sources(self.runs, gone, self._ids(set()))
         self.sources = self.sources.join(gone, "source_id", "left_anti")
 
     def clear(self) -> int:

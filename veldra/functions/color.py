@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veldra.functions.vectors import clamp
 
 # sRGB to XYZ (D65), the white point, and the CIE constants
-TO_XYZ = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041))
+TO_XYZ = ((0.4124, 0.3576, 0.1805), (0.2126, 0.7152, 0.0722), (0.0193, 0.1192, 0.9505))
 WHITE = (0.95047, 1.0, 1.08883)
 CUT, SLOPE = 216 / 24389, 24389 / 27
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: payload of point prompts: a list of [x, y, label, frame] of finite numbers, a label of 0 or 1, a whole frame
 _NUM = r"-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?"
-_POINT = rf"\[\s*{_NUM}\s*,\s*{_NUM}\s*,\s*[01]\s*,\s*(0|[1-9][0-9]*)\s*\]"
+_POINT = rf"\[\s*{_NUM}\s*,\s*{_NUM}\s*,\s*{_NUM}\s*,\s*-?(0|[1-9][0-9]*)\s*\]"
 POINTS = rf"^\s*\[\s*({_POINT}(\s*,\s*{_POINT})*)?\s*\]\s*$"
 IDENT = "^[0-9a-f]{12,16}$"
 
@@ -67,10 +67,14 @@ def cleared(runs: DataFrame, running: DataFrame, busy: DataFrame) -> DataFrame:
 
 
 def workspace(sources: DataFrame, runs: DataFrame, running: DataFrame) -> DataFrame:
-    """Each source with its completed, inactive runs, in the order in which they were made."""
-    shown = completed(runs, sources).join(running, "run_id", "left_anti")
-    per = shown.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("created", "run_id", "model"))).alias("runs"))
-    return sources.join(per, "source_id", "left")
+    """Everything that a client shows, a row each: sources (kind source), their completed runs that aren't active (kind run,
+    with created, by which a client orders them), and the runs of groups that are queued or running (kind active)."""
+    columns = ["kind", "source_id", "name", "run_id", "model", "created"]
+    none = lambda like, c: F.lit(None).cast(dict(like.dtypes)[c]).alias(c)
+    there = sources.select(F.lit("source").alias("kind"), "source_id", "name", none(runs, "run_id"), none(runs, "model"), none(runs, "created"))
+    shown = completed(runs, sources).join(running, "run_id", "left_anti").select(F.lit("run").alias("kind"), "source_id", none(sources, "name"), "run_id", "model", "created")
+    busy = runs.join(running, "run_id", "left_semi").select(F.lit("active").alias("kind"), "source_id", none(sources, "name"), "run_id", "model", none(runs, "created"))
+    return there.unionByName(shown).unionByName(busy).select(columns)
 
 
 def matrix(runs: DataFrame, models: list[str], value: str = "run_id") -> DataFrame:
@@ -79,7 +83,11 @@ def matrix(runs: DataFrame, models: list[str], value: str = "run_id") -> DataFra
 
 
 def valid_points(payload: Column) -> Column:
-    return F.coalesce(payload.rlike(POINTS), F.lit(False))
+    """Whether a payload has the form of point prompts, its coordinates are finite as numbers, its labels equal to 0 or 1
+    and its frames not negative."""
+    number = F.transform(F.regexp_extract_all(payload, F.lit(_NUM), 0), lambda x: x.cast("double"))
+    fine = lambda x, i: F.when(i % 4 < 2, F.abs(x) < float("inf")).when(i % 4 == 2, x.isin(0.0, 1.0)).otherwise(x >= 0)
+    return F.coalesce(payload.rlike(POINTS) & F.forall(F.transform(number, fine), lambda ok: ok), F.lit(False))
 
 
 def inside(points: Column, width: Column, height: Column, frames: Column) -> Column:
@@ -88,10 +96,12 @@ def inside(points: Column, width: Column, height: Column, frames: Column) -> Col
 
 
 def clicked(x: Column, y: Column, box_w: Column, box_h: Column, width: Column, height: Column) -> tuple[Column, Column]:
-    """Source pixel of a click on a picture fitted into a box; null beside the picture."""
+    """Source pixel of a click on a picture fitted into a box, its edges included; null beside the picture, and while
+    the picture has no size."""
+    width, height = (F.when(v > 0, v) for v in (width, height))
     scale = F.least(box_w / width, box_h / height)
     sx, sy = (x - (box_w - width * scale) / 2) / scale, (y - (box_h - height * scale) / 2) / scale
-    ok = (sx >= 0) & (sx < width) & (sy >= 0) & (sy < height)
+    ok = width.isNotNull() & height.isNotNull() & (sx >= 0) & (sx <= width) & (sy >= 0) & (sy <= height)
     return F.when(ok, sx), F.when(ok, sy)
 
 
@@ -101,11 +111,16 @@ def clicked_frame(t: Column, duration: Column, n: Column) -> Column:
 
 
 def synced(t: Column, own: Column, duration: Column, master: Column) -> tuple[Column, Column]:
-    """Where a picture should be for the master's time, and whether it jumps there."""
-    target = F.least(duration, master * F.when(duration > 0, duration).otherwise(F.lit(0.0)) / t)
-    return target, F.abs(own - target) > 0.25
+    """Where a picture should be for the master's time, and whether it jumps there. t is the master's length; where
+    either length isn't finite and positive, times are taken as they are. Without a master's time there is no target."""
+    known = lambda v: v.isNotNull() & ~F.isnan(v) & (v > 0) & (v < float("inf"))
+    ratio = F.when(known(t) & known(duration), duration / t).otherwise(F.lit(1.0))
+    length = F.when(F.isnan(duration), F.lit(0.0)).otherwise(F.coalesce(duration, F.lit(0.0)))
+    target = F.when(master.isNotNull() & ~F.isnan(master) & (F.abs(master) < float("inf")), F.least(length, master * ratio))
+    return target, F.abs(F.when(F.isnan(own), F.lit(0.0)).otherwise(F.coalesce(own, F.lit(0.0))) - target) > 0.25
 
 
 def clock(seconds: Column) -> Column:
-    s = F.floor(seconds).cast("bigint")
+    """m:ss; a time that isn't finite is 0:00."""
+    s = F.floor(F.when(seconds.isNotNull() & ~F.isnan(seconds) & (F.abs(seconds) < float("inf")), seconds).otherwise(F.lit(0.0))).cast("bigint")
     return F.concat(F.floor(s / 60).cast("string"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veldra.functions import color
 from veldra.functions import vectors as V
 from veldra.operators import pca
+from veldra.operators.quantiles import around, between, quantiles, ranked
 
 # Limits of the fidelity gate
 GATES = {"cosine_mean": 0.9995, "cosine_p1": 0.995, "angle": 2.0, "delta_p95": 3.0}
@@ -19,8 +20,18 @@ def cosines(base: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
     return base.join(b, key).select(*key, V.cosine(V.as_double("feat"), F.col("_other")).alias("cos"))
 
 
+def summary(df: DataFrame, column: str, **figures: float | str) -> DataFrame:
+    """One row of figures of a column: mean, min, max, or a quantile by its number. No task holds the column."""
+    kinds = {"mean": F.avg, "min": F.min, "max": F.max}
+    plain = df.agg(*[f(column).alias(n) for n, f in kinds.items()]).first()
+    qs = [q for q in figures.values() if not isinstance(q, str)]
+    at = dict(zip(qs, quantiles(df.select(column), [column], qs)[column])) if qs else {}
+    row = [plain[q] if isinstance(q, str) else None if plain["mean"] is None else float(at[q]) for q in figures.values()]
+    return df.sparkSession.createDataFrame([tuple(row)], ", ".join(f"{n} double" for n in figures))
+
+
 def cosine_summary(cos: DataFrame) -> DataFrame:
-    return cos.agg(F.avg("cos").alias("mean"), F.percentile("cos", F.lit(0.5)).alias("p50"), F.percentile("cos", F.lit(0.01)).alias("p1"), F.min("cos").alias("min"))
+    return summary(cos, "cos", mean="mean", p50=0.5, p1=0.01, min="min")
 
 
 def differences(base: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
@@ -31,7 +42,7 @@ def differences(base: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
 
 
 def difference_summary(de: DataFrame) -> DataFrame:
-    return de.agg(F.avg("de").alias("mean"), F.percentile("de", F.lit(0.5)).alias("p50"), F.percentile("de", F.lit(0.95)).alias("p95"), F.max("de").alias("max"))
+    return summary(de, "de", mean="mean", p50=0.5, p95=0.95, max="max")
 
 
 def angles(base: DataFrame, other: DataFrame, k: int = 3) -> list[float]:
@@ -42,9 +53,9 @@ def angles(base: DataFrame, other: DataFrame, k: int = 3) -> list[float]:
 
 def verdict(cos: DataFrame, de: DataFrame, angle: float) -> DataFrame:
     """All figures of the gate in one row, each with whether it passes."""
-    c = cosine_summary(cos).select(F.col("mean").alias("cosine_mean"), F.col("p1").alias("cosine_p1"))
-    d = difference_summary(de).select(F.col("p95").alias("delta_p95"))
-    both = c.join(d).withColumn("angle", F.lit(float(angle)))  # one row with one row
+    c, d = cosine_summary(cos).first(), difference_summary(de).first()
+    row = (c["mean"], c["p1"], d["p95"], float(angle))
+    both = cos.sparkSession.createDataFrame([row], "cosine_mean double, cosine_p1 double, delta_p95 double, angle double")
     ok = {f"{k}_ok": (F.col(k) >= v if k.startswith("cosine") else F.col(k) <= v) for k, v in GATES.items()}
     out = both.withColumns(ok)
     passed: Column = F.lit(True)
@@ -68,12 +79,37 @@ def worst(metrics: DataFrame, pair: str, high: list[str], low: list[str]) -> Dat
 
 
 def latency(df: DataFrame, key: str, ms: str, units: int) -> DataFrame:
-    """Median, tenth and ninetieth percentile by nearest rank, and units a second, of each key. Ranks come from
-    windows that can spill, not from a gathered list."""
-    n = F.count("*").over(Window.partitionBy(key))
-    r = F.row_number().over(Window.partitionBy(key).orderBy(ms)) - 1
-    at = df.select(key, F.col(ms).cast("double").alias("ms"), n.alias("n"), r.alias("r"))
-    rank = lambda p: F.least(F.col("n") - 1, F.floor(p * F.col("n")))
-    pick = lambda p: F.max(F.when(F.col("r") == rank(p), F.col("ms")))
-    out = at.groupBy(key).agg(F.percentile("ms", F.lit(0.5)).alias("median"), pick(0.1).alias("p10"), pick(0.9).alias("p90"))
-    return out.withColumn("fps", units / (F.col("median") / 1000))
+    """Median, tenth and ninetieth percentile by nearest rank, and units a second, of each of a few keys
+    (configurations). Ranks are narrowed down by histograms, so a key's rows are never in one task."""
+    nearest = lambda p, m: min(m - 1, int(p * m))
+    got = ranked(df, [ms], lambda m: {*around(0.5, m), nearest(0.1, m), nearest(0.9, m)}, key)
+    rows = []
+    for (k, _), (m, at) in got.items():
+        if m:
+            median = between((m, at), 0.5)
+            rows.append((k, median, at[nearest(0.1, m)], at[nearest(0.9, m)], units / (median / 1000) if median else None))
+    return df.sparkSession.createDataFrame(rows, f"{key} {dict(df.dtypes)[key]}, median double, p10 double, p90 double, fps double")
+
+
+def crop(df: DataFrame, rows: int, cols: int) -> DataFrame:
+    """The middle half of the grid, which stands in for the foreground."""
+    return df.where((F.col("row") >= rows // 4) & (F.col("row") < rows - rows // 4) & (F.col("col") >= cols // 4) & (F.col("col") < cols - cols // 4))
+
+
+def render_compare(base: DataFrame, other: DataFrame, key: list[str], rows: int, cols: int) -> DataFrame:
+    """What a viewer sees of two token tables, in one row: colour differences under the base's basis (shared), under each
+    one's own (own), and under bases refitted on the middle of the grid, there (refit); the largest angle between
+    those two; the flicker of each."""
+    shared, own = pca.fit(base), pca.fit(other)
+    middle = [crop(t, rows, cols) for t in (base, other)]
+    refits = [pca.refit(t, b, weight=None) for t, b in zip(middle, (shared, own))]
+    rgb, rgb_own = pca.coloured(base, shared), pca.coloured(other, own)
+    pairs = {"shared": (rgb, pca.coloured(other, shared)), "own": (rgb, rgb_own), "refit": tuple(pca.coloured(t, b) for t, b in zip(middle, refits))}
+    out = {}
+    for name, (a, b) in pairs.items():
+        got = difference_summary(differences(a, b, key)).first()
+        out |= {f"{name}_{c}": got[c] for c in ("mean", "p50", "p95", "max")}
+    out["refit_degrees"] = max(angles(*middle))
+    for name, t in (("base", rgb), ("other", rgb_own)):
+        out[f"flicker_{name}"] = flicker(t).agg(F.avg("flicker")).first()[0] or 0.0
+    return base.sparkSession.createDataFrame([tuple(out.values())], ", ".join(f"{n} double" for n in out))

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from veldra.functions import vectors as V
 from veldra.operators.quantiles import quantiles, weighted_quantiles
+from veldra.sources.versions import Versions
 
 SPREAD = (0.02, 0.98)
 
@@ -88,11 +89,11 @@ class Basis:
 
     def save(self, spark: SparkSession, path: str) -> None:
         row = (self.l2norm, self.mean.tolist(), self.comps.tolist(), self.lo.tolist(), self.hi.tolist())
-        spark.createDataFrame([row], "l2norm boolean, mean array<double>, comps array<array<double>>, lo array<double>, hi array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+        Versions(spark, path).replace(spark.createDataFrame([row], "l2norm boolean, mean array<double>, comps array<array<double>>, lo array<double>, hi array<double>").coalesce(1))
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Basis:
-        r = spark.read.parquet(path).first()
+        r = Versions(spark, path).read().first()
         return Basis(r["l2norm"], *[np.array(r[c]) for c in ("mean", "comps", "lo", "hi")])
 
 
@@ -108,7 +109,11 @@ def _products(basis: Basis, feat: str):
             good = np.flatnonzero(col.is_valid().to_numpy(zero_copy_only=False))
             z = np.full((batch.num_rows, len(basis.comps)), np.nan)
             if len(good):
-                x = col.drop_null().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(good), -1)
+                flat = col.drop_null().flatten()
+                x = flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(good), -1)
+                if flat.null_count:  # a vector that holds null has no projection, as in column functions
+                    own = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(x.shape).any(1)
+                    good, x = good[own], x[own]
                 if basis.l2norm:
                     x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), V.EPS)
                 z[good] = (x - basis.mean) @ basis.comps.T
@@ -169,12 +174,18 @@ def sampled(df: DataFrame, n: int, ident: str) -> DataFrame:
 def equal_share(df: DataFrame, source: str, ident: str) -> DataFrame:
     """As many rows of each source as the smallest has, by their digests; one source alone stays whole.
 
-    Rows beyond the share are dropped in each task before any shuffle (the rank is bounded by a constant)."""
+    The least count grows with the data, so no rank runs over a source: digests are cut into 4096 parts by their first digits, and a
+    row's rank is that within its part and the count of the parts before it."""
     from pyspark.sql import Window
 
     least = df.groupBy(source).count().agg(F.min("count")).first()[0] or 0
-    w = Window.partitionBy(source).orderBy("_d", ident)
-    return df.withColumn("_d", F.md5(F.col(ident).cast("string"))).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= int(least)).drop("_d", "_r")
+    at = df.withColumn("_d", F.md5(F.col(ident).cast("string"))).withColumn("_p", F.substring("_d", 1, 3))
+    per = at.groupBy(F.col(source).alias("_s"), F.col("_p").alias("_q")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_s").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("_s", "_q", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b")).where(F.col("_b") < int(least))
+    both = at.join(per, at[source].eqNullSafe(per._s) & (at._p == per._q))
+    own = F.row_number().over(Window.partitionBy(source, "_p").orderBy("_d", ident))
+    return both.withColumn("_r", own + F.col("_b")).where(F.col("_r") <= int(least)).select(*df.columns)
 
 
 def principal_angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -113,8 +113,24 @@ def lab(rows: str, name: str, keys: str) -> str:
     f = lambda t: f"case when {t} > 216.0::double / 24389 then cbrt({t}) else (24389.0::double / 27 * {t} + 16) / 116 end"
     return f"""{name}_l as (select {keys}, {LAB} from {rows}),
 {name}_x as (select {keys},
-  (0.4124564::double * lr + 0.3575761::double * lg + 0.1804375::double * lb) / 0.95047::double as x,
-  (0.2126729::double * lr + 0.7151522::double * lg + 0.0721750::double * lb) as y,
-  (0.0193339::double * lr + 0.1191920::double * lg + 0.9503041::double * lb) / 1.08883::double as z from {name}_l),
+  (0.4124::double * lr + 0.3576::double * lg + 0.1805::double * lb) / 0.95047::double as x,
+  (0.2126::double * lr + 0.7152::double * lg + 0.0722::double * lb) as y,
+  (0.0193::double * lr + 0.1192::double * lg + 0.9505::double * lb) / 1.08883::double as z from {name}_l),
 {name}_f as (select {keys}, {f('x')} as fx, {f('y')} as fy, {f('z')} as fz from {name}_x),
 {name} as materialized (select {keys}, 116 * fy - 16 as l, 500 * (fx - fy) as a, 200 * (fy - fz) as bb from {name}_f)"""
+
+
+def angles(p: str, q: str, name: str) -> str:
+    """(i, degrees): principal angles between the spans of two bases p and q of three directions, the smallest first,
+    from the eigenvalues of the 3 x 3 matrix of their products with its transpose, in closed form."""
+    m = lambda a, b: f"max(case when a = {a} and b = {b} then v end)"
+    cells = ", ".join(f"{m(a, b)} as m{a}{b}" for a in range(3) for b in range(3))
+    s = lambda a, b: " + ".join(f"m{a}{k} * m{b}{k}" for k in range(3))
+    sym = ", ".join(f"{s(a, b)} as s{a}{b}" for a in range(3) for b in range(a, 3))
+    return f"""{name}_m as materialized (select a.c as a, b.c as b, sum(a.v * b.v) as v from {p}_comps a join {q}_comps b using (i) group by all),
+{name}_s as (select {sym} from (select {cells} from {name}_m)),
+{name}_q as (select *, (s00 + s11 + s22) / 3 as q from {name}_s),
+{name}_p as (select *, sqrt(((s00 - q) ** 2 + (s11 - q) ** 2 + (s22 - q) ** 2 + 2 * (s01 ** 2 + s02 ** 2 + s12 ** 2)) / 6) as p from {name}_q),
+{name}_r as (select *, ((s00 - q) * ((s11 - q) * (s22 - q) - s12 ** 2) - s01 * (s01 * (s22 - q) - s12 * s02) + s02 * (s01 * s12 - (s11 - q) * s02)) / (2 * greatest(p, 1e-300) ** 3) as r from {name}_p),
+{name}_f as (select q, p, acos(greatest(-1, least(1, r))) / 3 as phi from {name}_r),
+{name} as materialized (select i, degrees(acos(sqrt(greatest(0, least(1, q + 2 * p * cos(phi + case i when 0 then 0 when 1 then 4 * pi() / 3 else 2 * pi() / 3 end)))))) as degrees from {name}_f, (select unnest(range(3)) as i))"""

@@ -5,9 +5,11 @@ Rounding is half to even throughout (rint), as the plans that must be met round
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veldra.sources.tokens import numbered
+
 
 def stride(fps: Column, target: Column) -> Column:
     """Source frames for each sampled one; 1 if a rate is missing or zero."""
@@ -17,21 +19,22 @@ def stride(fps: Column, target: Column) -> Column:
 
 def frame_indices(n: Column, fps: Column, target: Column, most: Column) -> Column:
     """Sampled positions: every stride-th frame, thinned out evenly to at most `most`."""
-    s = stride(fps, target)
+    n, s = F.greatest(F.coalesce(n, F.lit(1)), F.lit(1)), stride(fps, target)  # a clip has a frame at least
     full = F.ceil(n / s)  # frames at that stride
     pick = F.when(most <= 1, F.array(F.lit(0).cast("bigint"))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(most, F.lit(2)).cast("bigint") - 1), lambda i: (F.rint(i * ((full - 1) / (most - 1))) * s).cast("bigint"))
     )
     every = F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(full, F.lit(1)).cast("bigint") - 1), lambda i: i * s)
-    return F.when(n <= 0, F.array().cast("array<bigint>")).when(full > most, pick).otherwise(every)
+    return F.when(full > most, pick).otherwise(every)
 
 
 def metadata(fps: Column, n: Column, duration: Column) -> dict[str, Column]:
-    """Rates, counts and durations, with stand-ins for what is missing or zero."""
+    """Rates, counts and durations, with stand-ins for what is missing or zero; a duration that isn't positive is missing, and
+    follows from the frames at a rate of one at least."""
     f = F.coalesce(F.nullif(fps, F.lit(0.0)), F.lit(30.0))
     d = F.coalesce(duration, F.lit(0.0))
-    count = F.coalesce(F.nullif(n, F.lit(0)), F.nullif(F.floor(d * f), F.lit(0)), F.lit(1)).cast("bigint")
-    return {"fps": f, "n": count, "duration": F.coalesce(F.nullif(duration, F.lit(0.0)), count / f)}
+    count = F.coalesce(F.nullif(n, F.lit(0)), F.nullif((d * f).cast("bigint"), F.lit(0)), F.lit(1)).cast("bigint")
+    return {"fps": f, "n": count, "duration": F.when(d > 0, d).otherwise(count / F.greatest(f, F.lit(1.0)))}
 
 
 def grid(height: Column, width: Column, patch: Column, most: Column) -> dict[str, Column]:
@@ -43,11 +46,12 @@ def grid(height: Column, width: Column, patch: Column, most: Column) -> dict[str
 
 def at_positions(frames: DataFrame, wanted: DataFrame, key: str, order: list[str], begin: str) -> DataFrame:
     """The frame at each wanted position of a source, in presentation order: frames before the beginning don't
-    count, positions past the end give the last. A source without frames gives nothing for any position."""
-    shown = frames.where(F.col(order[0]) >= F.col(begin) - 1e-6)
-    pos = shown.withColumn("pos", (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("bigint"))
+    count, positions past the end give the last. Positions of a source without frames are an error. The first of
+    `order` is a whole number; a source's frames are numbered by many tasks."""
+    pos = numbered(frames.where(F.col(order[0]) >= F.col(begin) - 1e-6), key, order, "pos")
     last = pos.groupBy(key).agg(F.max("pos").alias("_last"))
-    ask = wanted.join(last, key).withColumn("pos", F.least("want", "_last")).drop("_last")
+    none = F.raise_error(F.concat(F.lit("no decodable frames of source "), F.col(key).cast("string"))).cast("bigint")
+    ask = wanted.join(last, key, "left").withColumn("pos", F.when(F.col("_last").isNull(), none).otherwise(F.least("want", "_last"))).where("pos is not null").drop("_last")
     return ask.join(pos, [key, "pos"])
 
 

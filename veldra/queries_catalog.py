@@ -105,14 +105,12 @@ def c09(spark, d):
     return C.cleared(runs, _running(spark, d), _busy(spark, d)).select("run_id", "deleted")
 
 
-@query("C10_workspace", f"""with {RUNS}, shown as (select * from completed where run_id % 11 <> 0)
-select s.source_id, s.name, count(r.run_id)::bigint as n, coalesce(string_agg(r.run_id::varchar || '@' || r.model, ',' order by r.created, r.run_id, r.model), '') as runs
-from sources s left join shown r using (source_id) group by all""")
+@query("C10_workspace", f"""with {RUNS}, nothing as (select null::bigint as run_id)
+select 'source' as kind, source_id, name, null::bigint as run_id, null::varchar as model, null::bigint as created from sources
+union all select 'run', source_id, null, run_id, model, created from completed where run_id % 11 <> 0
+union all select 'active', source_id, null, run_id, model, null from runs where run_id % 11 = 0""")
 def c10(spark, d):
-    w = C.workspace(_sources(spark, d), _runs(spark, d), _running(spark, d))
-    runs = F.coalesce("runs", F.array().cast("array<struct<created:bigint,run_id:bigint,model:string>>"))
-    text = F.array_join(F.transform(runs, lambda r: F.concat(r["run_id"].cast("string"), F.lit("@"), r["model"])), ",")
-    return w.select("source_id", "name", F.size(runs).cast("bigint").alias("n"), text.alias("runs"))
+    return C.workspace(_sources(spark, d), _runs(spark, d), _running(spark, d))
 
 
 @query("C11_meta_lifting", "select event_id, event_type, (props::json ->> 'k')::bigint as k from events")
@@ -140,7 +138,8 @@ SETS = "ev as (select event_id, user_id, ts, case event_type when 'error' then '
 @query("C13_group_state", f"""with {SETS} select event_id, user_id, count(*) over w as rev, coalesce(last_value(sets ignore nulls) over w, 'queued') as status
 from ev window w as (partition by user_id order by ts, event_id rows unbounded preceding)""")
 def c13(spark, d):
-    return P.statuses(_events(spark, d), "user_id", ["ts", "event_id"]).select("event_id", "user_id", "rev", "status")
+    e = _events(spark, d).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    return P.statuses(e, "user_id", ["t", "event_id"]).select("event_id", "user_id", "rev", "status")
 
 
 @query("C14_changed_since", f"""with {SETS}, n as (select user_id, count(*) as rev, coalesce(arg_max(sets, (ts, event_id)) filter (where sets is not null), 'queued') as status from ev group by 1)
@@ -151,14 +150,14 @@ def c14(spark, d):
     return P.changed(P.latest(e, "user_id", ["ts", "event_id"]), seen, "user_id")
 
 
-@query("C15_point_validation", """with p as (select event_id, '[[' || case when event_id % 9 = 0 then 'NaN' else (event_id % 640)::varchar end || ', ' || (event_id % 360)::varchar || '.5, ' ||
-  case when event_id % 7 = 0 then '2' when event_id % 8 = 0 then 'true' else (event_id % 2)::varchar end || ', ' || case when event_id % 10 = 0 then '-1' else (event_id % 30)::varchar end ||
+@query("C15_point_validation", """with p as (select event_id, '[[' || case when event_id % 9 = 0 then 'NaN' when event_id % 13 = 0 then '1e999' else (event_id % 640)::varchar end || ', ' || (event_id % 360)::varchar || '.5, ' ||
+  case when event_id % 7 = 0 then '2' when event_id % 8 = 0 then 'true' when event_id % 3 = 0 then '1.0' else (event_id % 2)::varchar end || ', ' || case when event_id % 10 = 0 then '-1' else (event_id % 30)::varchar end ||
   case when event_id % 11 = 0 then '' else ']' end || ']' as payload from events)
-select event_id, event_id % 9 <> 0 and event_id % 7 <> 0 and event_id % 8 <> 0 and event_id % 10 <> 0 and event_id % 11 <> 0 as valid from p""")
+select event_id, event_id % 9 <> 0 and event_id % 13 <> 0 and event_id % 7 <> 0 and event_id % 8 <> 0 and event_id % 10 <> 0 and event_id % 11 <> 0 as valid from p""")
 def c15(spark, d):
     e = F.col("event_id")
-    x = F.when(e % 9 == 0, "NaN").otherwise((e % 640).cast("string"))
-    label = F.when(e % 7 == 0, "2").when(e % 8 == 0, "true").otherwise((e % 2).cast("string"))
+    x = F.when(e % 9 == 0, "NaN").when(e % 13 == 0, "1e999").otherwise((e % 640).cast("string"))
+    label = F.when(e % 7 == 0, "2").when(e % 8 == 0, "true").when(e % 3 == 0, "1.0").otherwise((e % 2).cast("string"))
     frame = F.when(e % 10 == 0, "-1").otherwise((e % 30).cast("string"))
     payload = F.concat(F.lit("[["), x, F.lit(", "), (e % 360).cast("string"), F.lit(".5, "), label, F.lit(", "), frame, F.when(e % 11 == 0, "").otherwise("]"), F.lit("]"))
     return table(spark, d, "events").select("event_id", C.valid_points(payload).alias("valid"))
@@ -203,15 +202,16 @@ def c20(spark, d):
     return m.select("source_id", *[F.coalesce(F.col(f"`{x}`"), F.lit(-1)).alias(f"m{i}") for i, x in enumerate(MODELS, 1)])
 
 
-_CLICK = """with c as (select p_partkey as id, (p_partkey * 13 % 800)::double as x, (p_partkey * 7 % 500)::double as y, 800.0::double as bw, 500.0::double as bh, (p_size + 1) * 16.0::double as w, ((p_partkey % 40) + 1) * 9.0::double as h from part),
-s as (select *, least(bw / w, bh / h) as k from c), p as (select *, (x - (bw - w * k) / 2) / k as sx, (y - (bh - h * k) / 2) / k as sy from s)
-select id, case when sx >= 0 and sx < w and sy >= 0 and sy < h then round(sx, 4) end as px, case when sx >= 0 and sx < w and sy >= 0 and sy < h then round(sy, 4) end as py from p"""
+_CLICK = """with c as (select p_partkey as id, (case when p_partkey % 3 = 0 then 800 else p_partkey * 13 % 800 end)::double as x, (case when p_partkey % 4 = 0 then 500 else p_partkey * 7 % 500 end)::double as y, 800.0::double as bw, 500.0::double as bh, (p_size - 1) * 16.0::double as w, (p_partkey % 40) * 9.0::double as h from part),
+s as (select *, least(bw / nullif(w, 0), bh / nullif(h, 0)) as k from c), p as (select *, (x - (bw - w * k) / 2) / k as sx, (y - (bh - h * k) / 2) / k as sy from s)
+select id, case when w > 0 and h > 0 and sx >= 0 and sx <= w and sy >= 0 and sy <= h then round(sx, 4) end as px, case when w > 0 and h > 0 and sx >= 0 and sx <= w and sy >= 0 and sy <= h then round(sy, 4) end as py from p"""
 
 
 @query("C21_click_to_pixel", _CLICK)
 def c21(spark, d):
     k = F.col("p_partkey")
-    px, py = C.clicked((k * 13 % 800).cast("double"), (k * 7 % 500).cast("double"), F.lit(800.0), F.lit(500.0), (F.col("p_size") + 1) * 16.0, (k % 40 + 1) * 9.0)
+    x, y = F.when(k % 3 == 0, 800).otherwise(k * 13 % 800).cast("double"), F.when(k % 4 == 0, 500).otherwise(k * 7 % 500).cast("double")
+    px, py = C.clicked(x, y, F.lit(800.0), F.lit(500.0), (F.col("p_size") - 1) * 16.0, k % 40 * 9.0)
     return table(spark, d, "part").select(k.alias("id"), F.round(px, 4).alias("px"), F.round(py, 4).alias("py"))
 
 
@@ -221,17 +221,23 @@ def c22(spark, d):
     return table(spark, d, "part").select(k.alias("id"), C.clicked_frame(k % 130 / 8.0, (F.col("p_size") % 10).cast("double"), F.lit(48)).alias("frame"))
 
 
-@query("C23_playback_sync", """with p as (select p_partkey as id, (p_size % 20 + 1)::double as dur, (p_partkey % 100) / 10.0::double as master, (p_partkey % 77) / 7.0::double as own from part)
-select id, round(least(dur, master * dur / 10), 6) as target, abs(own - least(dur, master * dur / 10)) > 0.25 as jumps from p""")
+@query("C23_playback_sync", """with p as (select p_partkey as id, case when p_partkey % 11 = 0 then null when p_partkey % 12 = 0 then 0 when p_partkey % 13 = 0 then 'inf'::double else (p_size % 20 + 1)::double end as dur, (p_partkey % 100) / 10.0::double as master,
+  (p_partkey % 77) / 7.0::double as own, case when p_partkey % 5 = 0 then null when p_partkey % 7 = 0 then 0 when p_partkey % 8 = 0 then 'inf'::double else 10::double end as t from part),
+r as (select *, case when t > 0 and isfinite(t) and dur > 0 and isfinite(dur) then dur / t else 1 end as ratio from p)
+select id, round(least(coalesce(dur, 0), master * ratio), 6) as target, abs(own - least(coalesce(dur, 0), master * ratio)) > 0.25 as jumps from r""")
 def c23(spark, d):
-    k, dur = F.col("p_partkey"), (F.col("p_size") % 20 + 1).cast("double")
-    target, jumps = C.synced(F.lit(10.0), k % 77 / 7.0, dur, k % 100 / 10.0)
+    k, inf = F.col("p_partkey"), float("inf")
+    dur = F.when(k % 11 == 0, F.lit(None)).when(k % 12 == 0, 0.0).when(k % 13 == 0, inf).otherwise((F.col("p_size") % 20 + 1).cast("double"))
+    t = F.when(k % 5 == 0, F.lit(None)).when(k % 7 == 0, 0.0).when(k % 8 == 0, inf).otherwise(10.0)
+    target, jumps = C.synced(t, k % 77 / 7.0, dur, k % 100 / 10.0)
     return table(spark, d, "part").select(k.alias("id"), F.round(target, 6).alias("target"), jumps.alias("jumps"))
 
 
-@query("C24_clock", "select o_orderkey as id, (floor(o_totalprice)::bigint // 60)::varchar || ':' || lpad((floor(o_totalprice)::bigint % 60)::varchar, 2, '0') as clock from orders")
+@query("C24_clock", "with o as (select o_orderkey as id, case when o_orderkey % 5 = 0 then 0 else floor(o_totalprice)::bigint end as s from orders) select id, (s // 60)::varchar || ':' || lpad((s % 60)::varchar, 2, '0') as clock from o")
 def c24(spark, d):
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), C.clock(F.col("o_totalprice")).alias("clock"))
+    k = F.col("o_orderkey")
+    t = F.when(k % 15 == 0, float("nan")).when(k % 10 == 0, float("inf")).when(k % 5 == 0, F.lit(None)).otherwise(F.col("o_totalprice"))
+    return table(spark, d, "orders").select(k.alias("id"), C.clock(t).alias("clock"))
 
 
 #: fixed values: the models that features come from (key, family, patch, longest side, frames of a clip, tubelet, batch)
@@ -245,11 +251,18 @@ REGISTRY = [
 ]
 
 
-@query("C25_model_registry", "select * from (values " + ", ".join("('{}', '{}', {}::bigint, {}::bigint, {}::bigint, {}::bigint, {}::bigint)".format(*r) for r in REGISTRY) + ") v(model, family, patch, max_side, clip, tubelet, batch)")
-def c25(spark, d):
+def models(spark):
     return spark.createDataFrame(REGISTRY, "model string, family string, patch bigint, max_side bigint, clip bigint, tubelet bigint, batch bigint")
 
 
+@query("C25_model_registry", "with m as (select * from (values " + ", ".join("({}, '{}', '{}', {}::bigint, {}::bigint, {}::bigint, {}::bigint, {}::bigint)".format(i, *r) for i, r in enumerate(REGISTRY)) + ") v(i, model, family, patch, max_side, clip, tubelet, batch)) select m.* exclude (i), count(o_orderkey) as runs from m left join orders on o_orderkey % 7 = i and o_orderstatus = 'F' group by all")
+def c25(spark, d):
+    """Each model with how many completed runs of it there are; runs of a model that isn't listed don't count."""
+    names = F.create_map(*[x for i, r in enumerate(REGISTRY) for x in (F.lit(i), F.lit(r[0]))])
+    done = table(spark, d, "orders").where("o_orderstatus = 'F'").groupBy(names[(F.col("o_orderkey") % 7).cast("int")].alias("model")).agg(F.count("*").alias("runs"))
+    return models(spark).join(done, "model", "left").fillna(0, ["runs"])
+
+
 @query("A31_swizzle", "select l_orderkey, l_linenumber::bigint as line, round(l_tax, 6) as r, round(1 - l_discount, 6) as g, round((l_quantity / 50), 6) as b from lineitem")
 def a31(spark, d):
     rgb = [F.col("l_discount"), F.col("l_quantity") / 50, F.col("l_tax")]
@@ -257,24 +270,6 @@ def a31(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("line"), *[F.round(v, 6).alias(n) for v, n in zip(out, "rgb")])
 
 
-@query("E07_progress_stream", f"""with {SETS} select user_id, count(*) as rev, coalesce(arg_max(sets, (ts, event_id)) filter (where sets is not null), 'queued') as status from ev group by 1""")
-def e07(spark, d):
-    """The progress feed as a stream over the events' files, run to its end, in update mode."""
-    import uuid
-
-    from pyspark.sql import types as T
-
-    schema = table(spark, d, "events").schema
-    raw = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")
-    sets = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") != "signup", "running")
-    events = raw.select("event_id", "user_id", "ts", sets.alias("sets"))
-    name = f"progress_{uuid.uuid4().hex}"
-    q = P.stream_latest(events, "user_id", ["ts", "event_id"]).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert isinstance(schema, T.StructType)
-    return spark.table(name)
-
-
 @query("F03_points_by_frame", """with p as (select o_custkey as run_id, o_orderkey % 30 as frame, o_orderkey % 640 as x, o_orderkey % 2 as label from orders)
 select run_id, frame, count(*)::bigint as n, string_agg(x::varchar || ':' || label::varchar, ',' order by x, label) as points from p group by 1, 2""")
 def f03(spark, d):

@@ -312,10 +312,13 @@ def a33(spark, d):
     return _comps(spark, pca.top(pca.moments(_tokens(spark, d))[2], 3, canonical=False), absolute=True)
 
 
-@query("A34_principal_angles")
+_ANGLES = f"{O.TOKENS}, {O.OTHER}, {O.long('tokens', 'x')}, {O.long('other', 'y')}, {O.basis('x', 'p', squarings=16)}, {O.basis('y', 'q', squarings=16)}, {O.angles('p', 'q', 'turn')}"
+
+
+@query("A34_principal_angles", f"with {_ANGLES} select i, round(degrees, 3) as degrees from turn")
 def a34(spark, d):
     got = fidelity.angles(_tokens(spark, d), _other(spark, d))
-    return spark.createDataFrame([(i, round(a, 6)) for i, a in enumerate(got)], "i bigint, degrees double")
+    return spark.createDataFrame([(i, round(a, 3)) for i, a in enumerate(got)], "i bigint, degrees double")
 
 
 COLOURS = "select l_orderkey, l_linenumber::bigint as line, l_discount * 10 as r, l_quantity / 50 as g, l_tax * 10 as b from lineitem"
@@ -353,11 +356,18 @@ def a36s(spark, d):
     return s.select(*[F.round(c, 6).alias(c) for c in s.columns])
 
 
-@query("A37_gate")
+_GATE = f"""with {_ANGLES}, cosines as materialized (select vec_id, sum(x.v * y.v) / ((sqrt(sum(x.v * x.v)) + 1e-12) * (sqrt(sum(y.v * y.v)) + 1e-12)) as cos from x join y using (vec_id, i) group by 1), {_DE},
+g as (select (select avg(cos) from cosines) as cosine_mean, (select quantile_cont(cos, 0.01) from cosines) as cosine_p1, (select quantile_cont(de, 0.95) from de) as delta_p95, (select max(degrees) from turn) as angle)
+select round(cosine_mean, 6) as cosine_mean, round(cosine_p1, 6) as cosine_p1, round(delta_p95, 6) as delta_p95, round(angle, 3) as angle, cosine_mean >= 0.9995 as cosine_mean_ok, cosine_p1 >= 0.995 as cosine_p1_ok,
+  angle <= 2 as angle_ok, delta_p95 <= 3 as delta_p95_ok, cosine_mean >= 0.9995 and cosine_p1 >= 0.995 and angle <= 2 and delta_p95 <= 3 as passed from g"""
+
+
+@query("A37_gate", _GATE)
 def a37(spark, d):
-    """The angle has no SQL; figures and verdicts of the gate."""
+    """Figures and verdicts of the gate."""
     angle = max(fidelity.angles(_tokens(spark, d), _other(spark, d)))
-    return fidelity.verdict(_cosines(spark, d), _differences(spark, d), angle)
+    out = fidelity.verdict(_cosines(spark, d), _differences(spark, d), angle)
+    return out.withColumns({c: F.round(c, 3 if c == "angle" else 6) for c in ("cosine_mean", "cosine_p1", "delta_p95", "angle")})
 
 
 _FLICK = f"""{_SHARED}, t as (select source, frame, row, col, r, g, b from rgb join tokens using (vec_id)), {O.lab('t', 'tl', 'source, frame, row, col')},
@@ -373,28 +383,37 @@ def a38(spark, d):
 
 @query("A39_central_crop", f"with {O.TOKENS} select vec_id from tokens where row >= 1 and row < 3 and col >= 1 and col < 3")
 def a39(spark, d):
-    gh = gw = 4
-    return _tokens(spark, d).where((F.col("row") >= gh // 4) & (F.col("row") < gh - gh // 4) & (F.col("col") >= gw // 4) & (F.col("col") < gw - gw // 4)).select("vec_id")
+    return fidelity.crop(_tokens(spark, d), 4, 4).select("vec_id")
 
 
 def _cross_sql() -> str:
-    """Mean colour difference of the candidate under the shared basis, and of each under its own."""
+    """Colour differences under the shared basis, under each one's own and under bases of the middle; flicker."""
     lab = lambda rgb, name: O.lab(rgb, name, "vec_id")
-    de = lambda a, b: f"(select avg(sqrt((a.l - b.l) ** 2 + (a.a - b.a) ** 2 + (a.bb - b.bb) ** 2)) from {a} a join {b} b using (vec_id))"
-    return (
-        f"{_SHARED}, {O.OTHER}, {O.long('other', 'y')}, {O.project('y', 'p', 'zs')}, {O.colours('zs', 'lim', 'rgb_s')}, "
-        f"{O.basis('y', 'q', squarings=14)}, {O.project('y', 'q', 'zo')}, {O.spread('zo', 'lim_o')}, {O.colours('zo', 'lim_o', 'rgb_o')}, "
-        f"{lab('rgb', 'lb')}, {lab('rgb_s', 'ls')}, {lab('rgb_o', 'lo_')} select round({de('lb', 'ls')}, 4) as shared, round({de('lb', 'lo_')}, 4) as own"
-    )
+    kept = "select * from {} where row >= 1 and row < 3 and col >= 1 and col < 3"
+    parts = [
+        f"{_SHARED}, {O.OTHER}, {O.long('other', 'y')}, {O.project('y', 'p', 'zs')}, {O.colours('zs', 'lim', 'rgb_s')}",
+        f"{O.basis('y', 'q', squarings=14)}, {O.project('y', 'q', 'zo')}, {O.spread('zo', 'lim_o')}, {O.colours('zo', 'lim_o', 'rgb_o')}",
+        f"mid as ({kept.format('tokens')}), mid_o as ({kept.format('other')}), {O.long('mid', 'xm')}, {O.long('mid_o', 'ym')}",
+        f"{O.basis('xm', 'pm', squarings=16)}, {O.basis('ym', 'qm', squarings=16)}, {O.angles('pm', 'qm', 'turn')}",
+        f"{O.project('xm', 'pm', 'zm')}, {O.spread('zm', 'lim_m')}, {O.colours('zm', 'lim_m', 'rgb_m')}, {O.project('ym', 'qm', 'zmo')}, {O.spread('zmo', 'lim_mo')}, {O.colours('zmo', 'lim_mo', 'rgb_mo')}",
+        *[lab(a, b) for a, b in (("rgb", "lb"), ("rgb_s", "ls"), ("rgb_o", "lo_"), ("rgb_m", "lm"), ("rgb_mo", "lmo"))],
+    ]
+    figures = []
+    for name, a, b in (("shared", "lb", "ls"), ("own", "lb", "lo_"), ("refit", "lm", "lmo")):
+        parts.append(f"d_{name} as materialized (select sqrt((a.l - b.l) ** 2 + (a.a - b.a) ** 2 + (a.bb - b.bb) ** 2) as de from {a} a join {b} b using (vec_id))")
+        figures += [f"(select round({f}, 3) from d_{name}) as {name}_{n}" for n, f in (("mean", "avg(de)"), ("p50", "quantile_cont(de, 0.5)"), ("p95", "quantile_cont(de, 0.95)"), ("max", "max(de)"))]
+    figures.append("(select round(max(degrees), 3) from turn) as refit_degrees")
+    for name, l in (("base", "lb"), ("other", "lo_")):
+        parts.append(f"""s_{name} as (select source, frame, l, a, bb, lag(l) over w as l0, lag(a) over w as a0, lag(bb) over w as b0, lag(frame) over w as f0 from {l} join tokens using (vec_id) window w as (partition by source, row, col order by frame)),
+f_{name} as (select source, frame, avg(sqrt((l - l0) ** 2 + (a - a0) ** 2 + (bb - b0) ** 2)) as de from s_{name} where f0 is not null group by 1, 2), k_{name} as (select source, avg(de) as de from f_{name} group by 1)""")
+        figures.append(f"(select round(coalesce(avg(de), 0), 3) from k_{name}) as flicker_{name}")
+    return ",\n".join(parts) + " select " + ", ".join(figures)
 
 
 @query("A40_cross_basis", _cross_sql())
 def a40(spark, d):
-    base, other = _tokens(spark, d), _other(spark, d)
-    shared, own = pca.fit(base), pca.fit(other)
-    rgb = pca.coloured(base, shared)
-    one = lambda b: fidelity.differences(rgb, pca.coloured(other, b), ["vec_id"]).agg(F.avg("de")).first()[0]
-    return spark.createDataFrame([(round(one(shared), 4), round(one(own), 4))], "shared double, own double")
+    out = fidelity.render_compare(_tokens(spark, d), _other(spark, d), ["vec_id"], 4, 4)
+    return out.select(*[F.round(c, 3).alias(c) for c in out.columns])
 
 
 @query("A41_worst_rollup", "select event_type as pair, max(value) as angle, min(event_id % 1000)::bigint as cosine from events group by 1")

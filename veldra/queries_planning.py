@@ -15,19 +15,19 @@ def _clips(spark, d):
     """Customers as clips: an id, a number of frames, a rate and a limit."""
     c = F.col("c_custkey")
     return table(spark, d, "customer").select(
-        c.alias("id"), (c % 1500).cast("bigint").alias("n"), F.when(c % 13 == 0, 0.0).otherwise((c % 7) * 10.0).alias("fps"),
+        c.alias("id"), (c % 1500 - 3).cast("bigint").alias("n"), F.when(c % 13 == 0, 0.0).otherwise((c % 7) * 10.0).alias("fps"),
         F.when(c % 17 == 0, 0.0).otherwise((c % 5) * 6.0).alias("target"), (c % 90 + 1).cast("bigint").alias("most"),
     )
 
 
 CLIPS = """clips as (
-  select c_custkey as id, (c_custkey % 1500)::bigint as n, case when c_custkey % 13 = 0 then 0 else (c_custkey % 7) * 10 end::double as fps,
+  select c_custkey as id, (c_custkey % 1500 - 3)::bigint as n, case when c_custkey % 13 = 0 then 0 else (c_custkey % 7) * 10 end::double as fps,
     case when c_custkey % 17 = 0 then 0 else (c_custkey % 5) * 6 end::double as target, (c_custkey % 90 + 1)::bigint as most
   from customer)"""
 
 
 @query("B01_frame_sampling", f"""with {CLIPS}, s as (
-  select *, case when fps = 0 or target = 0 then 1 else greatest(1, round_even(fps / target, 0)) end::bigint as s from clips where n > 0
+  select id, greatest(n, 1) as n, most, case when fps = 0 or target = 0 then 1 else greatest(1, round_even(fps / target, 0)) end::bigint as s from clips
 ), f as (select *, (n + s - 1) // s as full_n from s)
 select id, unnest(case when full_n > most then
     case when most <= 1 then [0::bigint] else list_transform(range(most), lambda i: (round_even(i * ((full_n - 1)::double / (most - 1)), 0) * s)::bigint) end
@@ -38,12 +38,13 @@ def b01(spark, d):
     return c.select("id", F.explode(S.frame_indices(F.col("n"), F.col("fps"), F.col("target"), F.col("most"))).alias("pos"))
 
 
-@query("B02_metadata_fallbacks", f"""with {CLIPS}, m as (select id, coalesce(nullif(fps, 0), 30.0) as fps, fps as raw, case when n % 3 = 0 then 0 else n end as n, n / 25.0 as dur from clips),
-k as (select id, fps, coalesce(nullif(n, 0), nullif(floor(dur * fps)::bigint, 0), 1)::bigint as n, dur from m)
-select id, fps::double as fps, n, round(coalesce(nullif(dur, 0), n / fps)::double, 6) as duration from k""")
+@query("B02_metadata_fallbacks", f"""with {CLIPS}, m as (select id, coalesce(nullif(case when id % 4 = 0 then fps / 100 else fps end, 0), 30.0) as fps, case when n % 3 = 0 then 0 else n end as n, case when id % 5 = 0 then -n / 25.0 when id % 6 = 0 then null else n / 25.0 end as dur from clips),
+k as (select id, fps, coalesce(nullif(n, 0), nullif(trunc(coalesce(dur, 0) * fps)::bigint, 0), 1)::bigint as n, dur from m)
+select id, fps::double as fps, n, round((case when dur > 0 then dur else n / greatest(fps, 1) end)::double, 6) as duration from k""")
 def b02(spark, d):
     n = F.when(F.col("n") % 3 == 0, 0).otherwise(F.col("n"))
-    m = S.metadata(F.col("fps"), n, F.col("n") / 25.0)
+    c, dur = F.col("id"), F.col("n") / 25.0
+    m = S.metadata(F.when(c % 4 == 0, F.col("fps") / 100).otherwise(F.col("fps")), n, F.when(c % 5 == 0, -dur).when(c % 6 == 0, F.lit(None)).otherwise(dur))
     return _clips(spark, d).select("id", m["fps"].alias("fps"), m["n"].alias("n"), F.round(m["duration"], 6).alias("duration"))
 
 
@@ -173,9 +174,9 @@ from n window w as (partition by user_id, phase order by ts, event_id rows unbou
 def b16(spark, d):
     from veldra.streaming import progress
 
-    e = table(spark, d, "events").select("event_id", "user_id", "ts", F.when(F.col("event_id") % 2 == 0, "extract").otherwise("render").alias("phase"), F.lit(1).alias("done"))
+    e = table(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.when(F.col("event_id") % 2 == 0, "extract").otherwise("render").alias("phase"), F.lit(1).alias("done"))
     total = e.groupBy("user_id", "phase").agg(F.count("*").alias("total"))
-    out = progress.ticks(e.join(total, ["user_id", "phase"]), "user_id", ["ts", "event_id"], "done", "total")
+    out = progress.ticks(e.join(total, ["user_id", "phase"]), "user_id", ["t", "event_id"], "done", "total")
     return out.select("event_id", "user_id", F.round("progress", 6).alias("progress"))
 
 

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from veldra import queries_catalog, queries_numeric, queries_planning  # noqa: F401
+    from veldra import queries_catalog, queries_numeric, queries_planning, queries_stores  # noqa: F401
 
 
 load()

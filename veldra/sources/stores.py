@@ -1,38 +1,13 @@
-"""Sinks that replace a result only when the new one is complete."""
+"""JSON documents of runs."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-
-
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def replace(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Writes beside the path, then swaps: readers see the old result or the new one, never a torn one, and a write
-    that fails leaves the old one as it was and nothing beside it."""
-    spark = df.sparkSession
-    tmp = f"{path}.{uuid.uuid4().hex}.tmp"
-    fs, new = _fs(spark, tmp)
-    try:
-        df.write.format(kind).save(tmp)
-    except Exception:
-        fs.delete(new, True)
-        raise
-    _, old = _fs(spark, path)
-    _, aside = _fs(spark, f"{tmp}.old")
-    if fs.exists(old):
-        fs.rename(old, aside)
-    if not fs.rename(new, old):
-        fs.rename(aside, old)
-        raise OSError(f"{path} could not be replaced")
-    fs.delete(aside, True)
+from pyspark.sql import functions as F
 
 
 def readable(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON documents of a folder; those that can't be read are not there."""
-    return spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path).cache().where("_bad is null").drop("_bad")
+    """The JSON documents of a folder, a file each; those that can't be read are not there."""
+    text = spark.read.text(path, wholetext=True)
+    doc = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    return text.select(doc.alias("d")).where("d is not null and d._bad is null").select("d.*").drop("_bad")

@@ -2,37 +2,45 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
+import hashlib
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldra.functions.vectors import as_double
 
-RANGE = 1 << 16
+#: parts that the values of an order are cut into, to number the rows of a key
+RANGES = 1024
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def numbered(df: DataFrame, key: str, order: str, name: str = "k", width: int = RANGE) -> DataFrame:
-    """Each row's place (from 0) within its key by an integer order, without a window over a whole key.
+def numbered(df: DataFrame, key: str, order: str | list[str], name: str = "k", width: int | None = None) -> DataFrame:
+    """Each row's place (from 0) within its key by its order, without a window over a whole key.
 
-    The order's values are cut into ranges; a row's place counts the rows in lower ranges, summed from one count for
-    each key and range, and those before it in its own. So a key that holds a third of the rows is numbered by many
-    tasks.
+    The values of the first order, whole numbers, are cut into ranges; a row's place counts the rows in lower ranges, summed from
+    one count for each key and range, and those before it in its own. So a key that holds a third of the rows is
+    numbered by many tasks. Without a width, ranges are those of RANGES equal parts of all values. Nulls come first.
     """
-    at = df.withColumn("_range", F.floor(F.col(order) / width))
+    order = [order] if isinstance(order, str) else order
+    width, low = (width, 0) if width else span(df, order[0])
+    at = df.withColumn("_range", F.floor((F.col(order[0]) - low) / width))
     per = at.groupBy(key, "_range").agg(F.count("*").alias("_n"))
-    low = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(F.col(key).alias("_key"), F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(low), F.lit(0)).alias("_first"))
-    own = at.withColumn("_nth", F.row_number().over(Window.partitionBy(key, "_range").orderBy(order)))
+    below = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(F.col(key).alias("_key"), F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_first"))
+    own = at.withColumn("_nth", F.row_number().over(Window.partitionBy(key, "_range").orderBy(*order)))
     both = own.join(per, own[key].eqNullSafe(per._key) & own._range.eqNullSafe(per._at))
     return both.withColumn(name, (F.col("_first") + F.col("_nth") - 1).cast("bigint")).drop("_range", "_nth", "_key", "_at", "_first")
 
 
+def span(df: DataFrame, order: str) -> tuple[int, int]:
+    """The width of RANGES equal parts of a column's values, and the least value."""
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    return (1, 0) if low is None else (max(1, -(-(int(high) - int(low) + 1) // RANGES)), int(low))
+
+
 def tokens(embeddings: DataFrame, side: int = 4) -> DataFrame:
     """Vectors as tokens: source, frame, row, col, vec_id, feat; each source's vectors fill frames of side x side."""
     k = numbered(embeddings.select(F.col("label").alias("source"), "vec_id", as_double("embedding").alias("feat")), "source", "vec_id")
@@ -43,24 +51,6 @@ def tokens(embeddings: DataFrame, side: int = 4) -> DataFrame:
     )
 
 
-def half_floats(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """Raw little-endian float16 files as tokens in file order: (path, k, feat). A file's size must be a multiple of
-    a vector's; the last, torn vector of another file is an error."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(frames):
-        import pandas as pd
-
-        for f in frames:
-            for p, c in zip(f["path"], f["content"]):
-                x = np.frombuffer(c, "<f2").astype(np.float64)
-                if len(x) % dim:
-                    raise ValueError(f"{p}: {len(x)} values are no whole vectors of {dim}")
-                yield pd.DataFrame({"path": p, "k": np.arange(len(x) // dim), "feat": list(x.reshape(-1, dim))})
-
-    return files.mapInPandas(run, "path string, k bigint, feat array<double>")
-
-
 def packed_bits(content: Column, n: int) -> Column:
     """The first n bits of a binary column, most significant first, as booleans."""
     text = F.hex(content)
@@ -75,24 +65,31 @@ def sources_of(files: DataFrame) -> DataFrame:
 
 
 def scanned(spark: SparkSession, path: str, large: int = 64 << 20) -> DataFrame:
-    """The sources of all files of a path. Files of more bytes than `large` never become a row's content: the driver's
-    JVM hashes them as a stream, four at a time."""
+    """The sources of all files of a path. Files of more bytes than `large` never become a row's content: a task each
+    hashes them as a stream."""
     files = spark.read.format("binaryFile").load(path)
     small = files.where(F.col("length") <= large).select("path", "length", F.sha2("content", 256).alias("digest"))
-    rows = files.where(F.col("length") > large).select("path", "length").collect()
-    with ThreadPool(4) as pool:
-        big = pool.map(lambda r: (r["path"], r["length"], _streamed(spark, r["path"])), rows)
-    return _sources(small.unionByName(spark.createDataFrame(big, "path string, length long, digest string")))
-
-
-def _streamed(spark: SparkSession, path: str) -> str:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
-    try:
-        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
-    finally:
-        stream.close()
+    names = files.where(F.col("length") > large).select("path", "length").repartition(4 * spark.sparkContext.defaultParallelism, "path")
+    return _sources(small.unionByName(names.mapInPandas(_streamed, "path string, length bigint, digest string")))
+
+
+def _streamed(frames):
+    for f in frames:
+        f["digest"] = [streamed_digest(p) for p in f["path"]]
+        yield f[["path", "length", "digest"]]
+
+
+def streamed_digest(path: str) -> str:
+    from urllib.parse import unquote
+
+    from veldra.sources.features import filesystem
+
+    fs, at = filesystem(path)
+    with fs.open_input_stream(unquote(at) if path.startswith("file:") else at) as f:
+        digest = hashlib.sha256()
+        while block := f.read(1 << 20):
+            digest.update(block)
+    return digest.hexdigest()
 
 
 def _sources(files: DataFrame) -> DataFrame:

@@ -4,18 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldra.sources.tokens import span
+
 TRIES, LONGEST = 5, 300.0
 DECISIONS = "ip bigint, event_id bigint, outcome string, fails bigint, locked_until double"
 
 
+def running(events: DataFrame, keys: list[str], order: list[str], **sums: Column) -> DataFrame:
+    """Events with running aggregates of their key, each by name: a Column is summed up. The values of the first order, whole numbers,
+    are cut into ranges: what is before a range comes from one row for each key and range, the rest from a window
+    within it, so a hot key is spread over many tasks."""
+    width, low = span(events, order[0])
+    at = events.withColumn("_range", F.floor((F.col(order[0]) - low) / width))
+    own = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    per = at.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r")).agg(*[F.sum(c).alias(f"_s{n}") for n, c in sums.items()])
+    per = per.select(*[f"_k{i}" for i in range(len(keys))], "_r", *[F.coalesce(F.sum(f"_s{n}").over(before), F.lit(0)).alias(f"_b{n}") for n in sums])
+    out = at.withColumns({f"_o{n}": F.coalesce(F.sum(c).over(own), F.lit(0)) for n, c in sums.items()})
+    same = F.col("_range").eqNullSafe(F.col("_r"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return out.join(per, same).select(*events.columns, *[(F.col(f"_o{n}") + F.col(f"_b{n}")).alias(n) for n in sums])
+
+
 def statuses(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Each event with its group's rev (how many events so far) and status after it. `sets` is the status that an
-    event sets, null if none; a group without one yet is queued."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.withColumn("rev", F.count("*").over(w)).withColumn("status", F.coalesce(F.last("sets", ignorenulls=True).over(w), F.lit("queued")))
+    event sets, null if none; a group without one yet is queued. The status is that of the last event which sets
+    one: its number is counted up, and its row found by that."""
+    told = F.col("sets").isNotNull().cast("bigint")
+    at = running(events, [key], order, rev=F.lit(1), _nth=told)
+    sets = at.where("sets is not null").select(F.col(key).alias("_key"), F.col("_nth").alias("_at"), F.col("sets").alias("_sets"))
+    out = at.join(sets, at[key].eqNullSafe(sets._key) & (at._nth == sets._at), "left")
+    return out.select(*events.columns, "rev", F.coalesce("_sets", F.lit("queued")).alias("status"))
 
 
 def latest(events: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -25,11 +48,6 @@ def latest(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     return events.groupBy(key).agg(F.count("*").alias("rev"), F.coalesce(last, F.lit("queued")).alias("status"))
 
 
-def stream_latest(events: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The same on a stream: in update mode, only groups whose rev moved come out."""
-    return latest(events, key, order)
-
-
 def changed(now: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     """Groups whose rev is beyond the last one seen (none seen: 0)."""
     s = seen.select(key, F.col("rev").alias("_seen"))
@@ -38,9 +56,9 @@ def changed(now: DataFrame, seen: DataFrame, key: str) -> DataFrame:
 
 def ticks(events: DataFrame, key: str, order: list[str], done: str, total: str) -> DataFrame:
     """Progress of the two counted phases: 0.05 + 0.50 d / N while extracting, 0.62 + 0.36 d / N while rendering."""
-    w = Window.partitionBy(key, "phase").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    part = F.sum(done).over(w) / F.col(total)
-    return events.withColumn("progress", F.when(F.col("phase") == "extract", 0.05 + 0.50 * part).otherwise(0.62 + 0.36 * part))
+    at = running(events, [key, "phase"], order, _done=F.col(done))
+    part = F.col("_done") / F.col(total)
+    return at.withColumn("progress", F.when(F.col("phase") == "extract", 0.05 + 0.50 * part).otherwise(0.62 + 0.36 * part)).drop("_done")
 
 
 class Throttle:
