@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -583,3 +584,25 @@ def test_pipeline_stages(spark, docs, folder):
         now = after
     packed = corpus_pipeline.pack(spark, now, folder)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in now.select("doc_id").collect()}
+
+
+def test_long_unlike_texts_that_share_a_passage_are_linear(spark):
+    """Twice and four times as many long texts with one passage in common give no more pairs for it, in few large cells
+    or none; the near copies among them are found."""
+    r = random.Random(21)
+    new = lambda n: ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    passage, out = new(90), []
+    for n in (60, 120, 240):
+        texts = [new(1300) for _ in range(n)]
+        texts = [t[: r.randrange(1000)] + passage + t[1000:] for t in texts]
+        copies = [[*t[:40], "changed", *t[41:]] for t in texts[:10]]
+        df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts + copies)], "doc_id long, text string")
+        roots = {x["doc_id"]: x["root"] for x in simhash.near_copies(df, small=12).collect()}
+        assert all(roots[i] == roots[n + i] for i in range(10)) and len(set(roots.values())) == n
+        hot = simhash.hot_hashes(df)
+        heads = [set(simhash.prefix(simhash.shingle_set(w), hot).tolist()) for w in simhash.cut_words(pa.array([x["text"] for x in df.orderBy("doc_id").collect()]))]
+        shared = collections.Counter(h for x in heads for h in x)
+        rows = sum(m * (m - 1) // 2 for m in shared.values())  # pairs that cells hold
+        out.append((n, rows))
+    per = [rows / n for n, rows in out]
+    assert per[2] < 1.5 * per[0] + 100, out

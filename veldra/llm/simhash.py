@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veldra.llm.common import components, discard, hash_sample, materialize, pick, place_of, shuffle_width, table, tidy
+from veldra.llm.common import components, discard, materialize, pick, place_of, shuffle_width, table, tidy
 
 LOW = 0x5555555555555555
 SEGMENTS = 32
@@ -182,12 +182,19 @@ class Cells:
 
 
 def _numbers(col: pa.Array) -> np.ndarray:
-    """A column as an array; one of sketches as an array of rows of words."""
+    """A column as an array; one of wide sketches, or of none, as an array of bytes."""
     if pa.types.is_binary(col.type):
-        return np.frombuffer(b"".join(col.to_pylist()), "<u8").reshape(len(col), -1)
+        out = np.empty(len(col), object)
+        out[:] = col.to_pylist()
+        return out
     return col.to_numpy(zero_copy_only=False)
 
 
+def _rows_of(col: pa.Array) -> np.ndarray:
+    """A column of sketches of one size as rows of words."""
+    return np.frombuffer(b"".join(col.to_pylist()), "<u8").reshape(len(col), -1)
+
+
 def forest(order: np.ndarray, near: Callable, comp: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the near pairs of one cell: breadth first over what is not yet reached, in a given order.
 
@@ -449,24 +456,25 @@ def with_node(docs: DataFrame, text: str) -> DataFrame:
     return docs.mapInArrow(tidy(_with_node(text)), T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())]))
 
 
-SIGNED = "doc_id long, node long, fp long, size long, sketch binary, head binary"
+SIGNED = "doc_id long, node long, fp long, size long, sketch binary, wide binary, head binary"
 
 
 def _signed(hot):
-    """A text's words as one digest (node), the SimHash of its set of shingles, the set's size, sketch and prefix."""
+    """A text's words as one digest (node), the SimHash of its set of shingles, the set's size, sketches and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, fp, size, sketch, head = [], [], [], [], []
+            node, fp, size, sketch, wide, head = [], [], [], [], [], []
             for w in cut_words(batch.column("text")):
                 own = shingle_set(w)
                 node.append(node_of(w))
                 fp.append(majority(own))
                 size.append(len(own))
                 sketch.append(sketch_of(own))
+                wide.append(wide_sketch(own).tobytes())
                 head.append(prefix(own, hot.value).astype("<u8").tobytes())
             numbers = [pa.array(x, pa.int64()) for x in (node, fp, size)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers, pa.array(sketch, pa.binary()), pa.array(head, pa.binary())], ["doc_id", "node", "fp", "size", "sketch", "head"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers, *[pa.array(x, pa.binary()) for x in (sketch, wide, head)]], ["doc_id", "node", "fp", "size", "sketch", "wide", "head"])
 
     return run
 
@@ -512,16 +520,52 @@ class PrefixCells(Cells):
         return OPEN, grid, cell, node, fp
 
 
+class Known:
+    """What a grid's cells share: its nodes in order, their components and wide sketches.
+
+    Sketches have twice as many slots as their sets have hashes, or more, by powers of two; those of sets that can be
+    similar differ by one power at most, and are compared in the smaller one's slots.
+    """
+
+    def __init__(self, node: np.ndarray, comp: np.ndarray, sketch: np.ndarray):
+        self.node, self.comp, self.sketch = node, comp, sketch
+        self.kind = np.array([len(x).bit_length() for x in sketch])
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def rows(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sketches of a size, and of the next folded to it; and which of them is whose."""
+        if kind not in self.folded:
+            at = np.flatnonzero((self.kind == kind) | (self.kind == kind + 1))
+            whose = np.full(len(self.node), -1)
+            whose[at] = np.arange(len(at))
+            words = [np.frombuffer(self.sketch[i], "<u8") for i in at]
+            least = 1 << kind - 4  # words of eight bytes
+            self.folded[kind] = np.array([w if len(w) == least else w[:least] ^ w[least:] for w in words]), whose
+        return self.folded[kind]
+
+    def apart(self, x: int, others: np.ndarray) -> np.ndarray:
+        """At most so many hashes are in the set of x alone or in another's alone, as the sketches tell."""
+        out = np.zeros(len(others), np.int64)
+        kinds = np.minimum(self.kind[others], self.kind[x])
+        for kind in np.unique(kinds):
+            sketch, whose = self.rows(int(kind))
+            mine = kinds == kind
+            out[mine] = np.bitwise_count(sketch[whose[others[mine]]] ^ sketch[whose[x]]).sum(1, dtype=np.int64)
+        return out
+
+
 class SketchCells(Cells):
-    """Large cells with the sets' sketches and the components known so far: gives off pairs of different components
-    that may be similar, a spanning forest of them (in an order that is the same in all cells) or `every` one."""
+    """Large cells: gives off pairs of different components that may be similar, a spanning forest of them (in an order
+    that is the same in all cells) or `every` one. A grid's nodes come before its cells, once, in a cell of their own
+    (FIRST), with their sketches and the components known so far."""
 
-    columns = ("grid", "cell", "node", "fp", "sketch", "comp")
+    columns = ("grid", "cell", "node", "fp", "wide", "comp")
 
     def __init__(self, seed: int, every: bool, wide: int = 1 << 62):
         super().__init__(0, wide)
         self.seed, self.every = seed, every
         self.home, self.seen = None, np.zeros((0, 2), np.int64)
+        self.known: Known | None = None
 
     def of(self, cols):
         """Pairs that the cells of one grid before have not given off: copies share most of their cells."""
@@ -545,16 +589,21 @@ class SketchCells(Cells):
         edge, size = _shape(cols)
         for k in range(len(edge)):
             s = slice(edge[k], edge[k] + size[k])
-            _, _, node, fp, sketch, comp = (c[s] for c in cols)
+            _, cell, node, fp, wide, comp = (c[s] for c in cols)
+            if cell[0] == FIRST and wide[0] is not None:
+                self.known = Known(node, comp, wide)
+                continue
+            known = self.known
+            at = np.searchsorted(known.node, node)
+            comp, n = known.comp[at], fp >> 32
             if (comp == comp[0]).all():
                 continue
-            n = fp >> 32
 
             def near(x, left):
                 ok = _reachable(fp, left, np.full(len(left), x))  # noqa: B023
-                at = np.flatnonzero(ok)
-                apart = np.bitwise_count(sketch[left[at]] ^ sketch[x]).sum(1, dtype=np.int64)  # noqa: B023
-                ok[at] = 9 * apart <= n[left[at]] + n[x]  # noqa: B023
+                some = np.flatnonzero(ok)
+                if len(some):
+                    ok[some] = 9 * known.apart(at[x], at[left[some]]) <= n[left[some]] + n[x]  # noqa: B023
                 return ok
 
             if self.every:
@@ -571,26 +620,24 @@ class SketchCells(Cells):
                     yield LINK, cols[0][s][a], cols[1][s][a], node[a], node[b]
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for w in cut_words(batch.column("text")):
-            yield pa.RecordBatch.from_arrays([pa.array(shingle_set(w).view(np.int64))], ["hash"])
+FIRST = -(1 << 63)
 
 
-def hot_hashes(docs: DataFrame, sample: int = 4000, least: int = 8, most: int = 100_000) -> np.ndarray:
-    """Sorted hashes of the shingles that many of a sample of documents have. They come last in the prefixes' order,
-    which keeps cells small; any order finds the same links."""
-    ids = hash_sample(docs.where("doc_id is not null").select("doc_id"), F.col("doc_id"), sample, docs.count())
-    some = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text")
-    often = some.mapInArrow(tidy(_hashed), "hash long").groupBy("hash").count().where(F.col("count") >= least).orderBy(F.desc("count"), "hash").limit(most)
-    return np.sort(np.array([r["hash"] for r in often.select("hash").collect()], np.int64).view(np.uint64))
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    none = np.zeros(0, np.uint64)
+    for batch in batches:
+        heads = [prefix(shingle_set(w), none) for w in cut_words(batch.column("text"))]
+        hashes, n = np.unique(np.concatenate(heads) if heads else none, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], ["hash", "n"])
 
 
-def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        own = [shingle_set(w) for w in cut_words(batch.column("text"))]
-        out = [wide_sketch(x).tobytes() for x in own]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(map(len, own)), pa.int64()), pa.array(out, pa.binary())], ["node", "n", "wide"])
+def hot_hashes(docs: DataFrame, least: int = 8, most: int = 200_000) -> np.ndarray:
+    """Sorted hashes that the prefixes of many documents have, counted over all of them; of more than `most`, the most
+    frequent. They come last in the prefixes' order, so a passage that otherwise unlike texts share makes no cell of
+    them; any order finds the same links."""
+    often = docs.select("text").mapInArrow(tidy(_prefixes), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "hash").limit(most)
+    got = often.select("hash").toPandas()["hash"].to_numpy(np.int64)
+    return np.sort(got.view(np.uint64))
 
 
 def _wide_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -609,7 +656,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _may_be_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sketches and sizes allow for a similarity of 0.8."""
     for batch in batches:
-        ka, kb, na, nb = (_numbers(batch.column(c)) for c in ("ka", "kb", "na", "nb"))
+        ka, kb, na, nb = (f(batch.column(c)) for c, f in (("ka", _rows_of), ("kb", _rows_of), ("na", _numbers), ("nb", _numbers)))
         ok = (9 * np.bitwise_count(ka ^ kb).sum(1, dtype=np.int64) <= na + nb) & (9 * np.minimum(na, nb) >= 4 * (na + nb))
         yield batch.select(["a", "b"]).filter(pa.array(ok))
 
@@ -632,7 +679,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def similar_links(nodes: DataFrame, docs: DataFrame, *, bits: int = 4, small: int = 12, wide: int = 16_384) -> DataFrame:
     """(node, root) for nodes that a similarity of 0.8 or more links to others.
 
-    nodes: (node, least, fp, size, sketch, head); docs: (doc_id, text). Candidates are the links of the fingerprints, all
+    nodes: (node, least, fp, size, sketch, wide, head); docs: (doc_id, text). Candidates are the links of the fingerprints, all
     pairs of small prefix cells and, of large ones, a spanning forest; shingles decide. What large cells may still
     link between the components so found is asked for once more as a forest, and in the end pair by pair.
     """
@@ -643,9 +690,8 @@ def similar_links(nodes: DataFrame, docs: DataFrame, *, bits: int = 4, small: in
     # cells of one smallest member are searched in one task, as they have most pairs in common; very large ones alone
     per = members.groupBy("cell").agg(F.min("node").alias("home"), F.count("*").alias("many"))
     grid = F.when(F.col("many") <= wide // 4, F.col("home")).otherwise(F.col("cell")).alias("grid")
-    members = members.drop("grid").join(per.select("cell", grid), "cell").join(nodes.select("node", "sketch"), "node")
-    members = materialize(members, "members")
-    sketches = nodes.select("node", "sketch", "size")
+    members = materialize(members.drop("grid").join(per.select("cell", grid), "cell").select("grid", "cell", "node", "fp"), "members")
+    sketches, wides = nodes.select("node", "sketch", "size"), nodes.select("node", "wide", "size")
 
     def both(pairs: DataFrame, side: DataFrame, **named: str) -> DataFrame:
         """Pairs with the columns of side for a and for b."""
@@ -660,17 +706,18 @@ def similar_links(nodes: DataFrame, docs: DataFrame, *, bits: int = 4, small: in
         """Those that are similar: by sketches of one size, by sketches of the sets' sizes, by the sets."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         may = materialize(both(pairs, sketches, sketch="k", size="n").mapInArrow(tidy(_may_be_alike), "a long, b long"), "may")
-        wide = materialize(texts_of(docs, wanted(may)).mapInArrow(tidy(_wide), "node long, n long, wide binary"), "wide")
-        near = materialize(both(may, wide, wide="w", n="n").mapInArrow(tidy(_wide_near), "a long, b long"), "near")
+        near = materialize(both(may, wides, wide="w", size="n").mapInArrow(tidy(_wide_near), "a long, b long"), "near")
         sets = materialize(texts_of(docs, wanted(near)).mapInArrow(tidy(_sets), "node long, set binary"), "sets")
         out = materialize(both(near, sets, set="s").mapInArrow(tidy(_alike), "a long, b long"), "links")
-        discard(sets), discard(wide)
+        discard(sets), discard(may), discard(near)
         return out
 
     def between(roots: DataFrame | None, seed: int, every: bool) -> DataFrame:
-        known = members.withColumn("comp", F.col("node"))
-        if roots is not None:
-            known = members.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        own = members.select("grid", "node").distinct().join(wides, "node")
+        own = own.withColumn("comp", F.col("node")) if roots is None else own.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+        first = own.select("grid", F.lit(FIRST).alias("cell"), "node", F.lit(0).cast("long").alias("fp"), "wide", "comp")
+        cells = members.withColumn("wide", F.lit(None).cast("binary")).withColumn("comp", F.lit(0).cast("long"))
+        known = first.unionByName(cells)
         return _dealt(known, "grid").mapInArrow(tidy(SketchCells(seed, every).run), LINKS).select("a", "b")
 
     first = related(nodes.select("node", "fp"), bits=bits).unionByName(found.where(f"kind = {LINK}").select("a", "b"))
@@ -696,7 +743,7 @@ def near_copies(docs: DataFrame, *, bits: int = 4, small: int = 12, wide: int =
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     hot = docs.sparkSession.sparkContext.broadcast(hot_hashes(docs))
     signed = materialize(docs.mapInArrow(tidy(_signed(hot)), SIGNED), "signed")
-    most = [F.max(c).alias(c) for c in ("fp", "size", "sketch", "head")]  # equal in all rows of a node
+    most = [F.max(c).alias(c) for c in ("fp", "size", "sketch", "wide", "head")]  # equal in all rows of a node
     ids = materialize(signed.select("doc_id", "node"), "ids")
     nodes = materialize(signed.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("least"), *most), "nodes")
     discard(signed)
