@@ -606,3 +606,35 @@ def test_long_unlike_texts_that_share_a_passage_are_linear(spark):
         out.append((n, rows))
     per = [rows / n for n, rows in out]
     assert per[2] < 1.5 * per[0] + 100, out
+
+
+def test_severity_follows_known_strengths():
+    """Toxic texts of three strengths, which the labels don't tell: the severity of texts held out orders them."""
+    r = random.Random(17)
+    clean, signs = [f"word{i}" for i in range(400)], [f"slur{i}" for i in range(60)]
+
+    def text(k):
+        w = [r.choice(clean) for _ in range(120)] + [r.choice(signs) for _ in range(k)]
+        r.shuffle(w)
+        return " ".join(w)
+
+    strengths = [r.choice([0, 0, 0, 1, 4, 16]) for _ in range(1500)]
+    rows = [(text(k), k) for k in strengths]
+    model = toxicity.OrdinalModel.fit([t for t, _ in rows[:1000]], [int(k > 0) for _, k in rows[:1000]])
+    held = [(model.severity(t)[0], k) for t, k in rows[1000:] if k]
+    rank = lambda x: np.argsort(np.argsort(x, kind="stable")).astype(float)
+    mean = lambda x: np.array([rank(x)[np.array(x) == v].mean() for v in x])
+    severity, strength = zip(*held)
+    assert np.corrcoef(mean(severity), mean(strength))[0, 1] > 0.8
+    assert not any(model.severity(t)[1] > model.reject for t, k in rows[1000:] if not k)
+
+
+def test_numbers_of_a_list_are_candidates_each(spark):
+    text = "tel (415) 555-2671, (415) 555-2672, 212-555-0100 / 212-555-0199 and 4111 1111 1111 1111, 5500 0000 0000 0004"
+    df = spark.createDataFrame([(text,)], "text string")
+    got = {(x["kind"], x["m"]) for x in df.select(pii.candidate_rows(F.col("text")).alias("c")).first()["c"]}
+    phone, card = pii.KINDS.index("phone"), pii.KINDS.index("card")
+    assert {(phone, "(415) 555-2671"), (phone, "(415) 555-2672"), (phone, "212-555-0100"), (phone, "212-555-0199")} <= got
+    assert {(card, "4111 1111 1111 1111"), (card, "5500 0000 0000 0004")} <= got
+    wide = " (dot) ".join("1" * 9) + " (dot) " + "2 " * 3 + "3"
+    assert any(len(x["m"]) > 64 for x in spark.createDataFrame([(wide,)], "text string").select(pii.candidate_rows(F.col("text")).alias("c")).first()["c"])

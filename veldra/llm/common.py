@@ -57,6 +57,14 @@ def tidy(function):
     return run
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Arrow batches of at most so many bytes in this session, unless it has been told otherwise: a job of many stages
+    keeps its workers, and what batches of 64 MB of text take up stays with them and the executor."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64m", "64mb"):
+        spark.conf.set(key, size)
+
+
 def kept_rows(df: DataFrame, function) -> DataFrame:
     """df.mapInArrow for a function that only leaves rows out, whatever the columns' names: they may clash."""
     names = df.columns

@@ -1,8 +1,9 @@
 """Personal data by candidate gradient boosting, in DataFrame functions only.
 
 Base spans follow fixed formats (email, ip, card, phone). High-recall generators propose further, overlapping
-candidates: addresses with their signs spelled out or bracketed, and every run of numbers, with and without spaces, as
-an ip, a card and a phone. Boosted trees score a candidate by its format and its context; a threshold for each kind,
+candidates: addresses with their signs spelled out or bracketed, and runs of numbers as an ip, a card and a phone: the
+longest, those without spaces, and those whose joints are of one character, which take the numbers of a list apart.
+What has more digits than any kind is no candidate. Boosted trees score a candidate by its format and its context; a threshold for each kind,
 calibrated on held-out candidates, selects what is added to the base spans. The trees are fitted on the driver from a
 bounded sample of candidates, with the base formats as labels. Their telling signs are masked (the at sign and how
 dots are written, the plus, a card's number of digits is no gate), so that they judge by looks and surroundings what
@@ -40,10 +41,13 @@ _AT, _DOT = r" ?+(?:@|\(at\)|\[at\]) ?+| at ", r" ?+(?:\(dot\)|\[dot\]|\.) ?+| d
 _DOTS = r" ?+(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)) ?+| \. | dot "
 _NUMBERS = rf"\(?+[0-9]++(?:(?:{_DOTS}|[ .,:/()-]{{1,3}}+)[0-9]++)*+"
 _TIGHT = r"[0-9]++(?:[.,:/()-]{1,2}+[0-9]++)*+"
+#: joints that one number has: numbers of a list, behind commas or wider gaps, are runs of their own
+_LISTED = r"\(?+[0-9]++(?:(?:\)[ -]?+|[ .:/-])[0-9]++)*+"
 GENERATORS = [
     (["email"], rf"(?<![{LOCAL}@])[{LOCAL}]++(?:{_AT})[{HOST}]++(?:(?:{_DOT})[{HOST}]++)++", ["@", "(at)", "[at]"], (" at ", rf" at [{HOST}]++(?:{_DOT})[{HOST}]")),
     (["ip", "card", "phone"], _NUMBERS, [], ("", "[0-9]")),
     (["ip", "card", "phone"], _TIGHT, [], ("", "[0-9]")),
+    (["ip", "card", "phone"], _LISTED, [], ("", "[0-9]")),
 ]
 
 
@@ -149,7 +153,7 @@ def candidate_rows(text: Column) -> Column:
             continue
         of = F.array(*[F.struct(F.lit(KINDS.index(k)).alias("kind"), F.lit(DIGITS[k][0]).alias("low"), F.lit(DIGITS[k][1]).alias("high")) for k in kinds])
         sized = F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), F.char_length(digits_of(x["m"])).alias("n")))
-        short = F.filter(sized, lambda x: (F.char_length(x["m"]) <= 64) & (x["n"] >= min(v for v, _ in DIGITS.values())))
+        short = F.filter(sized, lambda x: _between(x["n"], min(v for v, _ in DIGITS.values()), max(v for _, v in DIGITS.values())))
         each = lambda x: F.transform(F.filter(of, lambda k: (k["low"] <= x["n"]) & (x["n"] <= k["high"])), lambda k: F.struct(k["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))  # noqa: E731, B023
         out.append(F.flatten(F.transform(short, each)))
     return F.array_distinct(F.concat(*out))
@@ -203,7 +207,8 @@ class Boosted:
 
 
 def _stump(x: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> tuple[int, float, float]:
-    """The split with the largest gain: feature, value, gain."""
+    """The split with the largest gain: feature, value, gain. A feature's splits are its values, or 64 of their quantiles where
+    it has more."""
     best = (0, float("inf"), 0.0)
     g, h = grad.sum(), hess.sum()
     for f in range(x.shape[1]):

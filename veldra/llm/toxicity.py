@@ -4,8 +4,8 @@ A document's grade (0 to 3) follows from where its score lies among ordered thre
 features' weights: P(grade >= j) = sigmoid(w.x - b_j). Features are the words of a text and their beginnings, of which
 only those take part that clearly favour labelled toxic texts or clean ones; the weights are fitted with a lasso, so
 most are zero. Labels say toxic or not; a toxic text's grade (1 to 3) is the third of all labelled toxic texts in which
-the score lies that models fitted on the other folds of the labels give it, so it doesn't repeat the model's own
-features. The expected severity is the sum of P(grade >= j) over the thresholds.
+the score lies that models of the other folds of the labels give it, which have chosen their features and weights without it. So
+grades above 1 rank toxic texts by the strength of their signs, not by a severity that someone has judged. The expected severity is the sum of P(grade >= j) over the thresholds.
 """
 
 from __future__ import annotations
@@ -43,6 +43,22 @@ def counted(found: dict[str, int], at: dict[str, int]) -> dict[int, float]:
     return {at[f]: float(np.log1p(n)) for f, n in found.items() if f in at}
 
 
+def telling(found: list[Counter], y: np.ndarray, use: np.ndarray, min_docs: int, odds: float) -> dict[str, int]:
+    """Features that favour toxic texts among the rows in use, and their places: the most telling first."""
+    pos, neg = Counter(), Counter()
+    for f, bad, mine in zip(found, y, use):  # only what toxic texts have can be telling
+        if bad and mine:
+            pos.update(f.keys())
+    pos = Counter({f: n for f, n in pos.items() if n >= min_docs})
+    for f, bad, mine in zip(found, y, use):
+        if mine and not bad:
+            neg.update(f.keys() & pos.keys())
+    n1, n0 = y[use].sum(), (1 - y[use]).sum()
+    value = {f: np.log((pos[f] + 0.5) / (n1 + 1)) - np.log((neg[f] + 0.5) / (n0 + 1)) for f in pos}
+    names = sorted((f for f, v in value.items() if v >= np.log(odds)), key=lambda f: (-value[f], f))
+    return {f: i for i, f in enumerate(names)}
+
+
 class OrdinalModel:
     def __init__(self, weights: dict[str, float], cuts: list[float], reject: float):
         self.weights, self.cuts, self.reject = weights, np.array(cuts, float), reject
@@ -63,37 +79,33 @@ class OrdinalModel:
         n1, n0 = y.sum(), (1 - y).sum()
         if not n1 or not n0:
             return cls({}, [20.0, 21.0, 22.0], 0.5)
-        pos, neg = Counter(), Counter()
-        for t, bad in zip(texts, toxic):  # only what toxic texts have can be telling
-            if bad:
-                pos.update(features(t).keys())
-        pos = Counter({f: n for f, n in pos.items() if n >= min_docs})
-        sets = [{f: n for f, n in features(t).items() if f in pos} for t in texts]
-        for s, bad in zip(sets, toxic):
-            if not bad:
-                neg.update(s.keys())
-        telling = {f: np.log((pos[f] + 0.5) / (n1 + 1)) - np.log((neg[f] + 0.5) / (n0 + 1)) for f in pos}
-        names = sorted((f for f, v in telling.items() if v >= np.log(odds)), key=lambda f: (-telling[f], f))
-        at = {f: i for i, f in enumerate(names)}
-        x = SparseRows([counted(s, at) for s in sets], len(names))
+        found = [features(t) for t in texts]
         balance = np.where(y > 0, n0 / n1, 1.0) ** 0.5
-        # how severe a toxic text is: its score by a model of the other folds, in thirds of all toxic texts
-        fold, strength = np.arange(len(y)) % FOLDS, np.zeros(len(y))
-        for k in range(FOLDS):
-            w, _ = cumulative_link(x, y[:, None], np.where(fold == k, 0.0, balance), lasso=lasso, rounds=rounds // 4)
-            strength[fold == k] = x.dot(w)[fold == k]
+        fold = np.arange(len(y)) % FOLDS
+        # how severe a toxic text is: its score by a model of the other folds, features and all, in thirds of all toxic texts
+        parts = [telling(found, y, fold != k, min_docs, odds) for k in range(FOLDS)]
+        strength, chance = np.zeros(len(y)), np.zeros(len(y))
+        rows = [(SparseRows([counted(f, at) for f in found], len(at)), np.where(fold == k, 0.0, balance)) for k, at in enumerate(parts)]
+        for k, (x, weight) in enumerate(rows):
+            strength[fold == k] = x.dot(cumulative_link(x, y[:, None], weight, lasso=lasso, rounds=rounds // 4)[0])[fold == k]
         bad = np.flatnonzero(y)
         rank = np.argsort(np.argsort(strength[bad], kind="stable"), kind="stable")
         grade = np.zeros(len(y), int)
         grade[bad] = 1 + (GRADES - 1) * rank // len(bad)
-        w, cuts = cumulative_link(x, (grade[:, None] >= np.arange(1, GRADES)[None]).astype(float), balance, lasso=lasso, rounds=rounds)
+        target = (grade[:, None] >= np.arange(1, GRADES)[None]).astype(float)
+        for k, (x, weight) in enumerate(rows):
+            w, cuts = cumulative_link(x, target, weight, lasso=lasso, rounds=rounds // 2)
+            chance[fold == k] = (1 / (1 + np.exp(-(x.dot(w) - cuts[0]))))[fold == k]
+        at = telling(found, y, np.ones(len(y), bool), min_docs, odds)
+        x = SparseRows([counted(f, at) for f in found], len(at))
+        w, cuts = cumulative_link(x, target, balance, lasso=lasso, rounds=rounds)
         out = cls({f: float(w[i]) for f, i in at.items() if w[i]}, cuts.tolist(), 0.5)
-        # the limit: as few clean texts above it as can be without giving up toxic ones
-        p1 = 1 / (1 + np.exp(-(x.dot(w) - cuts[0])))
+        # the limit: as few clean texts above it as can be without giving up toxic ones, by what the models of the other
+        # folds say of each text
         best = (-np.inf, 0.5)
-        for limit in np.quantile(p1[y == 0], np.linspace(0.9, 1 - keep_clean, 40)):
+        for limit in np.quantile(chance[y == 0], np.linspace(0.9, 1 - keep_clean, 40)):
             limit = max(float(limit), 1e-6)
-            hit, false = (p1[y > 0] > limit).mean(), (p1[y == 0] > limit).mean()
+            hit, false = (chance[y > 0] > limit).mean(), (chance[y == 0] > limit).mean()
             if hit - 5 * false > best[0] + 1e-9:
                 best = (hit - 5 * false, limit)
         out.reject = best[1]
@@ -101,8 +113,9 @@ class OrdinalModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
-    """Fits on at most `sample` labelled documents (those of the smallest hashes of their ids)."""
+    """Fits on at most `sample` labelled documents that have a text (those of the smallest hashes of their ids)."""
     known = pick(labels, doc_id="doc_id", toxic="toxic").where("doc_id is not null and toxic is not null")
+    known = known.join(docs.where("text is not null").select("doc_id"), "doc_id", "left_semi")
     some = hash_sample(known.select("doc_id"), F.col("doc_id"), sample, labels.count())
     ids = known.join(F.broadcast(some), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = docs.where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
