@@ -406,3 +406,24 @@ def test_positions_of_a_source_without_frames_are_an_error(spark):
     assert sorted((r["want"], r["pos"], r["e"]) for r in got) == [(0, 0, 1), (9, 1, 2)]
     with pytest.raises(Exception, match="no decodable frames of source b"):
         sampling.at_positions(frames, want.unionByName(spark.createDataFrame([("b", 0)], "s string, want bigint")), "s", ["t", "e"], "begin").collect()
+
+
+def test_rasters_are_the_bilinear_bake(spark):
+    """The raster of each frame, against the operators that give a row a pixel."""
+    from veldra.functions import color
+    from veldra.operators import masks, rasters
+
+    r = np.random.default_rng(9)
+    rows = [(k, i, j, *r.random(3).tolist()) for k in range(11) for i in range(3) for j in range(2)]
+    df = spark.createDataFrame(rows, "k bigint, row int, col int, r double, g double, b double").repartition(3)
+    bits = {k: r.integers(0, 2, (7, 5)) for k in range(0, 11, 2)}
+    packed = spark.createDataFrame([(k, bytearray(np.packbits(m).tobytes())) for k, m in bits.items()], "k bigint, mask binary")
+    got = {x["k"]: np.frombuffer(x["raster"], np.uint8).reshape(7, 5, 3) for x in rasters.rasters(df, packed, key=["k"], gh=3, gw=2, oh=7, ow=5).collect()}
+    up = masks.bilinear(df, 3, 2, 7, 5, ["k"], ["r", "g", "b"])
+    one = F.lit(1.0)
+    want = up.select("k", "y", "x", *[color.baked(F.col(c), one).alias(c) for c in "rgb"]).collect()
+    assert len(got) == 11 and len(want) == 11 * 35
+    for w in want:
+        keep = bits[w["k"]][w["y"], w["x"]] if w["k"] in bits else 1
+        assert got[w["k"]][w["y"], w["x"]].tolist() == [w[c] * keep for c in "rgb"]
+    assert rasters.rasters(df.limit(0), None, key=["k"], gh=3, gw=2, oh=7, ow=5).count() == 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veldra import oracles as O
 from veldra.functions import color
 from veldra.functions import vectors as V
-from veldra.operators import fidelity, masks, pca, quantiles, seed
+from veldra.operators import fidelity, masks, pca, quantiles, rasters, seed
 from veldra.plans import sampling
 from veldra.registry import query
 from veldra.sources.tokens import table, tokens
@@ -283,6 +283,28 @@ def a29(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("line"), color.baked(F.col("l_discount") * 10, F.col("l_quantity") / 50).alias("r"))
 
 
+_RASTER = f"""with {O.TOKENS}, g as (select source, frame, row, col, unnest([0, 1, 2]) as c, unnest([feat[1] + 0.5, feat[2] + 0.5, feat[3] + 0.5]) as v from tokens),
+o as (select unnest(range(0, 10)) as y), q as (select unnest(range(0, 7)) as x),
+p as (select y, x, least(greatest((y + 0.5::double) * 4 / 10 - 0.5, 0), 3) as sy, least(greatest((x + 0.5::double) * 4 / 7 - 0.5, 0), 3) as sx from o, q),
+u as (select g.source, g.frame, g.c, y, x, sum(greatest(0.0, least(1.0, v)) * (1 - abs(sy - g.row)) * (1 - abs(sx - g.col))) as v from p join g on abs(sy - g.row) < 1 and abs(sx - g.col) < 1 group by all),
+b as (select source, frame, c, y * 7 + x + 1 as nth, round_even(255 * greatest(0.0, least(1.0, case when frame % 4 = 3 or (y * 7 + x + frame) % 3 <> 0 then v else 0 end)), 0)::bigint as byte from u)
+select source, frame, sum(case when c = 0 then byte * nth end)::bigint as red, sum(case when c = 1 then byte * nth end)::bigint as green, sum(case when c = 2 then byte * nth end)::bigint as blue from b group by 1, 2"""
+
+
+@query("E06_frame_rasters", _RASTER)
+def e06(spark, d):
+    """Every frame as one raster of bytes, under a mask; every fourth has none. Sums of the bytes by place."""
+    t = _tokens(spark, d)
+    rgb = t.select("source", "frame", "row", "col", *[V.clamp(F.element_at("feat", i + 1) + 0.5).alias(c) for i, c in enumerate("rgb")])
+    frames = t.where("frame % 4 <> 3").select("source", "frame").distinct()
+    bits = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.when((i < 70) & ((i + F.col("frame")) % 3 != 0), "1").otherwise("0"))
+    masks = frames.withColumn("mask", F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(17)), lambda k: F.conv(F.array_join(F.slice(bits, 4 * k + 1, 4), ""), 2, 16)), "")))
+    out = rasters.rasters(rgb, masks, key=["source", "frame"], gh=4, gw=4, oh=10, ow=7)
+    byte = lambda i, c: F.conv(F.hex(F.substring("raster", i * 3 + c + 1, F.lit(1))), 16, 10).cast("bigint")
+    total = lambda c: F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(69)), lambda i: byte(i, c) * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return out.select("source", "frame", *[total(c).alias(n) for c, n in enumerate(("red", "green", "blue"))])
+
+
 @query("A30_empty_mask", f"with {MASK} select id, not bool_or(fg) as empty from mask group by 1")
 def a30(spark, d):
     return masks.empty(_mask(spark, d), ["id"])
