@@ -83,13 +83,10 @@ def _dc_table() -> tuple[np.ndarray, np.ndarray]:
 _BITS, _SIZE = _dc_table()
 
 
-def encode_payloads(payloads: list[bytes], width: int = WIDTH, max_rows: int = MAX_ROWS) -> list[bytes]:
-    """The stored form of each payload; their sizes are positive multiples of width."""
-    counts = [len(p) // width for p in payloads]
-    parts = [[min(max_rows, n - at) for at in range(0, n, max_rows)] for n in counts]
-    image_rows = np.array([r for p in parts for r in p], np.int64)
-    x = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, width).astype(np.int32) - 128
-    diff = np.diff(x, axis=1, prepend=0) + 255
+def _entropy(x: np.ndarray, mark: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The coded rows of samples, each with stuffing and closed by its marker, and where each ends."""
+    width = x.shape[1]
+    diff = np.diff(x.astype(np.int32) - 128, axis=1, prepend=0) + 255
     bits, size = _BITS[diff], _SIZE[diff]
     start = np.cumsum(size, axis=1) - size
     total = start[:, -1] + size[:, -1]
@@ -104,10 +101,6 @@ def encode_payloads(payloads: list[bytes], width: int = WIDTH, max_rows: int = M
         buf[lane, at + 2] |= (word & 255).astype(np.uint8)
     spare = (n_bytes * 8 - total).astype(np.int32)
     buf[lane, n_bytes - 1] |= ((1 << spare) - 1).astype(np.uint8)  # filled up with ones
-    first = np.cumsum(image_rows) - image_rows
-    nth = lane - np.repeat(first, image_rows)
-    mark = (0xD0 + nth % 8).astype(np.uint8)
-    mark[first + image_rows - 1] = 0xD9
     buf[lane, n_bytes], buf[lane, n_bytes + 1] = 0xFF, mark
     col = np.arange(buf.shape[1])
     flat = buf[col < (n_bytes + 2)[:, None]]
@@ -115,14 +108,35 @@ def encode_payloads(payloads: list[bytes], width: int = WIDTH, max_rows: int = M
     is_mark = np.zeros(len(flat), bool)
     is_mark[ends - 2] = True
     stuff = np.flatnonzero((flat == 0xFF) & ~is_mark)
-    ends = ends + np.searchsorted(stuff, ends)
-    flat = np.insert(flat, stuff + 1, 0).tobytes()
-    out, row, at = [], 0, 0
+    return np.insert(flat, stuff + 1, 0).tobytes(), ends + np.searchsorted(stuff, ends)
+
+
+#: rows (restart intervals) and stored bytes that are worked on at a time, so that a text of any length takes the memory of its
+#: own bytes, those of its stored form and a constant
+RUN_ROWS, RUN_BYTES = 4096, 2_000_000
+
+
+def encode_payloads(payloads: list[bytes], width: int = WIDTH, max_rows: int = MAX_ROWS) -> list[bytes]:
+    """The stored form of each payload; their sizes are positive multiples of width. Rows are coded RUN_ROWS at a time."""
+    counts = [len(p) // width for p in payloads]
+    parts = [[min(max_rows, n - at) for at in range(0, n, max_rows)] for n in counts]
+    image_rows = np.array([r for p in parts for r in p], np.int64)
+    x = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, width)
+    first = np.cumsum(image_rows) - image_rows
+    mark = (0xD0 + (np.arange(len(x)) - np.repeat(first, image_rows)) % 8).astype(np.uint8)
+    mark[first + image_rows - 1] = 0xD9
+    flat, ends = bytearray(), []
+    for at in range(0, len(x), RUN_ROWS):
+        coded, own = _entropy(x[at : at + RUN_ROWS], mark[at : at + RUN_ROWS])
+        ends.append(own + len(flat))
+        flat += coded
+    ends = np.concatenate(ends)
+    view, out, row, at = memoryview(flat), [], 0, 0
     for p in parts:
         images = []
         for rows in p:
             row += rows
-            images.append(_head(rows, width) + flat[at : int(ends[row - 1])])
+            images += [_head(rows, width), view[at : int(ends[row - 1])]]
             at = int(ends[row - 1])
         out.append(b"".join(images))
     return out
@@ -297,7 +311,8 @@ def _thumbs(images: list[Image], datas: list[bytes]) -> list[np.ndarray]:
 
 
 def decode_thumbnails(media: list[bytes]) -> list[list[tuple[int, int, np.ndarray]]]:
-    """(width, height, thumbnail) of each image in each item: an item may hold several, one behind the other."""
+    """(width, height, thumbnail) of each image in each item: an item may hold several, one behind the other. Images are
+    decoded in runs of about RUN_BYTES, one at least, so that a long item of many images is never spread out whole."""
     groups: dict[tuple, list[tuple[int, int, Image]]] = {}
     counts = []
     for k, data in enumerate(media):
@@ -310,8 +325,10 @@ def decode_thumbnails(media: list[bytes]) -> list[list[tuple[int, int, np.ndarra
         counts.append(n)
     out: list[list] = [[None] * n for n in counts]
     for found in groups.values():
-        for (k, n, im), thumb in zip(found, _thumbs([f[2] for f in found], [media[f[0]] for f in found])):
-            out[k][n] = (im.width, im.height, thumb)
+        for a, b in _sliced([im.end - im.begin for _, _, im in found]):
+            run = found[a:b]
+            for (k, n, im), thumb in zip(run, _thumbs([f[2] for f in run], [media[f[0]] for f in run])):
+                out[k][n] = (im.width, im.height, thumb)
     return out
 
 
@@ -323,7 +340,7 @@ def thumbnail_hashes(thumb: np.ndarray) -> tuple[str, str]:
     return np.packbits(a[:, 1:] > a[:, :-1]).tobytes().hex(), np.packbits(b * 64 > b.sum()).tobytes().hex()
 
 
-def _sliced(sizes: list[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def _sliced(sizes: list[int], most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of items of about so many bytes together, one item at least."""
     at, held = 0, 0
     for i, n in enumerate(sizes):
@@ -341,6 +358,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = [len(t or b"") for t in texts]
         for a, b in _sliced(sizes):
             media = encode_payloads([(t or b"") + b" " * ((-len(t or b"")) % WIDTH or (0 if t else WIDTH)) for t in texts[a:b]])
+            texts[a:b] = [None] * (b - a)
             yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(sizes[a:b], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
@@ -355,7 +373,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for m, images in zip(media[a:b], decode_thumbnails(media[a:b])):
                 thumb = images[0][2] if len(images) == 1 else np.concatenate([t for _, _, t in images])
-                payload, (dhash, ahash) = thumb.tobytes(), thumbnail_hashes(thumb)
+                payload, (dhash, ahash) = memoryview(np.ascontiguousarray(thumb)).cast("B"), thumbnail_hashes(thumb)
                 wide, high = images[0][0], sum(h for _, h, _ in images)
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), f"{wide}x{high}:{dhash}:{ahash}", wide, high))
             cols = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
@@ -364,13 +382,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A media column: doc_id, n_bytes (of the text) and media (its stored form). Null texts count as empty; an
-    empty text is stored as one row of spaces."""
+    empty text is stored as one row of spaces; null and repeated ids are rows like any other. A text of any length is coded
+    in runs of rows: beside its bytes and its stored form it takes a constant amount of memory."""
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     return docs.mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Reads stored media back: FEATURES. Rows of equal media get equal values; an empty table gives none."""
+    """Reads stored media back: FEATURES. Rows of equal media get equal values; null ids stay; an empty table gives none."""
     return media.mapInArrow(_read, FEATURES)
 
 
