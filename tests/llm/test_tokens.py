@@ -66,6 +66,13 @@ def test_op5_against_the_library(spark, docs, folder):
     assert sorted(map(tuple, got)) == want
 
 
+def test_reading_tokens_leaves_the_session_alone(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    chunks = token_planes.write_tokens(odd_docs(spark), chunk=16, shards=2)
+    assert token_planes.read_tokens(chunks).count() == odd_docs(spark).count() and spark.conf.get(key) == before
+
+
 def test_token_files_of_odd_rows(spark):
     df = odd_docs(spark)
     got = token_planes.read_tokens(token_planes.write_tokens(df, chunk=64, shards=3)).collect()
@@ -207,6 +214,35 @@ def test_media_round_trip():
             assert all(w == 1536 for w, _, _ in images)
 
 
+def test_media_is_the_same_whatever_the_runs(monkeypatch):
+    r = np.random.default_rng(4)
+    payloads = [r.integers(200, 256, 192 * k).astype(np.uint8).tobytes() for k in (1, 7, 20, 3)]
+    whole = jpeg.encode_payloads(payloads, max_rows=5)
+    monkeypatch.setattr(jpeg, "RUN_ROWS", 4)
+    assert jpeg.encode_payloads(payloads, max_rows=5) == whole
+    monkeypatch.setattr(jpeg._sliced, "__defaults__", (300,))
+    for p, images in zip(payloads, jpeg.decode_thumbnails(whole)):
+        assert b"".join(t.tobytes() for _, _, t in images) == p
+
+
+def test_a_long_text_takes_a_few_times_its_bytes():
+    """12 and 24 MB: what is held beyond the payload grows by less than five bytes a byte."""
+    import tracemalloc
+
+    peaks = []
+    for rows in (62_500, 125_000):
+        payload = (b"some words of a very long text, " * (rows * 6))[: rows * 192]
+        tracemalloc.start()
+        media = jpeg.encode_payloads([payload])
+        stored = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        (images,) = jpeg.decode_thumbnails(media)
+        peaks.append(max(stored, tracemalloc.get_traced_memory()[1]))
+        tracemalloc.stop()
+        assert b"".join(t.tobytes() for _, _, t in images) == payload
+    assert peaks[1] - peaks[0] < 5 * 12_000_000
+
+
 def colour_jpeg(rows, cols, seed):
     """A baseline image of three components, the first sampled twice as finely, with restart intervals and AC
     coefficients, written bit by bit; and its first component's DC values."""

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldra.llm.common import materialize, pick, shuffle_width, table
+from veldra.llm.common import materialize, pick, shuffle_width
 from veldra.llm.word_bpe import default_path, encoder
 
 BLOCK_IDS = 16_384
@@ -194,7 +194,8 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
     for batch in batches:
         rows = []
-        for c in batch.to_pylist():
+        for i in range(batch.num_rows):  # a chunk at a time: a batch's payloads are never copied together
+            c = batch.slice(i, 1).to_pylist()[0]
             data, done = read_chunk(c["payload"]).astype("<u4").tobytes(), 0
             for d in c["docs"]:
                 piece = data[4 * done : 4 * (done + d["n"])]
@@ -236,12 +237,7 @@ def chunk_bases(chunks: DataFrame) -> DataFrame:
 def read_tokens(chunks: DataFrame) -> DataFrame:
     """One row a document, from the chunks' bytes: doc_id, start (the ids of all documents before it), n_tokens and
     ids_crc32 (of the ids as little-endian unsigned 32-bit integers)."""
-    small = chunks.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    try:
-        chunks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-        parts = materialize(chunks.select("shard", "seq", "docs", "payload").mapInArrow(_reader, PARTS_SCHEMA), "parts")
-    finally:
-        chunks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", small)
+    parts = materialize(chunks.select("shard", "seq", "docs", "payload").mapInArrow(_reader, PARTS_SCHEMA), "parts")
     # only the small rows of the index are joined: payloads stay where they were read
     parts = parts.join(chunk_bases(chunks), ["shard", "seq"]).withColumn("at", F.col("base") + F.col("inner"))
     whole = F.expr("part = 0 and last")
@@ -251,4 +247,5 @@ def read_tokens(chunks: DataFrame) -> DataFrame:
 
 
 def op5_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_tokens(write_tokens(table(spark, sf_dir, "documents")))
+    # read as it lies: writing deals the texts out by id, so they move once
+    return read_tokens(write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet")))
