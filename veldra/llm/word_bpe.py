@@ -143,23 +143,29 @@ class WordEncoder:
 
     def learn(self, missing: list[str]) -> dict[str, bytes]:
         """The ids of words that are not in the dictionary."""
-        plain, other = [], []
-        for w in missing:
-            (plain if len(w) <= self.longest and _LATIN.fullmatch(w) and not self.added.search(w) else other).append(w)
+        plain, other = missing, []
+        joined = "\n".join(missing)
+        # words are looked at one by one only where one of them all is long, of other letters, or holds an added token
+        if max(map(len, missing)) > self.longest or not _LATIN.fullmatch(joined) or self.added.search(joined):
+            plain = []
+            for w in missing:
+                (plain if len(w) <= self.longest and _LATIN.fullmatch(w) and not self.added.search(w) else other).append(w)
+            joined = "\n".join(plain)
         out = dict(zip(other, self._by_library(other))) if other else {}
         if plain:
-            parts = self.pattern.findall("\n".join(plain).lower() + "\n")
-            new = [p for p in set(parts) if p not in self.pieces]
+            parts = self.pattern.findall(joined.lower() + "\n")
+            distinct = set(parts)
+            new = list(distinct.difference(self.pieces))
             if new:
                 if len(self.pieces) + len(new) > self.cache_words:
                     self.pieces = {"\n": b""}
-                    new = [p for p in set(parts) if p != "\n"]
-                self.pieces.update(zip(new, self.merge([p.encode() for p in new])))
-            got = [self.pieces[p] for p in parts]
-            to = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
-            cut = [0, *to[[i for i, p in enumerate(parts) if p == "\n"]].tolist()]
+                    new = list(distinct - {"\n"})
+                self.pieces.update(zip(new, self.merge(list(map(str.encode, new)))))
+            got = list(map(self.pieces.__getitem__, parts))
+            size = np.fromiter(map(len, got), np.int64, len(got))
+            cut = [0, *np.cumsum(size)[size == 0].tolist()]  # ends of words: of all parts, only the line feed has no ids
             data = b"".join(got)
-            out.update((w, data[a:b]) for w, a, b in zip(plain, cut, cut[1:]))
+            out.update(zip(plain, map(data.__getitem__, map(slice, cut, cut[1:]))))
         return out
 
     def forget(self) -> None:
