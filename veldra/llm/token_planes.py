@@ -29,6 +29,7 @@ from veldra.llm.word_bpe import default_path, encoder
 
 BLOCK_IDS = 16_384
 CHUNK_IDS = 131_072
+CACHE_WORDS = 700_000  # the most words that a worker's dictionary holds
 MAGIC = b"BPS1"
 
 CHUNK_SCHEMA = (
@@ -124,7 +125,7 @@ def crc_combine(a: int, b: int, size: int) -> int:
 
 def _writer(path: str, end_id: int, mode: str, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(path, CACHE_WORDS), np.array([end_id], "<u4").tobytes()
         shard, seq, row, docs, held, size = 0, 0, 0, [], [], 0
         schema = pa.schema([
             ("shard", pa.int32()), ("seq", pa.int64()), ("n_ids", pa.int64()),

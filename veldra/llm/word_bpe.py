@@ -189,9 +189,9 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each Python worker and vocabulary."""
-    return WordEncoder(path)
+def encoder(path: str, cache_words: int = 500_000) -> WordEncoder:
+    """One encoder for each Python worker, vocabulary and size of the dictionary."""
+    return WordEncoder(path, cache_words)
 
 
 def default_path() -> str:
