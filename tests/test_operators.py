@@ -194,8 +194,27 @@ def test_positions_clamp_and_skip(spark):
     assert {(r["source"], r["want"], r["pts"]) for r in got} == {(1, 0, 0.0), (1, 2, 0.2), (1, 99, 0.2)}
 
 
-def test_largest_first():
-    assert [r[-1] for r in sampling.assigned([("a", 0, 5), ("b", 0, 9), ("c", 0, 5), ("d", 0, 4)], 2)] == [0, 1, 1, 0]
+@pytest.mark.parametrize("devices,n,most", [(2, 4, 9), (3, 200, 7), (5, 120, 400), (8, 300, 30), (1, 10, 5)])
+def test_largest_first(spark, devices, n, most):
+    """Against units handed out one by one; many are of one size, some of none."""
+    r = np.random.default_rng(n)
+    units = [(int(i), int(a), int(a + s)) for i, (a, s) in enumerate(zip(r.integers(0, 50, n), np.where(r.random(n) < 0.3, most, r.integers(0, most + 1, n))))]
+    load, want = np.zeros(devices, int), {}
+    for i, lo, hi in sorted(units, key=lambda u: (u[1] - u[2], u[0])):
+        want[i] = int(load.argmin())
+        load[want[i]] += hi - lo
+    got = sampling.assigned(spark.createDataFrame(units, "id bigint, lo bigint, hi bigint"), ["id"], devices)
+    assert {x["id"]: x["device"] for x in got.collect()} == want
+
+
+def test_turns_stay_short():
+    """A plan doesn't grow with the number of units."""
+    few, many = (sampling.turns({900: k, 300: 7 * k, 1: 50 * k}, 8) for k in (10, 1_000_000))
+    assert max(len(first) for _, first, _ in many) <= 8 * 901 and [len(t) for *_, t in few] == [8, 8, 8]
+
+
+def test_nothing_to_assign(spark):
+    assert sampling.assigned(spark.createDataFrame([], "id bigint, lo bigint, hi bigint"), ["id"], 3).count() == 0
 
 
 def test_pooling_overlaps(spark):

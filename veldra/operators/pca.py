@@ -91,6 +91,12 @@ class Basis:
         row = (self.l2norm, self.mean.tolist(), self.comps.tolist(), self.lo.tolist(), self.hi.tolist())
         Versions(spark, path).replace(spark.createDataFrame([row], "l2norm boolean, mean array<double>, comps array<array<double>>, lo array<double>, hi array<double>").coalesce(1))
 
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """A copy of the basis as a table, (c, i, v, mean, lo, hi) for each direction and component from 1, which rows can be
+        joined with; what becomes of it leaves the basis as it is."""
+        rows = [(c, i, float(v), float(m), float(self.lo[c]), float(self.hi[c])) for c, d in enumerate(self.comps) for i, (v, m) in enumerate(zip(d, self.mean), 1)]
+        return spark.createDataFrame(rows, "c bigint, i bigint, v double, mean double, lo double, hi double")
+
     @staticmethod
     def load(spark: SparkSession, path: str) -> Basis:
         r = Versions(spark, path).read().first()

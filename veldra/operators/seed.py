@@ -35,32 +35,32 @@ def outliers(df: DataFrame, key: str = "source", value: str = "norm") -> DataFra
     return dev.join(mad, key).withColumn("artifact", flag)
 
 
-def picks(grid: np.ndarray, sal: np.ndarray, artifact: np.ndarray, k: int = 5) -> tuple[list[tuple[int, int]], tuple[int, int] | None]:
-    """Cells of up to k positive prompts and of the negative one, if there is room on the border.
-
-    Each step takes the most salient cell left (the first of equals, by rows) and clears a square around it, also
-    when the cell is then refused because it is no closer to the first peak than to the mean.
-    """
-    gh, gw, _ = grid.shape
-    mu = grid.reshape(gh * gw, -1).mean(0)
-    reach = max(1, int(np.rint(min(gh, gw) / 6)))
+def peaks(sal: np.ndarray, artifact: np.ndarray, k: int = 5) -> list[tuple[int, int]]:
+    """Up to k cells, the most salient first (the first of equals, by rows), none within another's square; artifacts
+    are none."""
+    reach = max(1, int(np.rint(min(sal.shape) / 6)))
     open_ = np.where(artifact, -np.inf, sal.round(9))
-
-    def near(a, b):
-        return float(a @ b / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-8))
-
     found: list[tuple[int, int]] = []
-    lead = None
-    for _ in range(max(1, k)):
-        r, c = np.unravel_index(int(np.argmax(open_)), open_.shape)
-        if np.isneginf(open_[r, c]):
-            break
+    while len(found) < max(1, k) and np.isfinite(open_.max(initial=-np.inf)):
+        r, c = (int(i) for i in np.unravel_index(int(np.argmax(open_)), open_.shape))
         open_[max(0, r - reach) : r + reach + 1, max(0, c - reach) : c + reach + 1] = -np.inf
-        if lead is None:
-            lead = grid[r, c]
-        elif round(near(grid[r, c], lead), 9) <= round(near(grid[r, c], mu), 9):
-            continue
-        found.append((int(r), int(c)))
+        found.append((r, c))
+    return found
+
+
+def gate(x: np.ndarray, lead: np.ndarray, mu: np.ndarray) -> bool:
+    """Whether a cell's vector is closer to the first peak's than to the mean."""
+    near = lambda b: round(float(x @ b / max(np.linalg.norm(x) * np.linalg.norm(b), 1e-8)), 9)
+    return near(lead) > near(mu)
+
+
+def picks(grid: np.ndarray, sal: np.ndarray, artifact: np.ndarray, k: int = 5) -> tuple[list[tuple[int, int]], tuple[int, int] | None]:
+    """Cells of up to k positive prompts, those of the peaks that pass the gate, and of the negative one, if there is
+    room on the border."""
+    gh, gw, _ = grid.shape
+    mu = grid.reshape(gh * gw, -1).mean(0)
+    tops = peaks(sal, artifact, k)
+    found = tops[:1] + [c for c in tops[1:] if gate(grid[c], grid[tops[0]], mu)]
     ring = [(r, c) for r in range(gh) for c in range(gw) if (r in (0, gh - 1) or c in (0, gw - 1)) and (r, c) not in found]
     return found, min(ring, key=lambda rc: (sal.round(9)[rc], rc)) if ring else None
 
@@ -84,6 +84,28 @@ def prompts(frame: DataFrame, width: float, height: float, k: int = 5) -> DataFr
     return frame.groupBy("source").applyInPandas(run, POINTS)
 
 
+def gated(frame: DataFrame, k: int = 5) -> DataFrame:
+    """The peaks of each source's grid, (source, k, row, col, to_first, to_mean, kept): cosines to the first peak and to
+    the grid's mean (mu, as saliency() gives it), and whether the gate keeps the peak. The first peak always stays."""
+
+    def run(t):
+        import pandas as pd
+
+        gh, gw = int(t["row"].max()) + 1, int(t["col"].max()) + 1
+        sal, artifact = np.full((gh, gw), -np.inf), np.ones((gh, gw), bool)
+        at = t["row"].to_numpy(), t["col"].to_numpy()
+        sal[at], artifact[at] = t["sal"].to_numpy(dtype=float), t["artifact"].to_numpy(dtype=bool)
+        found = peaks(sal, artifact, k)
+        return pd.DataFrame([(int(t["source"].iloc[0]), i, r, c) for i, (r, c) in enumerate(found, 1)], columns=["source", "k", "row", "col"])
+
+    found = frame.select("source", "row", "col", "sal", "artifact").groupBy("source").applyInPandas(run, "source bigint, k bigint, row bigint, col bigint")
+    at = found.join(frame.select("source", "row", "col", V.as_double("feat").alias("_x"), "mu"), ["source", "row", "col"])
+    lead = at.where("k = 1").select("source", F.col("_x").alias("_lead"))
+    cos = lambda a, b: F.round(V.dot(a, b) / F.greatest(V.norm(a) * V.norm(b), F.lit(1e-8)), 9)
+    both = at.join(lead, "source").withColumns({"to_first": cos(F.col("_x"), F.col("_lead")), "to_mean": cos(F.col("_x"), F.col("mu"))})
+    return both.select("source", "k", "row", "col", "to_first", "to_mean", ((F.col("k") == 1) | (F.col("to_first") > F.col("to_mean"))).alias("kept"))
+
+
 def border_cells(frame: DataFrame, key: str = "source") -> DataFrame:
     """The least salient cell of each grid's border ring."""
     ends = frame.groupBy(key).agg(F.max("row").alias("_h"), F.max("col").alias("_w"))

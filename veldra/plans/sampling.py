@@ -64,17 +64,42 @@ def units(sources: DataFrame, key: str, n: str, devices: int, align: int, least:
     return cut.select(key, "lo", F.least(F.col("lo") + F.col("_per"), F.col("_n")).alias("hi"))
 
 
-def assigned(rows: list[tuple], devices: int) -> list[tuple]:
-    """(…, device): the largest unit first, to the least loaded device, the first of equals. rows end with lo and hi;
-    a plan has a few units for each device, so it is made on the driver."""
+def turns(sizes: dict[int, int], devices: int) -> list[tuple[int, list[int], list[int]]]:
+    """(size, first, then) for each size of units and how many there are, largest first: the devices that its units go to,
+    one by one, until no load is a whole unit above the least; from there on devices take turns.
+
+    Loads differ by at most the largest unit, so `first` has at most devices * (largest / size + 1) entries, however many
+    units there are."""
     load, out = [0] * devices, []
-    for row in sorted(rows, key=lambda r: r[-2] - r[-1]):
-        d = min(range(devices), key=load.__getitem__)
-        load[d] += row[-1] - row[-2]
-        out.append((*row, d))
+    for size in sorted(sizes, reverse=True):
+        left, first = sizes[size], []
+        while left and max(load) - min(load) >= size > 0:
+            d = min(range(devices), key=load.__getitem__)
+            load[d] += size
+            first.append(d)
+            left -= 1
+        then = sorted(range(devices), key=load.__getitem__) if size > 0 else [load.index(min(load))]
+        for i, d in enumerate(then):
+            load[d] += size * (left // len(then) + (i < left % len(then)))
+        out.append((size, first, then))
     return out
 
 
+def assigned(units: DataFrame, order: list[str], devices: int, lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """Units with their device: the largest unit first, to the least loaded device, the first of equals; units of one
+    size in the given order, whose first is a whole number.
+
+    Units of one size are alike, so the plan is made on the sizes' counts, of which there are no more than frames in the
+    longest clip; a unit finds its device by its place among those of its size, which many tasks number."""
+    sized = units.withColumn("_size", (F.col(hi) - F.col(lo)).cast("bigint"))
+    counts = {r["_size"]: r["count"] for r in sized.where("_size is not null").groupBy("_size").count().collect()}
+    plan = units.sparkSession.createDataFrame(turns(counts, devices), "_of bigint, _lead array<int>, _then array<int>")
+    placed = numbered(sized, "_size", order, "_place").join(plan, F.col("_size") == F.col("_of"))
+    past = F.col("_place") - F.size("_lead")
+    device = F.when(past < 0, F.get("_lead", F.col("_place").cast("int"))).otherwise(F.get("_then", (past % F.size("_then")).cast("int")))
+    return placed.select(*units.columns, device.cast("bigint").alias("device"))
+
+
 def chunk(pos: Column, size: int, align: int) -> Column:
     """The chunk of a position: a short first chunk, then whole ones of a multiple of align."""
     first = align if align > 1 else min(16, size)

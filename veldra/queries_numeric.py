@@ -141,6 +141,17 @@ def a13(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.greatest("c_acctbal", F.lit(0.0)).alias("w"))
 
 
+@query("A14_state_copy", f"{_FIT}, {O.project('x', 'p', 'z')}, {O.spread('z', 'lim')}, {O.colours('z', 'lim', 'rgb')} select vec_id, round(r, 5) as r, round(g, 5) as g, round(b, 5) as b from rgb")
+def a14(spark, d):
+    """Colours under a copy of the basis that lies with the rows: a table that tokens' components are joined with."""
+    t = _tokens(spark, d)
+    copy = pca.fit(t).frame(spark)
+    x = t.select("vec_id", F.posexplode("feat").alias("_i", "x"))
+    z = x.join(copy, F.col("_i") + 1 == F.col("i")).groupBy("vec_id", "c", "lo", "hi").agg(F.sum((F.col("x") - F.col("mean")) * F.col("v")).alias("z"))
+    u = z.select("vec_id", "c", V.clamp((F.col("z") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-6))).alias("u"))
+    return u.groupBy("vec_id").agg(*[F.round(F.max(F.when(F.col("c") == c, F.col("u"))), 5).alias(n) for c, n in enumerate("rgb")])
+
+
 @query("A15_chunk_sampling", f"""with {O.TOKENS}, c as (select *, frame // 2 as chunk from tokens)
 select source, chunk, vec_id from c qualify row_number() over (partition by source, chunk order by md5(vec_id::varchar), vec_id) <= 5""")
 def a15(spark, d):
@@ -220,6 +231,14 @@ def a21(spark, d):
     return seed.prompts(seed.outliers(_saliency(spark, d)), 640.0, 360.0)
 
 
+@query("A22_same_object_gate", f"""with {_SAL}, {_ART}, {_peaks()} select p.source, p.k, p.row, p.col, round(c1, 6) as to_first, round(c2, 6) as to_mean, p.k = 1 or round(c1, 9) > round(c2, 9) as kept
+from peaks p join g1 using (source, k) join g2 using (source, k)""")
+def a22(spark, d):
+    """Each source's peaks with their cosines to the first one and to the mean; the gate keeps those closer to the first."""
+    out = seed.gated(seed.outliers(_saliency(spark, d)))
+    return out.withColumns({c: F.round(c, 6) for c in ("to_first", "to_mean")})
+
+
 @query("A23_border_negative", f"with {_SAL} select source, row, col, round(sal, 6) as sal from sal where row in (0, 3) or col in (0, 3) qualify row_number() over (partition by source order by round(sal, 9), row, col) = 1")
 def a23(spark, d):
     return seed.border_cells(_saliency(spark, d)).select("source", "row", "col", F.round("sal", 6).alias("sal"))

@@ -89,20 +89,18 @@ def b06(spark, d):
     return S.units(_clips(spark, d), "id", "n", 8, 16)
 
 
-@query("B07_largest_first_packing", """with recursive u as (
-  select n_nationkey as id, ((n_nationkey * 977 + 13) % 641 + 1)::bigint as size, row_number() over (order by (n_nationkey * 977 + 13) % 641 desc, n_nationkey) as o from nation
-), r as (
-  select 0::bigint as o, -1::bigint as id, 0::bigint as size, -1::bigint as device, [0, 0, 0]::bigint[] as load
+@query("B07_largest_first_packing", f"""with recursive {_UNITS}, s as (
+  select id, lo, least(lo + per, n)::bigint - lo as size from units
+), o as materialized (select *, row_number() over (order by size desc, id, lo) as o from s), r as (
+  select 0::bigint as o, -1::bigint as id, 0::bigint as lo, 0::bigint as size, -1::bigint as device, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[] as load
   union all
-  select u.o, u.id, u.size, list_position(r.load, list_min(r.load))::bigint - 1,
-    list_transform(r.load, lambda x, i: case when i = list_position(r.load, list_min(r.load)) then x + u.size else x end)
-  from r join u on u.o = r.o + 1
-) select id::bigint as id, size, device from r where o > 0""")
+  select o.o, o.id, o.lo, o.size, list_position(r.load, list_min(r.load))::bigint - 1,
+    list_transform(r.load, lambda x, i: case when i = list_position(r.load, list_min(r.load)) then x + o.size else x end)
+  from r join o on o.o = r.o + 1
+) select id::bigint as id, lo, size, device from r where o > 0""")
 def b07(spark, d):
-    k = F.col("n_nationkey")
-    rows = table(spark, d, "nation").select(k.cast("bigint").alias("id"), ((k * 977 + 13) % 641 + 1).cast("bigint").alias("size")).orderBy("id").collect()
-    out = S.assigned([(r["id"], 0, r["size"]) for r in rows], 3)
-    return spark.createDataFrame([(i, hi - lo, dev) for i, lo, hi, dev in out], "id bigint, size bigint, device bigint")
+    out = S.assigned(S.units(_clips(spark, d), "id", "n", 8, 16), ["id", "lo"], 8)
+    return out.select(F.col("id").cast("bigint").alias("id"), "lo", (F.col("hi") - F.col("lo")).alias("size"), "device")
 
 
 @query("B08_chunking", """with k as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as rn from events)
