@@ -12,6 +12,7 @@ order of their axes. A file of many GB is read by as many tasks as its bytes ask
 from __future__ import annotations
 
 import ast
+import contextlib
 import json
 import math
 import re
@@ -186,11 +187,32 @@ class Written(WriterCommitMessage):
 
 class FeatureWriter(DataSourceArrowWriter):
     """Tasks write parts, each a stretch of cells in order; the commit checks that a run's parts make a whole array
-    and publishes its meta.json, which names them. Without it nothing is there for a reader."""
+    and publishes its meta.json, which names them. Without it nothing is there for a reader. A file beside the runs says
+    that the write goes on; a task whose write has ended, because another failed, finds it gone and leaves nothing."""
 
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite = path, overwrite
         self.mark = f"part-{uuid.uuid4().hex}"  # of all files of this write
+        fs, at = filesystem(path)
+        fs.create_dir(at)
+        fs.open_output_stream(self.going(at)).close()
+
+    def going(self, at: str) -> str:
+        return f"{at}/_{self.mark}.going"
+
+    def goes_on(self, fs: pafs.FileSystem, at: str) -> None:
+        if fs.get_file_info(self.going(at)).type != pafs.FileType.File:
+            raise InterruptedError("the write has ended")
+
+    def clear(self, fs: pafs.FileSystem, files: list[str]) -> None:
+        """Deletes parts that are there, and folders that are empty then; others may be at it too."""
+        for path in files:
+            with contextlib.suppress(FileNotFoundError):
+                fs.delete_file(path)
+        for folder in {path.rpartition("/")[0] for path in files}:
+            with contextlib.suppress(OSError):
+                if not fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+                    fs.delete_dir(folder)
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         fs, at = filesystem(self.path)
@@ -208,10 +230,12 @@ class FeatureWriter(DataSourceArrowWriter):
                         if not NAME.fullmatch(run or ""):
                             raise ValueError(f"{run!r} is no name of a run")
                         name = f"{self.mark}-{uuid.uuid4().hex}.f16"
+                        self.goes_on(fs, at)
                         fs.create_dir(f"{at}/{run}")
                         state = [run, name, 0, -1, None, None, 0, 0]
                         files.append(state)
                         out = fs.open_output_stream(f"{at}/{run}/{name}")
+                        self.goes_on(fs, at)
                     feat = batch.column("feat").slice(i, j - i)
                     dims = np.diff(feat.offsets.to_numpy())
                     x = feat.flatten()
@@ -226,9 +250,11 @@ class FeatureWriter(DataSourceArrowWriter):
                     state[2:] = [state[2] + int(j - i), int(dims[0]), state[4] or tuple(map(int, cells[0])), tuple(map(int, cells[-1])), max(state[6], int(cells[:, 1].max()) + 1), max(state[7], int(cells[:, 2].max()) + 1)]
             if out is not None:
                 out.close()
+            self.goes_on(fs, at)
         except BaseException:
             if out is not None:
                 out.close()
+            self.clear(fs, [f"{at}/{s[0]}/{s[1]}" for s in files])
             raise
         return Written([tuple(s) for s in files])
 
@@ -252,6 +278,7 @@ class FeatureWriter(DataSourceArrowWriter):
             for i in fs.get_file_info(pafs.FileSelector(f"{at}/{run}")):  # what the run had before
                 if i.type == pafs.FileType.File and i.base_name != "meta.json" and i.base_name not in meta["parts"]:
                     fs.delete_file(i.path)
+        fs.delete_file(self.going(at))
 
     @staticmethod
     def meta(run: str, parts: list[tuple]) -> dict:
@@ -267,18 +294,16 @@ class FeatureWriter(DataSourceArrowWriter):
         return {"frames": begin // (rows * cols), "grid": [rows, cols], "feat_dim": dims.pop(), "parts": [p[1] for p in parts]}
 
     def abort(self, messages: list[Written | None]) -> None:
-        """Deletes the parts of this write, those of tasks that were killed among them, and folders that are empty then.
-        Killed tasks take a moment to end, so it looks until nothing has come for a while."""
+        """Ends the write and deletes its parts. Tasks that still run delete their own; those that are killed while
+        they open a file can't, so it looks until nothing has come for a while."""
         fs, at = filesystem(self.path)
+        with contextlib.suppress(FileNotFoundError):
+            fs.delete_file(self.going(at))
         quiet = 0
-        while quiet < 3:
-            mine = [i for i in fs.get_file_info(pafs.FileSelector(at, allow_not_found=True, recursive=True)) if i.base_name.startswith(self.mark)]
+        while quiet < 5:
+            mine = [i.path for i in fs.get_file_info(pafs.FileSelector(at, allow_not_found=True, recursive=True)) if i.base_name.startswith(self.mark)]
             quiet = 0 if mine else quiet + 1
-            for i in mine:
-                fs.delete_file(i.path)
-            for folder in {i.path.rpartition("/")[0] for i in mine}:
-                if not fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
-                    fs.delete_dir(folder)
+            self.clear(fs, mine)
             time.sleep(0.2)
 
 
