@@ -195,7 +195,8 @@ class Brute:
     def p(self, gram):
         if len(gram) == 1:
             return (self.count[gram] + 1) / (self.total + self.distinct + 1)
-        return (self.count[gram] + self.kappa * self.p(gram[1:])) / (self.context[gram[:-1]] + self.kappa)
+        kappa = self.kappa[len(gram) - 2] if isinstance(self.kappa, tuple) else self.kappa
+        return (self.count[gram] + kappa * self.p(gram[1:])) / (self.context[gram[:-1]] + kappa)
 
     def score(self, text):
         w = ["<s>"] * (self.order - 1) + tokens_of(text)
@@ -228,6 +229,24 @@ def test_scores_by_brute_force(spark, order, kw):
         assert math.isclose(x["base_score"], base, rel_tol=1e-9) and abs(x["score"] - score) <= n * order / ngram_scores.STEPS + 1e-6, (i, x, score)
 
 
+@pytest.mark.parametrize("kw", [{}, {"tokens": 300, "entries": 40}])
+def test_scores_look_back_four_words(spark, kw):
+    """Without an order given, contexts of four words count: scores and kept levels are those of n-grams of up to five."""
+    rows, got, keep = score_rows(), defaultdict(list), []
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for x in ngram_scores.ngram_scores(df, kappa=(3.0, 2.0, 1.0, 0.5), keep=keep, **kw).collect():
+        got[x["doc_id"]].append(x)
+    model = Brute(rows, 5, (3.0, 2.0, 1.0, 0.5))
+    for i, t in rows:
+        n, known, base, score = model.score(t)
+        x = next(x for x in got[i] if x["n_tokens"] == n)
+        assert x["n_known"] == known and math.isclose(x["base_score"], base, rel_tol=1e-9) and math.isclose(x["score"], score, rel_tol=1e-9), (i, x, score)
+    for n in range(2, 6):
+        levels = [elias_fano.Level.frombuffer(r["payload"]) for r in keep[0].levels.where(f"level = {n}").collect()]
+        assert sum(x.children.n for x in levels) == len([g for g in model.count if len(g) == n])
+        assert sum(int(x.count.sum()) for x in levels) == model.total
+
+
 def test_scores_of_nothing(spark):
     shape = "doc_id long, text string"
     assert ngram_scores.ngram_scores(spark.createDataFrame([], shape)).count() == 0
