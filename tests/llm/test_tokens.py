@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veldra.llm import jpeg, packing, piece_bpe, token_planes, word_bpe
@@ -73,6 +74,31 @@ def test_reading_tokens_leaves_the_session_alone(spark):
     assert token_planes.read_tokens(chunks).count() == odd_docs(spark).count() and spark.conf.get(key) == before
 
 
+def test_a_full_dictionary_keeps_words_met_again():
+    enc = word_bpe.WordEncoder(word_bpe.default_path(), cache_words=40)
+    often, seen = "Some words that come again", []
+    learn = enc.learn
+    enc.learn = lambda words: seen.extend(words) or learn(words)
+    for k in range(60):
+        text = f"w{k}a w{k}b w{k}c w{k}d"
+        # in every second batch only, so a batch's own words don't keep them
+        got = enc.encode([text if k % 2 else f"{text} {often}"])[0]
+        assert got == np.array(enc.library.encode(text if k % 2 else f"{text} {often}", add_special_tokens=False).ids, "<u4").tobytes()
+        assert len(enc.cache) <= 40 + 9 and len(enc.pieces) <= 40 + 30
+    assert all(seen.count(w) == 1 for w in often.split())
+
+
+def test_a_reader_holds_no_dictionary():
+    """Workers go on from writing to reading, and to other queries: what they have learnt must not stay with them."""
+    run = token_planes._writer(word_bpe.default_path(), 1, "byte", 64)
+    texts = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2]), "text": ["one two", "three"], "shard": pa.array([0, 0], pa.int32())})
+    chunks = list(run(iter([texts])))
+    enc = word_bpe.encoder(word_bpe.default_path(), token_planes.CACHE_WORDS)
+    assert enc.cache
+    list(token_planes._reader(iter(chunks)))
+    assert not enc.cache and not enc.again and set(enc.pieces) == {"\n"}
+
+
 def test_token_files_of_odd_rows(spark):
     df = odd_docs(spark)
     got = token_planes.read_tokens(token_planes.write_tokens(df, chunk=64, shards=3)).collect()

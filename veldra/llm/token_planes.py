@@ -24,12 +24,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldra.llm.common import materialize, pick, shuffle_width
-from veldra.llm.word_bpe import default_path, encoder
+from veldra.llm.common import materialize, pick, shuffle_width, tidy
+from veldra.llm.word_bpe import default_path, encoder, forget_all
 
 BLOCK_IDS = 16_384
 CHUNK_IDS = 131_072
-CACHE_WORDS = 700_000  # the most words that a worker's dictionary holds
+CACHE_WORDS = 300_000  # the most words that a worker's dictionary holds; it keeps those met again
 MAGIC = b"BPS1"
 
 CHUNK_SCHEMA = (
@@ -184,7 +184,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, *, end_id: int = 1, m
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     at, n = shard_of(docs, shards or 4 * shuffle_width(docs.sparkSession))
     dealt = docs.withColumn("shard", at).repartitionById(n, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
-    chunks = dealt.mapInArrow(_writer(path or default_path(), end_id, mode, chunk), CHUNK_SCHEMA)
+    chunks = dealt.mapInArrow(tidy(_writer(path or default_path(), end_id, mode, chunk)), CHUNK_SCHEMA)
     return materialize(chunks, "tokens", compression="uncompressed")
 
 
@@ -192,6 +192,7 @@ PARTS_SCHEMA = "shard int, seq long, row long, doc_id long, part int, last boole
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_all()  # a worker that has written keeps its dictionary no longer, here and in what comes after
     types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
     for batch in batches:
         rows = []
@@ -238,7 +239,7 @@ def chunk_bases(chunks: DataFrame) -> DataFrame:
 def read_tokens(chunks: DataFrame) -> DataFrame:
     """One row a document, from the chunks' bytes: doc_id, start (the ids of all documents before it), n_tokens and
     ids_crc32 (of the ids as little-endian unsigned 32-bit integers)."""
-    parts = materialize(chunks.select("shard", "seq", "docs", "payload").mapInArrow(_reader, PARTS_SCHEMA), "parts")
+    parts = materialize(chunks.select("shard", "seq", "docs", "payload").mapInArrow(tidy(_reader), PARTS_SCHEMA), "parts")
     # only the small rows of the index are joined: payloads stay where they were read
     parts = parts.join(chunk_bases(chunks), ["shard", "seq"]).withColumn("at", F.col("base") + F.col("inner"))
     whole = F.expr("part = 0 and last")

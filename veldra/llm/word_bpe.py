@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import deque
 from functools import lru_cache
 
 import numpy as np
@@ -36,7 +37,7 @@ def words_of(text: str) -> list[str]:
 class WordEncoder:
     """Encodes texts into little-endian unsigned 32-bit ids.
 
-    cache_words bounds the dictionary (it is emptied when full); longest is the length in bytes beyond which a
+    cache_words bounds the dictionary (when full, it keeps the words that were met again since); longest is the length in bytes beyond which a
     word goes to the library instead and is not kept.
     """
 
@@ -57,9 +58,8 @@ class WordEncoder:
         pairs = np.array([(vocab[a], vocab[b]) for a, b in merges], dtype=np.int64)
         self.made = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
         self._index(pairs)
-        self.cache: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {"\n": b""}
         self.cache_words, self.longest = cache_words, longest
+        self.forget()
 
     def _index(self, pairs: np.ndarray) -> None:
         """An open-addressed table from a pair of ids to the rank of its merge."""
@@ -155,11 +155,13 @@ class WordEncoder:
         if plain:
             parts = self.pattern.findall(joined.lower() + "\n")
             distinct = set(parts)
-            new = list(distinct.difference(self.pieces))
+            new = distinct.difference(self.pieces)
+            self.pieces_again |= distinct - new
+            new = list(new)
             if new:
                 if len(self.pieces) + len(new) > self.cache_words:
-                    self.pieces = {"\n": b""}
-                    new = list(distinct - {"\n"})
+                    self.pieces = self._kept(self.pieces, self.pieces_again, distinct | {"\n"})
+                    self.pieces_again = set()
                 self.pieces.update(zip(new, self.merge(list(map(str.encode, new)))))
             got = list(map(self.pieces.__getitem__, parts))
             size = np.fromiter(map(len, got), np.int64, len(got))
@@ -170,28 +172,49 @@ class WordEncoder:
 
     def forget(self) -> None:
         """Empties the dictionary, so that a worker that goes on to other work holds none."""
-        self.cache, self.pieces = {}, {"\n": b""}
+        self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"\n": b""}
+        self.again: set[str] = set()  # words met in more than one batch since the dictionary was last full
+        self.pieces_again: set[str] = set()
+
+    def _kept(self, known: dict[str, bytes], again: set[str], now: set[str]) -> dict[str, bytes]:
+        """What stays of a full dictionary: the words of now, and those met again if they leave half of it free."""
+        stay = again | now if 2 * len(again) <= self.cache_words else now
+        return {w: known[w] for w in stay if w in known}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes; a null text has none."""
         split = [words_of(t) if t else [] for t in texts]
-        missing = set().union(*split).difference(self.cache) if split else set()
+        words = set().union(*split)
+        missing = words.difference(self.cache)
+        self.again |= words - missing
         if missing:
             got = self.learn(list(missing))
             if len(self.cache) + len(got) > self.cache_words:
-                self.cache = {w: self.cache[w] for w in set().union(*split) if w in self.cache}
+                self.cache = self._kept(self.cache, self.again, words)
+                self.again = set()
             self.cache.update(got)
         look = self.cache.__getitem__
-        out = [b"".join(map(look, words)) for words in split]
+        out = [b"".join(map(look, text)) for text in split]
         for w in [w for w in missing if len(w) > self.longest]:
             self.cache.pop(w, None)
         return out
 
 
+_MADE: deque[WordEncoder] = deque(maxlen=2)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, cache_words: int = 500_000) -> WordEncoder:
     """One encoder for each Python worker, vocabulary and size of the dictionary."""
-    return WordEncoder(path, cache_words)
+    _MADE.append(WordEncoder(path, cache_words))
+    return _MADE[-1]
+
+
+def forget_all() -> None:
+    """Empties the dictionaries of all this worker's encoders."""
+    for e in _MADE:
+        e.forget()
 
 
 def default_path() -> str:
