@@ -88,6 +88,27 @@ def test_a_full_dictionary_keeps_words_met_again():
     assert all(seen.count(w) == 1 for w in often.split())
 
 
+def test_words_are_looked_up_without_objects():
+    """Odd words, in slices and in small pieces, as the library; a word held takes less than 150 bytes (as strings: over 250)."""
+    import tracemalloc
+
+    odd = ["a", "a\0", "a\0\0", " a ", "x" * 15, "x" * 16, "x" * 14 + "\0", "y" * 70, "one\u00a0two\u3000", "\u2003", "a\x1cb \x85c", "\u4e2d\u6587 \u0436\u0418", "<|endoftext|>x", None, "", "\t\r\n"]
+    texts = pa.array(odd * 3 + ["".join(t or "" for t in odd)], pa.string())
+    enc = word_bpe.WordEncoder(word_bpe.default_path(), cache_words=30)
+    want = [np.array(enc.library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts.to_pylist()]
+    for piece in (1, 20, 1 << 19):
+        assert [x for part in enc.encoded(texts.slice(5, 40), piece) for x in part] == want[5:45]
+        assert [x for part in enc.encoded(texts, piece) for x in part] == want
+    enc = word_bpe.WordEncoder(word_bpe.default_path())
+    tracemalloc.start()
+    for k in range(0, 30_000, 1000):
+        enc.encode([" ".join(f"{i:x}q{i % 7}" for i in range(k, k + 1000))])
+    enc.pieces.clear()
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(enc.cache) == 30_000 and held < 150 * 30_000
+
+
 def test_a_reader_holds_no_dictionary():
     """Workers go on from writing to reading, and to other queries: what they have learnt must not stay with them."""
     run = token_planes._writer(word_bpe.default_path(), 1, "byte", 64)

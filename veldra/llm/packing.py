@@ -130,14 +130,14 @@ def _pieces(path: str, end_id: int, capacity: int, hold_words: bool):
         enc.cache_words = CACHE_WORDS if hold_words else LEAN_WORDS
         for batch in batches:
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for i in range(0, len(keys), 1024):
+            of = iter(keys)
+            for some in enc.encoded(texts):
                 rows = []
-                for j in range(i, min(i + 1024, len(keys)), 128):  # few texts are held as words at a time
-                    for key, ids in zip(keys[j:], enc.encode(texts.slice(j, 128).to_pylist())):
-                        ids += end
-                        for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                            part = ids[at : at + 4 * capacity]
-                            rows.append((key, k, k * capacity, len(part) // 4, zlib.crc32(part)))
+                for ids in some:
+                    key, ids = next(of), ids + end
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        rows.append((key, k, k * capacity, len(part) // 4, zlib.crc32(part)))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
         if not hold_words:

@@ -29,7 +29,7 @@ from veldra.llm.word_bpe import default_path, encoder, forget_all
 
 BLOCK_IDS = 16_384
 CHUNK_IDS = 131_072
-CACHE_WORDS = 300_000  # the most words that a worker's dictionary holds; it keeps those met again
+CACHE_WORDS = 520_000  # the most words that a worker's dictionary holds; it keeps those met again
 MAGIC = b"BPS1"
 
 CHUNK_SCHEMA = (
@@ -143,8 +143,10 @@ def _writer(path: str, end_id: int, mode: str, chunk: int):
 
         for batch in batches:
             keys, shards, texts = batch.column("doc_id").to_pylist(), batch.column("shard").to_pylist(), batch.column("text")
-            for i in range(0, len(keys), 1024):
-                for key, at, ids in zip(keys[i:], shards[i:], enc.encode(texts.slice(i, 1024).to_pylist())):
+            of = iter(zip(keys, shards))
+            for some in enc.encoded(texts):
+                for ids in some:
+                    key, at = next(of)
                     if at != shard:
                         if docs:
                             yield flush()
