@@ -271,3 +271,30 @@ def test_kept_levels_sum_to_one(spark):
 def test_held_out_texts_score_better_than_words_alone(spark):
     x = queries.QUERIES["op13_elias_fano_scores"](spark, "/root/testdata/sf0.01").where("held_out").agg({"score": "sum", "base_score": "sum", "n_tokens": "sum"}).first()
     assert x["sum(score)"] > x["sum(base_score)"]
+
+
+def test_windows_hash_longer_endings_only_where_they_are_dealt_out(monkeypatch):
+    """All five words of a few windows alone are hashed (before: of all), and the shards are those of all endings."""
+    rng, made = np.random.default_rng(3), []
+    flat = np.r_[np.full(4, 1), np.minimum(rng.zipf(1.3, 3000), 60) + 1].astype(np.int64)
+    c = ngram_scores.Chunk.__new__(ngram_scores.Chunk)
+    c.lead, c.tokens, c.size, c.first = 4, flat, np.array([len(flat)]), np.array([0])
+    c.scored = np.arange(len(flat)) >= 4
+    c.counted = c.scored & (rng.random(len(flat)) < 0.8)
+    ids = np.arange(62, dtype=np.int64)
+    full, none = ngram_scores.endings, np.zeros(0, np.uint64)
+    plain = ngram_scores.Windows(c, ids, 5, 7, none)
+    all_ = plain.endings()
+    hot = np.sort(np.concatenate([v[np.argsort(-n)[:3]] for v, n in (np.unique(h, return_counts=True) for h in all_[1:4])]))
+    monkeypatch.setattr(ngram_scores, "endings", lambda x: made.append(len(x) * len(x[0])) or full(x))
+    got = ngram_scores.Windows(c, ids, 5, 7, hot)
+    key, wide = all_[1].copy(), ngram_scores.spread(hot, all_)
+    for on, longer in zip(wide, all_[2:]):
+        key = np.where(on, longer, key)
+    shard = (ngram_scores._mix(key) >> np.uint64(33)).astype(np.int64) % 7
+    assert (got.shard == np.sort(shard)).all() and (got.place[got.dealt] == np.arange(len(shard))).all() and (shard[got.dealt] == got.shard).all()
+    assert [r.tolist() for r, _ in got.spread] == [np.flatnonzero(x).tolist() for x in wide] and len(got.spread[2][0])
+    assert all((h == e[r]).all() for (r, h), e in zip(got.spread, all_[1:]))
+    columns, own = got.asked(c)
+    assert own.sum() == c.counted[got.at].sum() and all((x == y[got.dealt]).all() for x, y in zip(full(columns), all_))
+    assert sum(made) < 5 * len(shard)
