@@ -298,3 +298,11 @@ def test_windows_hash_longer_endings_only_where_they_are_dealt_out(monkeypatch):
     columns, own = got.asked(c)
     assert own.sum() == c.counted[got.at].sum() and all((x == y[got.dealt]).all() for x, y in zip(full(columns), all_))
     assert sum(made) < 5 * len(shard)
+
+
+def test_messages_are_freed_once_they_are_answered(spark, monkeypatch):
+    """After each round, not whenever the driver collects its garbage (before: never asked for)."""
+    calls = []
+    monkeypatch.setattr(ngram_scores, "free_shuffles", lambda s: calls.append(s))
+    docs = spark.createDataFrame([(i, "one two three four five six") for i in range(20)], "doc_id long, text string")
+    assert ngram_scores.ngram_scores(docs).count() == 20 and calls == [spark, spark]
