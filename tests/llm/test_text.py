@@ -638,3 +638,23 @@ def test_numbers_of_a_list_are_candidates_each(spark):
     assert {(card, "4111 1111 1111 1111"), (card, "5500 0000 0000 0004")} <= got
     wide = " (dot) ".join("1" * 9) + " (dot) " + "2 " * 3 + "3"
     assert any(len(x["m"]) > 64 for x in spark.createDataFrame([(wide,)], "text string").select(pii.candidate_rows(F.col("text")).alias("c")).first()["c"])
+
+
+def _peak(f) -> int:
+    import tracemalloc
+
+    tracemalloc.start()
+    f()
+    got = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return got
+
+
+def test_fits_on_the_driver_hold_their_sample_once():
+    """Toxicity: a few bytes for each feature of a text (before: a name and a place in a dictionary each); quality: its matrix once (before: twice)."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(4, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(400)]
+    many = sum(len(toxicity.features(t)) for t in texts)
+    assert _peak(lambda: toxicity.OrdinalModel.fit(texts, [int(k % 9 == 0) for k in range(len(texts))], rounds=8)) < 40 * many
+    assert _peak(lambda: quality.QualityModel.fit(texts)) < len(texts) * 6 << quality.BITS

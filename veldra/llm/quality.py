@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldra.llm.common import hash_sample, kept_rows, pick, place_of, table
+from veldra.llm.common import give_back, hash_sample, kept_rows, pick, place_of, table
 from veldra.llm.linear import logistic
 
 SAMPLE = 4000
@@ -147,11 +147,14 @@ class QualityModel:
 
     @classmethod
     def fit(cls, texts: list[str | None], limit: float = 0.5) -> QualityModel:
-        got = [surface(t) for t in texts]
-        if not got:
+        if not texts:
             return cls(np.zeros(1 << BITS, np.float32), 3.0, limit)
-        post, _, _ = expectation_maximisation(np.array([votes(m) for _, m in got]))
-        x = np.stack([g[0] for g in got])
+        x, said = np.empty((len(texts), 1 << BITS), np.float32), []
+        for k, t in enumerate(texts):
+            x[k], m = surface(t)
+            said.append(votes(m))
+        _SHAPES.clear()
+        post, _, _ = expectation_maximisation(np.array(said))
         w, b = logistic(x, post.astype(np.float32), rounds=400, rate=20.0, ridge=1e-6)
         return cls(w, b, limit)
 
@@ -166,7 +169,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
     ids = hash_sample(docs.where("doc_id is not null").select("doc_id"), F.col("doc_id"), sample, docs.count())
     some = docs.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     rows = some.orderBy("doc_id").select("text").collect()  # at most `sample` rows
-    return QualityModel.fit([r["text"] for r in rows])
+    model = QualityModel.fit([r["text"] for r in rows])
+    del rows
+    give_back()
+    return model
 
 
 def _score(sent):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldra.llm.common import hash_sample, kept_rows, pick, place_of, table
+from veldra.llm.common import give_back, hash_sample, kept_rows, pick, place_of, table
 from veldra.llm.linear import SparseRows, cumulative_link
 
 SAMPLE = 4000
@@ -39,24 +39,36 @@ def features(text: str | None) -> Counter:
     return out
 
 
-def counted(found: dict[str, int], at: dict[str, int]) -> dict[int, float]:
-    return {at[f]: float(np.log1p(n)) for f, n in found.items() if f in at}
+def numbered(texts: list[str | None]) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+    """The names of all features, and each text's as places among them with their numbers of times: a few bytes a feature."""
+    at: dict[str, int] = {}
+    out = []
+    for t in texts:
+        f = features(t)
+        out.append((np.fromiter((at.setdefault(x, len(at)) for x in f), np.int32, len(f)), np.fromiter(f.values(), np.int32, len(f))))
+    return list(at), out
 
 
-def telling(found: list[Counter], y: np.ndarray, use: np.ndarray, min_docs: int, odds: float) -> dict[str, int]:
-    """Features that favour toxic texts among the rows in use, and their places: the most telling first."""
-    pos, neg = Counter(), Counter()
-    for f, bad, mine in zip(found, y, use):  # only what toxic texts have can be telling
-        if bad and mine:
-            pos.update(f.keys())
-    pos = Counter({f: n for f, n in pos.items() if n >= min_docs})
-    for f, bad, mine in zip(found, y, use):
-        if mine and not bad:
-            neg.update(f.keys() & pos.keys())
+def counted(found: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> dict[int, float]:
+    place = at[found[0]]
+    on = place >= 0
+    return dict(zip(place[on].tolist(), np.log1p(found[1][on]).tolist()))
+
+
+def telling(names: list[str], found: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, use: np.ndarray, min_docs: int, odds: float) -> tuple[list[str], np.ndarray]:
+    """Features that favour toxic texts among the rows in use, the most telling first, and each feature's place among
+    them (-1: none)."""
+    pos, neg = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+    for (f, _), bad, mine in zip(found, y, use):
+        if mine:
+            (pos if bad else neg)[f] += 1  # a text has a feature once
     n1, n0 = y[use].sum(), (1 - y[use]).sum()
-    value = {f: np.log((pos[f] + 0.5) / (n1 + 1)) - np.log((neg[f] + 0.5) / (n0 + 1)) for f in pos}
-    names = sorted((f for f, v in value.items() if v >= np.log(odds)), key=lambda f: (-value[f], f))
-    return {f: i for i, f in enumerate(names)}
+    some = np.flatnonzero(pos >= min_docs)  # only what toxic texts have can be telling
+    value = np.log((pos[some] + 0.5) / (n1 + 1)) - np.log((neg[some] + 0.5) / (n0 + 1))
+    best = sorted((-v, names[i], i) for v, i in zip(value.tolist(), some.tolist()) if v >= np.log(odds))
+    at = np.full(len(names), -1, np.int32)
+    at[[i for _, _, i in best]] = np.arange(len(best))
+    return [name for _, name, _ in best], at
 
 
 class OrdinalModel:
@@ -79,13 +91,13 @@ class OrdinalModel:
         n1, n0 = y.sum(), (1 - y).sum()
         if not n1 or not n0:
             return cls({}, [20.0, 21.0, 22.0], 0.5)
-        found = [features(t) for t in texts]
+        names, found = numbered(texts)
         balance = np.where(y > 0, n0 / n1, 1.0) ** 0.5
         fold = np.arange(len(y)) % FOLDS
         # how severe a toxic text is: its score by a model of the other folds, features and all, in thirds of all toxic texts
-        parts = [telling(found, y, fold != k, min_docs, odds) for k in range(FOLDS)]
+        parts = [telling(names, found, y, fold != k, min_docs, odds) for k in range(FOLDS)]
         strength, chance = np.zeros(len(y)), np.zeros(len(y))
-        rows = [(SparseRows([counted(f, at) for f in found], len(at)), np.where(fold == k, 0.0, balance)) for k, at in enumerate(parts)]
+        rows = [(SparseRows([counted(f, at) for f in found], len(best)), np.where(fold == k, 0.0, balance)) for k, (best, at) in enumerate(parts)]
         for k, (x, weight) in enumerate(rows):
             strength[fold == k] = x.dot(cumulative_link(x, y[:, None], weight, lasso=lasso, rounds=rounds // 4)[0])[fold == k]
         bad = np.flatnonzero(y)
@@ -96,19 +108,19 @@ class OrdinalModel:
         for k, (x, weight) in enumerate(rows):
             w, cuts = cumulative_link(x, target, weight, lasso=lasso, rounds=rounds // 2)
             chance[fold == k] = (1 / (1 + np.exp(-(x.dot(w) - cuts[0]))))[fold == k]
-        at = telling(found, y, np.ones(len(y), bool), min_docs, odds)
-        x = SparseRows([counted(f, at) for f in found], len(at))
+        best, at = telling(names, found, y, np.ones(len(y), bool), min_docs, odds)
+        x = SparseRows([counted(f, at) for f in found], len(best))
         w, cuts = cumulative_link(x, target, balance, lasso=lasso, rounds=rounds)
-        out = cls({f: float(w[i]) for f, i in at.items() if w[i]}, cuts.tolist(), 0.5)
+        out = cls({f: float(w[i]) for i, f in enumerate(best) if w[i]}, cuts.tolist(), 0.5)
         # the limit: as few clean texts above it as can be without giving up toxic ones, by what the models of the other
         # folds say of each text
-        best = (-np.inf, 0.5)
+        most = (-np.inf, 0.5)
         for limit in np.quantile(chance[y == 0], np.linspace(0.9, 1 - keep_clean, 40)):
             limit = max(float(limit), 1e-6)
             hit, false = (chance[y > 0] > limit).mean(), (chance[y == 0] > limit).mean()
-            if hit - 5 * false > best[0] + 1e-9:
-                best = (hit - 5 * false, limit)
-        out.reject = best[1]
+            if hit - 5 * false > most[0] + 1e-9:
+                most = (hit - 5 * false, limit)
+        out.reject = most[1]
         return out
 
 
@@ -120,7 +132,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMo
     ids = known.join(F.broadcast(some), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = docs.where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     rows = some.orderBy("doc_id").collect()  # at most `sample` rows
-    return OrdinalModel.fit([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
+    model = OrdinalModel.fit([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
+    del rows
+    give_back()
+    return model
 
 
 def _score(sent):
