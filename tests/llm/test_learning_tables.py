@@ -306,3 +306,30 @@ def test_messages_are_freed_once_they_are_answered(spark, monkeypatch):
     monkeypatch.setattr(ngram_scores, "free_shuffles", lambda s: calls.append(s))
     docs = spark.createDataFrame([(i, "one two three four five six") for i in range(20)], "doc_id long, text string")
     assert ngram_scores.ngram_scores(docs).count() == 20 and calls == [spark, spark]
+
+
+def test_windows_are_asked_for_in_rounds(spark, monkeypatch):
+    """No round's messages hold all windows (before: one shuffle held them all), and no score is changed by rounds."""
+    rng, calls = np.random.default_rng(4), []
+    docs = [(i, " ".join(map(str, np.minimum(rng.zipf(1.4, 60), 40)))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(ngram_scores, "free_shuffles", lambda s: calls.append(s))
+    whole = sorted(ngram_scores.ngram_scores(df, tokens=200, entries=50, rounds=1).collect())
+    once = len(calls)
+    assert sorted(ngram_scores.ngram_scores(df, tokens=200, entries=50).collect()) == whole and len(calls) == once + 3
+
+    flat = np.r_[np.full(4, 1), np.minimum(rng.zipf(1.3, 3000), 60) + 1].astype(np.int64)
+    c = ngram_scores.Chunk.__new__(ngram_scores.Chunk)
+    c.lead, c.tokens, c.size, c.first = 4, flat, np.array([len(flat)]), np.array([0])
+    c.scored = np.arange(len(flat)) >= 4
+    c.counted, c.words = c.scored.copy(), np.arange(62).astype(np.uint64) + np.uint64(5)
+    ids = np.arange(62, dtype=np.int64)
+    all_ = ngram_scores.Windows(c, ids, 5, 12, np.zeros(0, np.uint64)).endings()
+    hot = np.sort(np.concatenate([v[np.argsort(-n)[:3]] for v, n in (np.unique(h, return_counts=True) for h in all_[1:4])]))
+    full = ngram_scores.Windows(c, ids, 5, 12, hot, 3)
+    parts = [ngram_scores.Windows(c, ids, 5, 12, hot, 3, k) for k in range(3)]
+    assert all(0 < len(p.one) < 0.6 * len(full.one) and set(p.shard % 3) == {k} for k, p in enumerate(parts))
+    columns, own = full.asked(c)
+    for k, p in enumerate(parts):
+        mine, some = full.shard % 3 == k, p.asked(c)
+        assert (full.shard[mine] == p.shard).all() and (own[mine] == some[1]).all() and all((x[mine] == y).all() for x, y in zip(columns, some[0]))
