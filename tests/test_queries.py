@@ -33,6 +33,20 @@ def test_has_rows(spark, folder, name):
     assert registry.QUERIES[name](spark, folder).count() > 0
 
 
+def test_cross_basis_without_some_vectors(spark, folder, tmp_path):
+    """Tokens without a vector take no part, as in the SQL."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    e = spark.read.parquet(f"{folder}/embeddings.parquet")
+    e.withColumn("embedding", F.when(F.col("vec_id") % 25 != 3, F.col("embedding"))).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.QUERIES["A40_cross_basis"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(registry.ORACLES["A40_cross_basis"]).df()
+    assert np.allclose(got[list(want.columns)], want, rtol=0, atol=2e-5)
+
+
 def test_entry(spark):
     import __spark_entry__
 

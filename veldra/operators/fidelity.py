@@ -99,7 +99,8 @@ def crop(df: DataFrame, rows: int, cols: int) -> DataFrame:
 def render_compare(base: DataFrame, other: DataFrame, key: list[str], rows: int, cols: int) -> DataFrame:
     """What a viewer sees of two token tables, in one row: colour differences under the base's basis (shared), under each
     one's own (own), and under bases refitted on the middle of the grid, there (refit); the largest angle between
-    those two; the flicker of each."""
+    those two; the flicker of each. Tokens without a vector take no part."""
+    base, other = (t.where("feat is not null") for t in (base, other))
     shared, own = pca.fit(base), pca.fit(other)
     middle = [crop(t, rows, cols) for t in (base, other)]
     refits = [pca.refit(t, b, weight=None) for t, b in zip(middle, (shared, own))]
